@@ -104,8 +104,8 @@ class Prefix:
         return (self.sums[j] - self.sums[i]) * self.down[i]
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of about limit bytes; null is empty."""
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 2048) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for runs of at most that many rows and about limit bytes; null is empty."""
     texts = batch.column(column)
     if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type):
         kind = np.int32
@@ -121,7 +121,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
+        end = min(max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1), at + rows, n)
         yield at, end, data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
 
