@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, language, quality
 from ._shared import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,8 +23,36 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(divisor: int):
+    """crc32 of the document id as text, modulo divisor."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.filter(_remainder(3) != 1))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (_remainder(3) == 1).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs, _remainder(4) != 2)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (_remainder(4) == 2).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_ambiguous").alias("ambiguous"),
+    )
+
+
 def queries() -> dict:
-    return {"op6_bpe": op6_bpe}
+    return {"op6_bpe": op6_bpe, "op8_quality": op8_quality, "op9_language": op9_language}
 
 
 def oracle_sql() -> dict[str, str]:
