@@ -6,12 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality
-from ._shared import table
+from . import bpe, language, quality, token_files, vectors, warc
+from ._shared import scratch, stash, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stash(warc.write_warc(table(spark, sf_dir, "pages"), scratch(spark)))
+    paths = archives.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return warc.read_warc(paths, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+w AS (SELECT *, CASE WHEN n >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last <> page_id THEN last END AS refers_to
+FROM w
+"""
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORD_TOKENIZER)
+    return token_files.with_crc32(token_files.read_tokens(spark, path)).withColumnRenamed("key", "doc_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_TOKENIZER)
     out = bpe.bpe_decode(ids.select("doc_id", "ids"), WORD_TOKENIZER)
@@ -23,6 +45,23 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP7_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= {vectors.THRESHOLD}),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.a = component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.a
+"""
+
+
 def _remainder(divisor: int):
     """crc32 of the document id as text, modulo divisor."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
@@ -52,8 +91,15 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op6_bpe": op6_bpe, "op8_quality": op8_quality, "op9_language": op9_language}
+    return {
+        "op2_warc": op2_warc,
+        "op5_token_files": op5_token_files,
+        "op6_bpe": op6_bpe,
+        "op7_vectors": op7_vectors,
+        "op8_quality": op8_quality,
+        "op9_language": op9_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL, "op7_vectors": OP7_SQL}
