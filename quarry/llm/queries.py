@@ -6,12 +6,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, token_files, vectors, warc
+from . import bpe, language, near_text, passages, quality, token_files, vectors, warc
 from ._shared import scratch, stash, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.similar(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.col("size").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
+OP1_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= {near_text.THRESHOLD} * (p.n + q.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT m.a AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.a = component_id AS kept
+FROM m LEFT JOIN n ON n.doc_id = m.a
+"""
+
+
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d),
+k AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS g FROM i),
+f AS (SELECT g, min(doc_id) AS low FROM k GROUP BY g),
+h AS (SELECT k.doc_id, k.pos FROM k JOIN f ON f.g = k.g WHERE f.low < k.doc_id),
+c AS (SELECT t.doc_id, t.pos, t.word, coalesce(max(h.pos) OVER (PARTITION BY t.doc_id ORDER BY t.pos) >= t.pos - 12, false) AS gone
+      FROM t LEFT JOIN h ON h.doc_id = t.doc_id AND h.pos = t.pos),
+o AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stash(warc.write_warc(table(spark, sf_dir, "pages"), scratch(spark)))
     paths = archives.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -92,6 +136,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_near_text": op1_near_text,
+        "op3_passages": op3_passages,
         "op2_warc": op2_warc,
         "op5_token_files": op5_token_files,
         "op6_bpe": op6_bpe,
@@ -102,4 +148,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op7_vectors": OP7_SQL}
+    return {"op1_near_text": OP1_SQL, "op2_warc": OP2_SQL, "op3_passages": OP3_SQL, "op7_vectors": OP7_SQL}
