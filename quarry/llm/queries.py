@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, near_text, passages, quality, token_files, vectors, warc
+from . import bpe, contamination, language, near_text, passages, quality, suffixes, token_files, vectors, warc
 from ._shared import scratch, stash, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,11 @@ FROM w
 """
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORD_TOKENIZER)
@@ -134,16 +139,22 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_near_text": op1_near_text,
         "op3_passages": op3_passages,
         "op2_warc": op2_warc,
+        "op4_suffixes": op4_suffixes,
         "op5_token_files": op5_token_files,
         "op6_bpe": op6_bpe,
         "op7_vectors": op7_vectors,
         "op8_quality": op8_quality,
         "op9_language": op9_language,
+        "op10_contamination": op10_contamination,
     }
 
 
