@@ -7,11 +7,14 @@ sets is compared exhaustively; a larger one branches again, by BRANCHES function
 DEPTH, past which it is cut into blocks whose pairs are all compared. Two sets of similarity 0.75
 meet in a child with probability 0.75, so that trees of depth 1 miss them with 0.25 ** TREES.
 
-Equal sets become one before the first tree, so that copies cost nothing. Comparing a node goes
-in two rounds, each of which confirms pairs on full sets. The first links each set to a few hubs
-of its node. The second takes the pairs of unlike components that are left, so that a large group
-of near copies costs a number of confirmations in proportion to its size. Signatures only sort
-out pairs whose estimate lies below ESTIMATE_AT_LEAST, five deviations under the threshold.
+Equal sets become one before the first tree, so that copies cost nothing. Links are confirmed on
+full sets, in three rounds whose candidates grow with the rows and not with their pairs. First,
+within blocks of a node, each set with its nearest ones and with the one nearest to all, as its
+signature estimates. Then every set with the set of its node that has most links. Nodes that still
+hold several components, and only these, branch further. Third, within them, every pair of unlike
+components that can be a link is checked in the task that holds the node, likeliest first, and
+only links that join components leave it. Signatures only sort out pairs whose estimate lies below
+ESTIMATE_AT_LEAST, five deviations under the threshold.
 
 Texts without words have no shingles, no links, and are kept. Shorter texts are one shingle. Rows
 that repeat an id merge their sets' groups under that id; a null id gets a row without links.
@@ -36,7 +39,7 @@ BRANCHES = 3
 DEPTH = 4
 NODE_ROWS = 512
 SIGNATURE = 64
-HUBS = 4
+NEAREST = 2
 ESTIMATE_AT_LEAST = 0.48
 
 _SEEDS = np.random.default_rng(41).integers(1, 1 << 63, size=(2, SIGNATURE), dtype=np.uint64) | np.uint64(1)
@@ -110,22 +113,19 @@ def _coordinate(tree: int, depth: int, branch: int) -> int:
 
 
 def _children(depth: int):
-    """Rows (node, tree, id, size, sig) of the next level, from those of this one."""
+    """Rows (node, tree, id) of the next level, from (id, sig) at depth 0 and (node, tree, id, sig) below."""
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, SIGNATURE)
-            if depth == 0:
-                for tree in range(TREES):
-                    node = mix(sig[:, tree].astype(np.uint64) << np.uint64(8) | np.uint64(tree))
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.full(len(sig), tree, dtype=np.int32)), *(batch.column(c) for c in ("id", "size", "sig"))], names=["node", "tree", "id", "size", "sig"])
-                continue
-            tree, parent = batch.column("tree").to_numpy(), batch.column("node").to_numpy().view(np.uint64)
-            for branch in range(BRANCHES):
-                k = np.array([_coordinate(t, depth, branch) for t in range(TREES)])[tree]
-                value = sig[np.arange(len(sig)), k].astype(np.uint64)
-                node = mix(parent * np.uint64(31) + mix(value << np.uint64(16) | np.uint64(depth * 256 + branch)))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(batch.column(c) for c in ("tree", "id", "size", "sig"))], names=["node", "tree", "id", "size", "sig"])
+            for k in range(BRANCHES if depth else TREES):
+                if depth:
+                    tree, parent = batch.column("tree").to_numpy(), batch.column("node").to_numpy().view(np.uint64)
+                    value = sig[np.arange(len(sig)), np.array([_coordinate(t, depth, k) for t in range(TREES)])[tree]].astype(np.uint64)
+                    node = mix(parent * np.uint64(31) + mix(value << np.uint64(16) | np.uint64(depth * 256 + k)))
+                else:
+                    tree, node = np.full(len(sig), k, dtype=np.int32), mix(sig[:, k].astype(np.uint64) << np.uint64(8) | np.uint64(k))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(tree), batch.column("id")], names=["node", "tree", "id"])
 
     return run
 
@@ -138,31 +138,91 @@ def _estimates(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return out / np.float32(SIGNATURE)
 
 
-def _pairs(hubs: int | None):
-    """Candidate pairs of a node: of each row with the first hubs, or all of unlike components."""
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), SIGNATURE)
 
-    def run(batches):
-        for group in groups(batches, ("node", "i", "j")):
-            ids, size, blk, comp = (group[c].to_numpy() for c in ("id", "size", "blk", "comp"))
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint32).reshape(len(ids), SIGNATURE)
-            left, right = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(blk == i), np.flatnonzero(blk == j))
-            if hubs is not None:
-                left = left[:hubs]
-            for at in range(0, len(left), 256):
-                part = left[at : at + 256]
-                near = _estimates(sig, part, right) >= ESTIMATE_AT_LEAST
-                near &= 100 * np.minimum(size[part][:, None], size[right][None, :]) >= THRESHOLD * np.maximum(size[part][:, None], size[right][None, :])
-                if hubs is None:
-                    near &= comp[part][:, None] != comp[right][None, :]
-                p, q = np.nonzero(near)
-                a, b = ids[part[p]], ids[right[q]]
-                apart = a != b
-                a, b = a[apart], b[apart]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return run
+def _candidates(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Estimates of left by right rows, zero where sizes or the estimate rule a link out."""
+    near = _estimates(sig, left, right)
+    small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
+    near[(near < ESTIMATE_AT_LEAST) | (100 * small < THRESHOLD * large)] = 0
+    return near
+
+
+def _nearest(batches):
+    """Candidate pairs (a, b): each row of a block with its nearest rows and with the row that is nearest to all."""
+    for group in groups(batches, ("node", "blk")):
+        ids, size, sig = group["id"].to_numpy(), group["size"].to_numpy(), _signatures(group["sig"])
+        rows = np.arange(len(ids))
+        near = _candidates(sig, size, rows, rows)
+        near[rows, rows] = 0
+        to = np.argsort(-near, axis=1, kind="stable")[:, :NEAREST]
+        to = np.concatenate([to, np.full((len(ids), 1), near.sum(axis=0).argmax())], axis=1)
+        p, q = np.repeat(rows, to.shape[1]), to.ravel()
+        some = near[p, q] > 0
+        a, b = ids[p[some]], ids[q[some]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _likely(batches):
+    """Of rows (a, b, sig, size, hub_sig, hub_size), the pairs that may be links."""
+    for batch in batches:
+        near = (_signatures(batch.column("sig")) == _signatures(batch.column("hub_sig"))).mean(axis=1)
+        m, n = batch.column("size").to_numpy(), batch.column("hub_size").to_numpy()
+        keep = pa.array((near >= ESTIMATE_AT_LEAST) & (100 * np.minimum(m, n) >= THRESHOLD * np.maximum(m, n)))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+
+def _sides(group) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks that a group pairs; the same rows twice for a block with itself."""
+    i, j, blk = group["i"][0].as_py(), group["j"][0].as_py(), group["blk"].to_numpy()
+    return (np.arange(len(blk)),) * 2 if i == j else (np.flatnonzero(blk == i), np.flatnonzero(blk == j))
+
+
+def _open(batches):
+    """Rows (node, id) that have a candidate of another component in their node."""
+    for group in groups(batches, ("node", "i", "j")):
+        ids, size, comp, sig = group["id"].to_numpy(), group["size"].to_numpy(), group["comp"].to_numpy(), _signatures(group["sig"])
+        left, right = _sides(group)
+        near = (_candidates(sig, size, left, right) > 0) & (comp[left][:, None] != comp[right][None, :])
+        found = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+        yield pa.RecordBatch.from_arrays([group["node"].combine_chunks().take(pa.array(found)), pa.array(ids[found])], names=["node", "id"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+
+
+def _settled(batches):
+    """Links (a, b) that join components of a node, each pair that could be one checked on its full sets, the likeliest first."""
+    for group in groups(batches, ("node", "i", "j")):
+        ids, size, comp, sig = group["id"].to_numpy(), group["size"].to_numpy(), group["comp"].to_numpy(), _signatures(group["sig"])
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["set"]]
+        left, right = _sides(group)
+        near = _candidates(sig, size, left, right)
+        near[comp[left][:, None] == comp[right][None, :]] = 0
+        p, q = np.nonzero(near)
+        order = np.argsort(-near[p, q], kind="stable")
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        a, b = [], []
+        for x, y in zip(left[p[order]].tolist(), right[q[order]].tolist(), strict=True):
+            u, v = top(int(comp[x])), top(int(comp[y]))
+            if u != v and _alike(sets[x], sets[y]):
+                root[max(u, v)] = min(u, v)
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _confirmed(batches):
@@ -170,21 +230,16 @@ def _confirmed(batches):
     for batch in batches:
         keep = np.zeros(batch.num_rows, dtype=bool)
         for k, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep[k] = 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+            keep[k] = _alike(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64))
         keep = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
-    """Rows dealt to the pairs of blocks of their node, sorted for groups()."""
+def _block_pairs(rows: DataFrame, parts: int, *more: str) -> DataFrame:
+    """Rows with n, their node's count, dealt to the pairs of blocks of the node and sorted for groups()."""
     blocks = F.ceil(F.col("n") / NODE_ROWS).cast("int")
-    placed = rows.join(sizes, "node").withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    work = placed.select("node", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "id", "size", "sig", "blk", "comp")
+    placed = rows.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    work = placed.select("node", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "comp", "size", "sig", *more)
     return work.repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j", "id")
 
 
@@ -195,38 +250,55 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = stash(rows.mapInArrow(_signed, "id long, size long, s1 long, s2 long, sig binary"))
     filled = signed.filter("size > 0 and id is not null")
-    classes = stash(filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")))
-
-    level = classes.select(F.col("rep").alias("id"), "size", "sig").mapInArrow(_children(0), "node long, tree int, id long, size long, sig binary")
-    small = []
-    for depth in range(DEPTH):
-        sizes = stash(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
-        last = depth == DEPTH - 1
-        nodes = level.join(sizes if last else sizes.filter(F.col("n") <= NODE_ROWS), "node", "left_semi")
-        small.append((nodes, sizes if last else sizes.filter(F.col("n") <= NODE_ROWS)))
-        large = sizes.filter(F.col("n") > NODE_ROWS)
-        if last or large.isEmpty():
-            break
-        level = stash(level.join(large, "node", "left_semi").mapInArrow(_children(depth + 1), "node long, tree int, id long, size long, sig binary").dropDuplicates(["node", "id"]))
-    leaves, leaf_sizes = small[0]
-    for nodes, sizes in small[1:]:
-        leaves, leaf_sizes = leaves.unionByName(nodes), leaf_sizes.unionByName(sizes)
-    leaves = stash(leaves.select("node", "id", "size", "sig"))
-    leaf_sizes = stash(leaf_sizes)
+    classes = stash(filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
+    signs = classes.groupBy("id").agg(F.max("size").alias("size"), F.max("sig").alias("sig"))
+    sets_of = lambda ids: rows.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, set binary").groupBy("id").agg(F.max("set").alias("set"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs.distinct())
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stash(rows.join(ends, "id", "left_semi").mapInArrow(_sets, "id long, set binary").groupBy("id").agg(F.max("set").alias("set")))
+        sets = stash(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
-        return left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long")
-
-    first = stash(confirm(_blocks(leaves.withColumn("comp", F.lit(0).cast("long")), leaf_sizes, parts).mapInArrow(_pairs(HUBS), "a long, b long")))
-    joined = stash(components(first))
-    known = leaves.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    more = stash(confirm(_blocks(known, leaf_sizes, parts).mapInArrow(_pairs(None), "a long, b long")))
-    members = filled.join(classes.select("s1", "s2", "size", "rep"), ["s1", "s2", "size"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reach = components(first.unionByName(more).unionByName(members))
+        return stash(left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long"))
+
+    def placed(members: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of nodes that hold several components, with comp, and n, the node's count."""
+        known = members.join(components(links).select(F.col("node").alias("id"), "component"), "id", "left")
+        known = stash(known.select("node", "tree", "id", F.coalesce("component", "id").alias("comp")))
+        mixed = known.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("node", "n")
+        return stash(known.join(mixed, "node"))
+
+    level = signs.select("id", "sig").mapInArrow(_children(0), "node long, tree int, id long")
+    members = stash(level.join(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"))
+    dealt = members.join(signs, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / NODE_ROWS).cast("int")).cast("int"))
+    dealt = dealt.select("node", "blk", "id", "size", "sig").repartition(parts, "node", "blk").sortWithinPartitions("node", "blk", "id")
+    links = confirm(dealt.mapInArrow(_nearest, "a long, b long"))
+
+    mixed = placed(members.drop("n"), links)
+    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+    hubs = mixed.join(degree, "id").groupBy("node").agg(F.max(F.struct("degree", "id", "comp")).alias("hub")).select("node", F.col("hub.id").alias("b"), F.col("hub.comp").alias("hub_comp"))
+    spokes = mixed.join(hubs, "node").filter("comp <> hub_comp").select(F.col("id").alias("a"), "b").distinct()
+    spokes = spokes.join(signs.withColumnRenamed("id", "a"), "a").join(signs.select(F.col("id").alias("b"), F.col("size").alias("hub_size"), F.col("sig").alias("hub_sig")), "b")
+    links = links.unionByName(confirm(spokes.mapInArrow(_likely, "a long, b long")))
+
+    mixed, ready = placed(mixed.select("node", "tree", "id"), links), []
+    for depth in range(1, DEPTH + 1):
+        large = mixed.filter(F.col("n") > NODE_ROWS)
+        if depth == DEPTH or large.isEmpty():
+            ready.append(mixed)
+            break
+        ready.append(mixed.filter(F.col("n") <= NODE_ROWS))
+        below = large.join(signs.select("id", "sig"), "id").mapInArrow(_children(depth), "node long, tree int, id long").distinct()
+        mixed = placed(below, links)
+    nodes = ready[0]
+    for more in ready[1:]:
+        nodes = nodes.unionByName(more)
+    found = _block_pairs(nodes.join(signs, "id"), parts).mapInArrow(_open, "node long, id long").distinct()
+    unsettled = stash(nodes.drop("n").join(found, ["node", "id"], "left_semi"))
+    counts = unsettled.groupBy("node").agg(F.count("*").alias("n"))
+    sets = sets_of(unsettled.select("id").distinct())
+    last = _block_pairs(unsettled.join(counts, "node").join(signs, "id").join(sets, "id"), parts, "set").mapInArrow(_settled, "a long, b long")
+    copies = filled.join(classes.select("s1", "s2", "size", F.col("id").alias("b")), ["s1", "s2", "size"]).filter("id <> b").select(F.col("id").alias("a"), "b")
+    reach = components(links.unionByName(stash(last)).unionByName(copies))
     return signed.select("id", "size").join(reach.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
 
 
