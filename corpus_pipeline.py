@@ -1,13 +1,69 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: documents in, token ids of clean and distinct texts out.
+
+Each stage takes (spark, docs, sf_dir) and gives a table; all but the last give the columns of
+documents. Rows of null or empty text have no language and end at the first stage. Extra columns
+pass through all stages but the last, which gives doc_id, ids, n_tokens and whether decoding the
+ids gives back the tokens' text. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, contamination, language, near_text, suffixes
+from quarry.llm._shared import stash
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and those whose two best languages can't be told apart, go."""
+    model = language.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    found = language.identify(docs, model)
+    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("lang_ambiguous")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return near_text.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that occur elsewhere go; characters cut apart go as a whole."""
+    cut = suffixes.remove_repeats(docs).filter("n_removed > 0").select(F.col("id").alias("doc_id"), "cut")
+    cut = stash(cut.groupBy("doc_id").agg(F.max("cut").alias("cut")))
+    text = F.coalesce(F.col("cut"), F.col("text"))
+    joined = docs.join(cut, "doc_id", "left")
+    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold most of a benchmark item go."""
+    found = stash(contamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and the text that they decode to."""
+    ids = bpe.bpe_encode(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids")
+    return bpe.bpe_decode(ids, TOKENIZER).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("tokens", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
