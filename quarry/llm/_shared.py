@@ -7,6 +7,7 @@ any substring's fingerprint comes from two entries of a running sum.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -45,11 +46,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends, executors may go."""
-    path = scratch(df.sparkSession)
+def stash(df: DataFrame, done_with: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends, executors may go.
+
+    done_with: stashed tables that nothing reads from now on; their files are deleted. Shuffle files
+    of ended jobs stay on the executors until the driver collects its garbage, so it is asked to.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in done_with:
+        at = spark._jvm.org.apache.hadoop.fs.Path(old._stashed_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
 
 
 def stashed_bytes(df: DataFrame) -> int:

@@ -10,7 +10,9 @@ sorts the pairs of a suffix's rank and the name of the bytes at the offset, and
 occur more than once in sorted order; unique suffixes drop out. (The name is a fingerprint, as the
 place at the offset is not itself a sampled suffix.) Of those that are left, suffixes whose whole
 context, all bytes of the strings that select them, is alike elsewhere are repeats as a whole. The
-few with unlike contexts, at the edges of repeats, are settled string by string.
+few with unlike contexts, at the edges of repeats, are split into blocks of BLOCK strings, named by
+the bytes that all strings of a block share; blocks go the same way, and only those that a repeat's
+edge cuts are settled string by string.
 
 Equal texts are joined first: such texts of LENGTH bytes or more lose all bytes, and one of them
 stands in for all. Ranks are counted before the shuffle, so that a passage in a third of all texts
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Prefix, mix, stash, text_chunks, window_argmin
@@ -34,6 +36,7 @@ from .passages import _flat, attach
 LENGTH = 400
 GRAM = 32
 SPREAD = 200
+BLOCK = 16
 #: Prefix lengths that are ranked: the gram, its doublings, and what all strings of a place share.
 LENGTHS = (GRAM, 2 * GRAM, 4 * GRAM, LENGTH - SPREAD + 1)
 
@@ -72,7 +75,10 @@ def _grams(batches):
 
 
 def _suffixes(batches):
-    """Rows (r, b1, b2, b3, ctx, id, first, n): names of the gram, the bytes at each offset and the context."""
+    """Rows (r, b1, b2, b3, ctx, id, span): names of the gram, the bytes at each offset and the context.
+
+    A span is the first string, the place after it and the count of strings in one number.
+    """
     for batch in batches:
         for at, end, data, offs in text_chunks(batch):
             p, row, place, first, last = _places(data, offs)
@@ -81,8 +87,39 @@ def _suffixes(batches):
             ctx = mix(p.of(first, last + LENGTH) + mix((place - first).astype(np.uint64) * np.uint64(LENGTH) + (last - first).astype(np.uint64)))
             ids = batch.column("id").slice(at, end - at).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x.view(np.int64)) for x in (*names, ctx)), pa.array(ids[row]), pa.array((first - offs[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
-                names=["r", "b1", "b2", "b3", "ctx", "id", "first", "n"],
+                [*(pa.array(x.view(np.int64)) for x in (*names, ctx)), pa.array(ids[row]), pa.array((first - offs[row]) << 16 | (place - first) << 8 | (last - first + 1))],
+                names=["r", "b1", "b2", "b3", "ctx", "id", "span"],
+            )
+
+
+def _twice(data: np.ndarray) -> tuple[Prefix, Prefix]:
+    """Two fingerprints that don't depend on each other."""
+    return Prefix(data), Prefix(data, mix(np.arange(77, 333, dtype=np.uint64)))
+
+
+def _blocks(batches):
+    """Rows (core, c1, c2, id, at, n, own) of the blocks of the given spans of (id, text, spans); own is a span's lowest bit.
+
+    core names the bytes that all strings of a block share, c1 and c2 the block's context.
+    """
+    for batch in batches:
+        for at, end, data, offs in text_chunks(batch):
+            p, other = _twice(data)
+            of, span = _flat(batch.column("spans").slice(at, end - at))
+            own, n, before = span & 1, (span >> 1) & 255, (span >> 9) & 255
+            low = before - n + 1
+            blocks = before // BLOCK - low // BLOCK + 1
+            k = np.repeat(np.arange(len(span)), blocks)
+            b = (low // BLOCK)[k] + np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            far, near = np.minimum(BLOCK * b + BLOCK - 1, before[k]), np.maximum(BLOCK * b, low[k])
+            place = (offs[of] + (span >> 17) + before)[k]
+            core = mix(p.of(place - BLOCK * b, place - BLOCK * b - BLOCK + 1 + LENGTH) + mix(b.astype(np.uint64)))
+            bounds = mix((far * 256 + near).astype(np.uint64))
+            context = [mix(x.of(place - far, place - near + LENGTH) + bounds) for x in (p, other)]
+            ids = batch.column("id").slice(at, end - at).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x.view(np.int64)) for x in (core, *context)), pa.array(ids[of[k]]), pa.array((place - far - offs[of[k]]).astype(np.int32)), pa.array((far - near + 1).astype(np.int32)), pa.array(own[k].astype(bool))],
+                names=["core", "c1", "c2", "id", "at", "n", "own"],
             )
 
 
@@ -90,7 +127,7 @@ def _strings(batches):
     """Rows (w1, w2, id, at, own) of the strings at the given spans of (id, text, spans); a span is place, count and own in one number."""
     for batch in batches:
         for at, end, data, offs in text_chunks(batch):
-            p, other = Prefix(data), Prefix(data, mix(np.arange(77, 333, dtype=np.uint64)))
+            p, other = _twice(data)
             of, span = _flat(batch.column("spans").slice(at, end - at))
             n = (span >> 1) & 1023
             k = np.repeat(np.arange(len(span)), n)
@@ -137,6 +174,17 @@ def _reranked(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(ranks, ["r", name]).drop("r", name).withColumnRenamed("rank", "r")
 
 
+def _run(first: Column, n: Column) -> Column:
+    """The bytes of n strings from the first on: start and length in one number."""
+    return first.cast("long") * (1 << 20) + n - 1 + LENGTH
+
+
+def _unsettled(known: DataFrame, contexts: DataFrame, group: list[str], row: Column) -> DataFrame:
+    """In groups of several contexts, the rows whose context is unique, and one of each context that isn't."""
+    unlike = contexts.groupBy(*group).agg(F.count("*").alias("contexts")).filter("contexts > 1").select(*group)
+    return known.filter((F.col("times") == 1) | (row == F.col("least"))).join(unlike, group, "left_semi")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the other bytes, as binary), and cut, their text.
 
@@ -150,22 +198,31 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = attach(named, copies).filter("rep is null or rep").select("id", "text")
 
     seen = own.mapInArrow(_grams, "r long").groupBy("r").agg(F.count("*").alias("times")).filter("times > 1").select("r")
-    ranked = stash(own.mapInArrow(_suffixes, "r long, b1 long, b2 long, b3 long, ctx long, id long, first int, n int").join(seen, "r", "left_semi"))
+    ranked = stash(own.mapInArrow(_suffixes, "r long, b1 long, b2 long, b3 long, ctx long, id long, span long").join(seen, "r", "left_semi"))
     for name in ("b1", "b2", "b3"):
-        ranked = stash(_reranked(ranked, name))
-
-    contexts = stash(ranked.groupBy("r", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("id", "first")).alias("least")))
-    unlike = contexts.groupBy("r").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("r")
-    known = stash(ranked.join(contexts, ["r", "ctx"]))
-    whole = known.filter("times > 1").select("id", (F.col("first").cast("long") * (1 << 20) + F.col("n") - 1 + LENGTH).alias("place"))
-    edges = known.filter((F.col("times") == 1) | (F.struct("id", "first") == F.col("least"))).join(unlike, "r", "left_semi")
-    edges = edges.select("id", (F.col("first").cast("long") * 2048 + F.col("n") * 2 + (F.col("times") == 1).cast("int")).alias("span"))
+        ranked = stash(_reranked(ranked, name), done_with=(ranked,))
+
+    contexts = stash(ranked.groupBy("r", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("id", "span")).alias("least")))
+    known = stash(ranked.join(contexts, ["r", "ctx"]), done_with=(ranked,))
+    first, n = F.shiftright("span", 16), F.col("span").bitwiseAND(F.lit(255))
+    whole = stash(known.filter("times > 1").select("id", _run(first, n).alias("place")))
+    edges = _unsettled(known, contexts, ["r"], F.struct("id", "span")).select("id", (F.col("span") * 2 + (F.col("times") == 1).cast("int")).alias("span"))
+    spans = stash(edges.groupBy("id").agg(F.collect_list("span").alias("spans")), done_with=(known,))
+
+    blocks = stash(attach(own, spans).filter("spans is not null").mapInArrow(_blocks, "core long, c1 long, c2 long, id long, at int, n int, own boolean"))
+    shared = blocks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    blocks = stash(blocks.join(shared, "core", "left_semi"), done_with=(blocks,))
+    contexts = stash(blocks.groupBy("core", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("id", "at")).alias("least")))
+    known = stash(blocks.join(contexts, ["core", "c1", "c2"]), done_with=(blocks,))
+    parts = known.filter("times > 1 and own").select("id", _run(F.col("at"), F.col("n")).alias("place"))
+    edges = _unsettled(known, contexts, ["core"], F.struct("id", "at")).select("id", (F.col("at").cast("long") * 2048 + F.col("n") * 2 + (F.col("own") & (F.col("times") == 1)).cast("int")).alias("span"))
     spans = stash(edges.groupBy("id").agg(F.collect_list("span").alias("spans")))
+
     strings = stash(attach(own, spans).filter("spans is not null").mapInArrow(_strings, "w1 long, w2 long, id long, at int, own boolean"))
     again = strings.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1").select("w1", "w2")
-    hits = strings.filter("own").join(again, ["w1", "w2"], "left_semi").select("id", (F.col("at").cast("long") * (1 << 20) + LENGTH).alias("place"))
+    hits = strings.filter("own").join(again, ["w1", "w2"], "left_semi").select("id", _run(F.col("at"), F.lit(1)).alias("place"))
 
-    marks = whole.unionByName(hits).groupBy("id").agg(F.collect_list("place").alias("places")).withColumn("copy", F.lit(False))
+    marks = whole.unionByName(parts).unionByName(hits).groupBy("id").agg(F.collect_list("place").alias("places")).withColumn("copy", F.lit(False))
     marks = marks.unionByName(copies.select("id", F.lit(None).cast("array<long>").alias("places"), F.lit(True).alias("copy")))
     marks = stash(marks.groupBy("id").agg(F.max("copy").alias("copy"), F.max("places").alias("places")))
     marked = attach(rows, marks).select("id", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy"))
