@@ -38,6 +38,10 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), total.alias("n_tokens"), F.greatest(F.lit(1.0), F.coalesce(F.avg(n), F.lit(0.0))).alias("avg_tokens"))
 
 
+def _count(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+
+
 def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", scope: Column | None = None) -> DataFrame:
     """Rows (key, score) of the texts that hold a term of the query; scope: a test that they must pass.
 
@@ -46,7 +50,7 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
     """
     terms = query_terms(query)
     words = T.tokens(F.coalesce(F.col(text), F.lit("")))
-    counted = docs.select(key, *([scope.alias("_in")] if scope is not None else []), words.alias("_w")).select("*", F.size("_w").alias("_n"), *(F.size(F.filter("_w", lambda w, t=t: w == F.lit(t))).alias(f"_tf{k}") for k, t in enumerate(terms)))
+    counted = docs.select(key, *([scope.alias("_in")] if scope is not None else []), words.alias("_w")).select("*", F.size("_w").alias("_n"), *(_count(F.col("_w"), t).alias(f"_tf{k}") for k, t in enumerate(terms)))
     if not terms:
         return counted.filter(F.lit(False)).select(key, F.lit(0.0).alias("score"))
     stats = counted.agg(F.count("*").alias("_all"), F.greatest(F.lit(1.0), F.avg("_n")).alias("_avg"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(terms))))
