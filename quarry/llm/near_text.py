@@ -3,9 +3,10 @@
 A text's set is its distinct shingles of SHINGLE_WORDS words. TREES independent trees branch the
 sets: a node's children are chosen by minwise tokens, that is, a set goes to the child named by
 its smallest shingle under the hash function that the path selects. A node of at most NODE_ROWS
-sets is compared exhaustively; a larger one branches again, by BRANCHES functions each, up to
-DEPTH, past which it is cut into blocks whose pairs are all compared. Two sets of similarity 0.75
-meet in a child with probability 0.75, so that trees of depth 1 miss them with 0.25 ** TREES.
+sets is compared exhaustively; a larger one branches again, by one more function, up to DEPTH, past
+which it is compared whatever its size, as all pairs of its blocks of BLOCK_ROWS. Two sets of
+similarity s meet at depth d with probability s ** (d + 1): at 0.75 trees of depth 0 miss them with
+0.25 ** 10 = 1e-6, of depth 1 with 3e-4, of depth 4 with 0.07; at 0.9 trees of depth 4 with 1e-4.
 
 Equal sets become one before the first tree, so that copies cost nothing. Links are confirmed on
 full sets, in three rounds whose candidates grow with the rows and not with their pairs. First,
@@ -14,7 +15,8 @@ signature estimates. Then every set with the set of its node that has most links
 hold several components, and only these, branch further. Third, within them, every pair of unlike
 components that can be a link is checked in the task that holds the node, likeliest first, and
 only links that join components leave it. Signatures only sort out pairs whose estimate lies below
-ESTIMATE_AT_LEAST, five deviations under the threshold.
+ESTIMATE_AT_LEAST, five deviations under the threshold; in the third round, a sketch of BINS bins
+sorts out those that lie DEVIATIONS under it.
 
 Texts without words have no shingles, no links, and are kept. Shorter texts are one shingle. Rows
 that repeat an id merge their sets' groups under that id; a null id gets a row without links.
@@ -35,12 +37,14 @@ from .vectors import groups
 SHINGLE_WORDS = 5
 THRESHOLD = 75
 TREES = 10
-BRANCHES = 3
 DEPTH = 4
-NODE_ROWS = 512
+NODE_ROWS = 1024
+BLOCK_ROWS = 512
 SIGNATURE = 64
 NEAREST = 2
 ESTIMATE_AT_LEAST = 0.48
+BINS = 256
+DEVIATIONS = 4
 
 _SEEDS = np.random.default_rng(41).integers(1, 1 << 63, size=(2, SIGNATURE), dtype=np.uint64) | np.uint64(1)
 
@@ -77,7 +81,10 @@ def distinct_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _signed(batches):
-    """Rows (id, size, s1, s2, sig) from (id, text); s1 and s2 identify the set."""
+    """Rows (id, size, s1, s2, sig, fine) from (id, text); s1 and s2 identify the set.
+
+    fine has a byte of the smallest shingle of each bin of shingles, 0 for an empty bin.
+    """
     for batch in batches:
         for at, end, data, offs in text_chunks(batch, rows=1024):
             bounds, h = distinct_sets(data, offs)
@@ -92,9 +99,14 @@ def _signed(batches):
                 for k in range(SIGNATURE):
                     sig[some, k] = np.minimum.reduceat(((h ^ _SEEDS[0, k]) * _SEEDS[1, k]) >> np.uint64(32), begin)
             packed = sig.view("V%d" % (4 * SIGNATURE)).ravel().tolist()
+            bins = np.repeat(np.arange(n) * BINS, size) + (h >> np.uint64(64 - 8)).astype(np.int64)
+            least = np.flatnonzero(np.diff(bins, prepend=-1))
+            fine = np.zeros(n * BINS, dtype=np.uint8)
+            fine[bins[least]] = (h[least] % np.uint64(255)).astype(np.uint8) + 1
+            fine = fine.view(f"V{BINS}").tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(at, n), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(packed, pa.binary())],
-                names=["id", "size", "s1", "s2", "sig"],
+                [batch.column("id").slice(at, n), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(packed, pa.binary()), pa.array(fine, pa.binary())],
+                names=["id", "size", "s1", "s2", "sig", "fine"],
             )
 
 
@@ -107,9 +119,9 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, end - at), pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["id", "set"])
 
 
-def _coordinate(tree: int, depth: int, branch: int) -> int:
+def _coordinate(tree: int, depth: int) -> int:
     """The hash function that a path selects at a node."""
-    return tree if depth == 0 else (TREES + (tree * 7 + depth * 13 + branch * 29)) % SIGNATURE
+    return tree if depth == 0 else (TREES + tree * 7 + depth * 13) % SIGNATURE
 
 
 def _children(depth: int):
@@ -118,11 +130,11 @@ def _children(depth: int):
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, SIGNATURE)
-            for k in range(BRANCHES if depth else TREES):
+            for k in range(1 if depth else TREES):
                 if depth:
                     tree, parent = batch.column("tree").to_numpy(), batch.column("node").to_numpy().view(np.uint64)
-                    value = sig[np.arange(len(sig)), np.array([_coordinate(t, depth, k) for t in range(TREES)])[tree]].astype(np.uint64)
-                    node = mix(parent * np.uint64(31) + mix(value << np.uint64(16) | np.uint64(depth * 256 + k)))
+                    value = sig[np.arange(len(sig)), np.array([_coordinate(t, depth) for t in range(TREES)])[tree]].astype(np.uint64)
+                    node = mix(parent * np.uint64(31) + mix(value << np.uint64(16) | np.uint64(depth * 256)))
                 else:
                     tree, node = np.full(len(sig), k, dtype=np.int32), mix(sig[:, k].astype(np.uint64) << np.uint64(8) | np.uint64(k))
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(tree), batch.column("id")], names=["node", "tree", "id"])
@@ -138,15 +150,30 @@ def _estimates(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return out / np.float32(SIGNATURE)
 
 
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), BINS)
+
+
 def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), SIGNATURE)
 
 
-def _candidates(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Estimates of left by right rows, zero where sizes or the estimate rule a link out."""
+def _candidates(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray | None = None, fine: np.ndarray | None = None) -> np.ndarray:
+    """Estimates of left by right rows, zero where sizes or the estimate rule a link out, or in a component."""
     near = _estimates(sig, left, right)
     small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
     near[(near < ESTIMATE_AT_LEAST) | (100 * small < THRESHOLD * large)] = 0
+    if comp is not None:
+        near[comp[left][:, None] == comp[right][None, :]] = 0
+    if fine is not None:
+        p, q = np.nonzero(near)
+        for at in range(0, len(p), 8192):
+            i, j = p[at : at + 8192], q[at : at + 8192]
+            a, b = fine[left[i]], fine[right[j]]
+            filled, same = ((a | b) != 0).sum(axis=1), ((a == b) & (a != 0)).sum(axis=1)
+            share = THRESHOLD / 100
+            weak = same < share * filled - DEVIATIONS * np.sqrt(share * (1 - share) * filled)
+            near[i[weak], j[weak]] = 0
     return near
 
 
@@ -185,7 +212,7 @@ def _open(batches):
     for group in groups(batches, ("node", "i", "j")):
         ids, size, comp, sig = group["id"].to_numpy(), group["size"].to_numpy(), group["comp"].to_numpy(), _signatures(group["sig"])
         left, right = _sides(group)
-        near = (_candidates(sig, size, left, right) > 0) & (comp[left][:, None] != comp[right][None, :])
+        near = _candidates(sig, size, left, right, comp, _sketches(group["fine"])) > 0
         found = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
         yield pa.RecordBatch.from_arrays([group["node"].combine_chunks().take(pa.array(found)), pa.array(ids[found])], names=["node", "id"])
 
@@ -204,8 +231,7 @@ def _settled(batches):
         ids, size, comp, sig = group["id"].to_numpy(), group["size"].to_numpy(), group["comp"].to_numpy(), _signatures(group["sig"])
         sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["set"]]
         left, right = _sides(group)
-        near = _candidates(sig, size, left, right)
-        near[comp[left][:, None] == comp[right][None, :]] = 0
+        near = _candidates(sig, size, left, right, comp, _sketches(group["fine"]))
         p, q = np.nonzero(near)
         order = np.argsort(-near[p, q], kind="stable")
         root: dict[int, int] = {}
@@ -237,9 +263,9 @@ def _confirmed(batches):
 
 def _block_pairs(rows: DataFrame, parts: int, *more: str) -> DataFrame:
     """Rows with n, their node's count, dealt to the pairs of blocks of the node and sorted for groups()."""
-    blocks = F.ceil(F.col("n") / NODE_ROWS).cast("int")
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     placed = rows.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    work = placed.select("node", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "comp", "size", "sig", *more)
+    work = placed.select("node", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "comp", "size", "sig", "fine", *more)
     return work.repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j", "id")
 
 
@@ -248,10 +274,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stash(rows.mapInArrow(_signed, "id long, size long, s1 long, s2 long, sig binary"))
+    signed = stash(rows.mapInArrow(_signed, "id long, size long, s1 long, s2 long, sig binary, fine binary"))
     filled = signed.filter("size > 0 and id is not null")
-    classes = stash(filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
-    signs = classes.groupBy("id").agg(F.max("size").alias("size"), F.max("sig").alias("sig"))
+    classes = stash(filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.min("fine").alias("fine")))
+    signs = classes.groupBy("id").agg(F.max("size").alias("size"), F.max("sig").alias("sig"), F.max("fine").alias("fine"))
     sets_of = lambda ids: rows.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, set binary").groupBy("id").agg(F.max("set").alias("set"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -260,27 +286,28 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
         return stash(left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long"))
 
-    def placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    def placed(members: DataFrame, reach: DataFrame) -> DataFrame:
         """Members of nodes that hold several components, with comp, and n, the node's count."""
-        known = members.join(components(links).select(F.col("node").alias("id"), "component"), "id", "left")
+        known = members.join(reach.select(F.col("node").alias("id"), "component"), "id", "left")
         known = stash(known.select("node", "tree", "id", F.coalesce("component", "id").alias("comp")))
         mixed = known.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("node", "n")
         return stash(known.join(mixed, "node"))
 
     level = signs.select("id", "sig").mapInArrow(_children(0), "node long, tree int, id long")
     members = stash(level.join(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"))
-    dealt = members.join(signs, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / NODE_ROWS).cast("int")).cast("int"))
+    dealt = members.join(signs, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).cast("int"))
     dealt = dealt.select("node", "blk", "id", "size", "sig").repartition(parts, "node", "blk").sortWithinPartitions("node", "blk", "id")
     links = confirm(dealt.mapInArrow(_nearest, "a long, b long"))
 
-    mixed = placed(members.drop("n"), links)
+    mixed = placed(members.drop("n"), components(links))
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
     hubs = mixed.join(degree, "id").groupBy("node").agg(F.max(F.struct("degree", "id", "comp")).alias("hub")).select("node", F.col("hub.id").alias("b"), F.col("hub.comp").alias("hub_comp"))
     spokes = mixed.join(hubs, "node").filter("comp <> hub_comp").select(F.col("id").alias("a"), "b").distinct()
-    spokes = spokes.join(signs.withColumnRenamed("id", "a"), "a").join(signs.select(F.col("id").alias("b"), F.col("size").alias("hub_size"), F.col("sig").alias("hub_sig")), "b")
+    spokes = spokes.join(signs.select(F.col("id").alias("a"), "size", "sig"), "a").join(signs.select(F.col("id").alias("b"), F.col("size").alias("hub_size"), F.col("sig").alias("hub_sig")), "b")
     links = links.unionByName(confirm(spokes.mapInArrow(_likely, "a long, b long")))
 
-    mixed, ready = placed(mixed.select("node", "tree", "id"), links), []
+    reach = components(links)
+    mixed, ready = placed(mixed.select("node", "tree", "id"), reach), []
     for depth in range(1, DEPTH + 1):
         large = mixed.filter(F.col("n") > NODE_ROWS)
         if depth == DEPTH or large.isEmpty():
@@ -288,7 +315,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             break
         ready.append(mixed.filter(F.col("n") <= NODE_ROWS))
         below = large.join(signs.select("id", "sig"), "id").mapInArrow(_children(depth), "node long, tree int, id long").distinct()
-        mixed = placed(below, links)
+        mixed = placed(below, reach)
     nodes = ready[0]
     for more in ready[1:]:
         nodes = nodes.unionByName(more)
