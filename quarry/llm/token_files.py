@@ -28,7 +28,7 @@ from ._pieces import split_pieces
 from ._shared import text_chunks
 
 END_ID = 1
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 _JOINED = 64
 
 
