@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER_VALUES, mix, stash, text_chunks, window_hashes, word_bounds, word_hashes
+from ._shared import LOWER_VALUES, mix, stash, stashed_bytes, text_chunks, window_hashes, word_bounds, word_hashes
 from .components import components
+from .passages import BROADCAST_BYTES
 from .vectors import groups
 
 SHINGLE_WORDS = 5
@@ -278,11 +279,16 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     filled = signed.filter("size > 0 and id is not null")
     classes = stash(filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.min("fine").alias("fine")))
     signs = classes.groupBy("id").agg(F.max("size").alias("size"), F.max("sig").alias("sig"), F.max("fine").alias("fine"))
-    sets_of = lambda ids: rows.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, set binary").groupBy("id").agg(F.max("set").alias("set"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, set) of the texts of these ids; while the ids are few, texts are not shuffled for it."""
+        few = stash(ids.distinct())
+        few = F.broadcast(few) if stashed_bytes(few) <= BROADCAST_BYTES else few
+        return rows.join(few, "id", "left_semi").mapInArrow(_sets, "id long, set binary").groupBy("id").agg(F.max("set").alias("set"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs.distinct())
-        sets = stash(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
+        sets = stash(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))))
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
         return stash(left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long"))
 
@@ -322,7 +328,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     found = _block_pairs(nodes.join(signs, "id"), parts).mapInArrow(_open, "node long, id long").distinct()
     unsettled = stash(nodes.drop("n").join(found, ["node", "id"], "left_semi"))
     counts = unsettled.groupBy("node").agg(F.count("*").alias("n"))
-    sets = sets_of(unsettled.select("id").distinct())
+    sets = sets_of(unsettled.select("id"))
     last = _block_pairs(unsettled.join(counts, "node").join(signs, "id").join(sets, "id"), parts, "set").mapInArrow(_settled, "a long, b long")
     copies = filled.join(classes.select("s1", "s2", "size", F.col("id").alias("b")), ["s1", "s2", "size"]).filter("id <> b").select(F.col("id").alias("a"), "b")
     reach = components(links.unionByName(stash(last)).unionByName(copies))
