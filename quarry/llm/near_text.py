@@ -9,9 +9,10 @@ similarity s meet at depth d with probability s ** (d + 1): at 0.75 trees of dep
 0.25 ** 10 = 1e-6, of depth 1 with 3e-4, of depth 4 with 0.07; at 0.9 trees of depth 4 with 1e-4.
 
 Equal sets become one before the first tree, so that copies cost nothing. Links are confirmed on
-full sets, in three rounds whose candidates grow with the rows and not with their pairs. First,
-within blocks of a node, each set with its nearest ones and with the one nearest to all, as its
-signature estimates. Then every set with the set of its node that has most links. Nodes that still
+full sets, in three rounds whose candidates grow with the rows and not with their pairs. First, each
+set with the nearest one that any of its nodes' blocks holds, and with the nearest of the blocks'
+hubs (a hub is nearest to all of its block), as its signature estimates; these two a set are all,
+whatever the number of trees. Then every set with the set of its node that has most links. Nodes that still
 hold several components, and only these, branch further. Third, within them, every pair of unlike
 components that can be a link is checked in the task that holds the node, likeliest first, and
 only links that join components leave it. Signatures only sort out pairs whose estimate lies below
@@ -42,7 +43,6 @@ DEPTH = 4
 NODE_ROWS = 1024
 BLOCK_ROWS = 512
 SIGNATURE = 64
-NEAREST = 2
 ESTIMATE_AT_LEAST = 0.48
 BINS = 256
 DEVIATIONS = 4
@@ -179,18 +179,18 @@ def _candidates(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.n
 
 
 def _nearest(batches):
-    """Candidate pairs (a, b): each row of a block with its nearest rows and with the row that is nearest to all."""
+    """Rows (id, near, share, hub, hub_share): each row of a block, its nearest row and the block's hub, which is nearest to all; null where none."""
     for group in groups(batches, ("node", "blk")):
         ids, size, sig = group["id"].to_numpy(), group["size"].to_numpy(), _signatures(group["sig"])
         rows = np.arange(len(ids))
         near = _candidates(sig, size, rows, rows)
         near[rows, rows] = 0
-        to = np.argsort(-near, axis=1, kind="stable")[:, :NEAREST]
-        to = np.concatenate([to, np.full((len(ids), 1), near.sum(axis=0).argmax())], axis=1)
-        p, q = np.repeat(rows, to.shape[1]), to.ravel()
-        some = near[p, q] > 0
-        a, b = ids[p[some]], ids[q[some]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        to, hub = near.argmax(axis=1), np.full(len(ids), near.sum(axis=0).argmax())
+        columns = [pa.array(ids)]
+        for place in (to, hub):
+            share = near[rows, place]
+            columns += [pa.array(ids[place], mask=share == 0), pa.array(share, mask=share == 0)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "near", "share", "hub", "hub_share"]).filter(pa.array(near.any(axis=1)))
 
 
 def _likely(batches):
@@ -303,7 +303,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     members = stash(level.join(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"))
     dealt = members.join(signs, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).cast("int"))
     dealt = dealt.select("node", "blk", "id", "size", "sig").repartition(parts, "node", "blk").sortWithinPartitions("node", "blk", "id")
-    links = confirm(dealt.mapInArrow(_nearest, "a long, b long"))
+    found = dealt.mapInArrow(_nearest, "id long, near long, share float, hub long, hub_share float")
+    best = found.groupBy("id").agg(F.max(F.struct("share", "near")).alias("x"), F.max(F.struct("hub_share", "hub")).alias("y"))
+    to = best.select("id", F.explode(F.array("x.near", "y.hub")).alias("to")).filter("to is not null")
+    links = confirm(to.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")))
 
     mixed = placed(members.drop("n"), components(links))
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
