@@ -27,3 +27,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if after.filter("label <> old").isEmpty():
             return after.select("node", F.col("label").alias("component"))
         labels = after.select("node", "label")
+
+
+def merged(reach: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of all links that gave reach and of links (a, b), from those that join its components.
+
+    Links within a component drop out first, so that what the rounds read shrinks to what is new.
+    Nodes that reach doesn't hold are components of their own until a link names them.
+    """
+    at = reach.select(F.col("node").alias("n"), "component")
+    a, b = at.toDF("a", "ca"), at.toDF("b", "cb")
+    short = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(short)
+    fresh = over.join(reach.select("node"), "node", "left_anti")
+    moved = reach.join(over.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stash(moved.unionByName(fresh))

@@ -8,7 +8,8 @@ which it is compared whatever its size, as all pairs of its blocks of BLOCK_ROWS
 similarity s meet at depth d with probability s ** (d + 1): at 0.75 trees of depth 0 miss them with
 0.25 ** 10 = 1e-6, of depth 1 with 3e-4, of depth 4 with 0.07; at 0.9 trees of depth 4 with 1e-4.
 
-Equal sets become one before the first tree, so that copies cost nothing. Links are confirmed on
+Equal sets become one before the first tree, and their copies take its component at the end, so that
+copies cost nothing. Each round's links only join the components that earlier rounds found. Links are confirmed on
 full sets, in three rounds whose candidates grow with the rows and not with their pairs. First, each
 set with the nearest one that any of its nodes' blocks holds, and with the nearest of the blocks'
 hubs (a hub is nearest to all of its block), as its signature estimates; these two a set are all,
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import LOWER_VALUES, mix, stash, stashed_bytes, text_chunks, window_hashes, word_bounds, word_hashes
-from .components import components
+from .components import components, merged
 from .passages import BROADCAST_BYTES
 from .vectors import groups
 
@@ -308,14 +309,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     to = best.select("id", F.explode(F.array("x.near", "y.hub")).alias("to")).filter("to is not null")
     links = confirm(to.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")))
 
-    mixed = placed(members.drop("n"), components(links))
+    reach = components(links)
+    mixed = placed(members.drop("n"), reach)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
     hubs = mixed.join(degree, "id").groupBy("node").agg(F.max(F.struct("degree", "id", "comp")).alias("hub")).select("node", F.col("hub.id").alias("b"), F.col("hub.comp").alias("hub_comp"))
     spokes = mixed.join(hubs, "node").filter("comp <> hub_comp").select(F.col("id").alias("a"), "b").distinct()
     spokes = spokes.join(signs.select(F.col("id").alias("a"), "size", "sig"), "a").join(signs.select(F.col("id").alias("b"), F.col("size").alias("hub_size"), F.col("sig").alias("hub_sig")), "b")
-    links = links.unionByName(confirm(spokes.mapInArrow(_likely, "a long, b long")))
+    reach = merged(reach, confirm(spokes.mapInArrow(_likely, "a long, b long")))
 
-    reach = components(links)
     mixed, ready = placed(mixed.select("node", "tree", "id"), reach), []
     for depth in range(1, DEPTH + 1):
         large = mixed.filter(F.col("n") > NODE_ROWS)
@@ -333,9 +334,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     counts = unsettled.groupBy("node").agg(F.count("*").alias("n"))
     sets = sets_of(unsettled.select("id"))
     last = _block_pairs(unsettled.join(counts, "node").join(signs, "id").join(sets, "id"), parts, "set").mapInArrow(_settled, "a long, b long")
-    copies = filled.join(classes.select("s1", "s2", "size", F.col("id").alias("b")), ["s1", "s2", "size"]).filter("id <> b").select(F.col("id").alias("a"), "b")
-    reach = components(links.unionByName(stash(last)).unionByName(copies))
-    return signed.select("id", "size").join(reach.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
+    reach = merged(reach, stash(last))
+
+    owned = stash(filled.join(classes.select("s1", "s2", "size", F.col("id").alias("b")), ["s1", "s2", "size"]).select("id", "b"))
+    first = owned.groupBy("id").agg(F.min("b").alias("least"), F.max("b").alias("most"))
+    several = owned.join(first.filter("least <> most").select("id", "least"), "id").filter("b <> least")
+    reach = merged(reach, several.select("b", F.col("least").alias("a")).distinct())
+    found = first.join(reach.select(F.col("node").alias("least"), "component"), "least", "left").select("id", F.coalesce("component", "least").alias("component"))
+    return signed.select("id", "size").join(found, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import bpe, contamination, language, near_text, passages, queries, suffixes, vectors, warc
+from quarry.llm import bpe, components, contamination, language, near_text, passages, queries, suffixes, vectors, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -139,3 +139,22 @@ def test_language_of_texts_without_letters(spark):
     docs = spark.createDataFrame([(1, "der und die", "de"), (2, "the and of", "en"), (3, "12 !?", None), (4, None, None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.learn(docs, F.lit(True))).collect()}
     assert (got[3], got[4]) == ("und", "und")
+
+
+def test_merged_components_equal_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    reach = components.components(table(links[:20]))
+    for part in (links[20:35], [], links[35:]):
+        reach = components.merged(reach, table(part))
+    want = components.components(table(links))
+    found = {tuple(r) for r in reach.collect()}
+    assert found == {tuple(r) for r in want.collect()}
+    assert len(found) == reach.count()
+
+
+def test_repeated_ids_join_the_groups_of_their_texts(spark):
+    docs = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "p q r s t"), (2, "p q r s t"), (4, "x y"), (5, None)]
+    got = {(r["id"], r["component"]) for r in near_text.similar(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
