@@ -16,6 +16,9 @@ from quarry.llm import bpe, contamination, language, near_text, suffixes
 from quarry.llm._shared import stash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Passages of over 50 words that occur elsewhere are cut; so many words, and a space between each, have at least PASSAGE_BYTES.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that occur elsewhere go; characters cut apart go as a whole."""
-    cut = suffixes.remove_repeats(docs).filter("n_removed > 0").select(F.col("id").alias("doc_id"), "cut")
+    """Passages of over 50 words, and strings of 400 bytes, that occur elsewhere go; characters cut apart go as a whole."""
+    cut = suffixes.remove_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS).filter("n_removed > 0").select(F.col("id").alias("doc_id"), "cut")
     cut = stash(cut.groupBy("doc_id").agg(F.max("cut").alias("cut")))
     text = F.coalesce(F.col("cut"), F.col("text"))
     joined = docs.join(cut, "doc_id", "left")

@@ -1,11 +1,13 @@
 """Suffix-array dedup by distributed prefix doubling, on sampled suffixes.
 
 A row per byte would be a sort of the whole corpus many times over, so the suffixes that are
-sorted are sampled by content: every string of LENGTH bytes selects the place with the smallest
-fingerprint of GRAM bytes among its first SPREAD places. Equal strings select the same place. All
-strings that select a place contain the LENGTH - SPREAD + 1 bytes from it on.
+sorted are sampled by content: every string of `length` bytes (LENGTH unless said otherwise)
+selects the place with the smallest fingerprint of GRAM bytes among its first spread(length) places.
+Equal strings select the same place. All strings that select a place contain the
+length - spread(length) + 1 bytes from it on.
 
-Prefix doubling then ranks the sampled suffixes by their first 32, 64, 128 and 201 bytes: Spark
+Prefix doubling then ranks the sampled suffixes by their first 32, 64, 128 and 201 bytes (as far as
+that many are shared: 32 and 52 for a length of 101): Spark
 sorts the pairs of a suffix's rank and the name of the bytes at the offset, and numbers those that
 occur more than once in sorted order; unique suffixes drop out. (The name is a fingerprint, as the
 place at the offset is not itself a sampled suffix.) Of those that are left, suffixes whose whole
@@ -14,11 +16,14 @@ few with unlike contexts, at the edges of repeats, are split into blocks of BLOC
 the bytes that all strings of a block share; blocks go the same way, and only those that a repeat's
 edge cuts are settled string by string.
 
-Equal texts are joined first: such texts of LENGTH bytes or more lose all bytes, and one of them
+Equal texts are joined first: such texts of that length or more lose all bytes, and one of them
 stands in for all. Ranks are counted before the shuffle, so that a passage in a third of all texts
 is one row per task; the joins that bring ranks back can be split.
 
-Null and empty texts have no bytes and lose nothing, nor do texts shorter than LENGTH. Rows that
+Passages counted in words are found as strings of the fewest bytes that so many words have; with
+least_words, runs that hold fewer whole words, and are shorter than LENGTH, are then left in.
+
+Null and empty texts have no bytes and lose nothing, nor do texts shorter than that length. Rows that
 repeat a key are texts of one key: strings count in each, and each loses what any of them loses
 at that place. A null key loses nothing and removes nothing. Empty tables give empty results.
 """
@@ -30,35 +35,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Prefix, mix, stash, text_chunks, window_argmin
+from ._shared import Prefix, mix, stash, text_chunks, window_argmin, word_bounds
 from .passages import _flat, attach
 
 LENGTH = 400
 GRAM = 32
-SPREAD = 200
+MOST_SPREAD = 200
 BLOCK = 16
-#: Prefix lengths that are ranked: the gram, its doublings, and what all strings of a place share.
-LENGTHS = (GRAM, 2 * GRAM, 4 * GRAM, LENGTH - SPREAD + 1)
 
 
-def _starts(offs: np.ndarray) -> np.ndarray:
-    """The places at which a string of LENGTH bytes starts within its row."""
+def spread(length: int) -> int:
+    """Of so many places at the start of a string one is selected; a span's fields hold up to 255."""
+    return min(length // 2, MOST_SPREAD)
+
+
+def prefixes(length: int) -> list[int]:
+    """Prefix lengths that are ranked: the gram, its doublings, and what all strings of a place share."""
+    out, shared = [GRAM], length - spread(length) + 1
+    while out[-1] * 2 < shared:
+        out.append(out[-1] * 2)
+    return [*out, shared] if out[-1] < shared else out
+
+
+def _starts(offs: np.ndarray, length: int) -> np.ndarray:
+    """The places at which a string of that length starts within its row."""
     size = np.diff(offs)
-    some = np.flatnonzero(size >= LENGTH)
+    some = np.flatnonzero(size >= length)
     edge = np.zeros(int(offs[-1]) + 1, dtype=np.int8)
     edge[offs[:-1][some]] += 1
-    edge[offs[1:][some] - LENGTH + 1] -= 1
+    edge[offs[1:][some] - length + 1] -= 1
     return np.flatnonzero(np.cumsum(edge, dtype=np.int32)[:-1])
 
 
-def _places(data: np.ndarray, offs: np.ndarray) -> tuple[Prefix, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _places(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[Prefix, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprints, row, place, first, last) of the sampled suffixes; strings at first..last select the place."""
     p = Prefix(data)
-    begin = _starts(offs)
+    begin = _starts(offs, length)
     if not len(begin):
         return p, *(np.zeros(0, dtype=np.int64) for _ in range(4))
     at = np.arange(len(data) - GRAM + 1)
-    place = window_argmin(mix(p.of(at, at + GRAM)), SPREAD)[begin]
+    place = window_argmin(mix(p.of(at, at + GRAM)), spread(length))[begin]
     row = np.searchsorted(offs, begin, side="right") - 1
     new = np.ones(len(begin), dtype=bool)
     new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
@@ -66,29 +82,29 @@ def _places(data: np.ndarray, offs: np.ndarray) -> tuple[Prefix, np.ndarray, np.
     return p, row[k], place[k], begin[k], begin[np.append(k[1:], len(begin)) - 1]
 
 
-def _grams(batches):
+def _grams(batches, length):
     """Rows (r) of the sampled suffixes' first names."""
     for batch in batches:
         for _, _, data, offs in text_chunks(batch):
-            p, _, place, _, _ = _places(data, offs)
+            p, _, place, _, _ = _places(data, offs, length)
             yield pa.RecordBatch.from_arrays([pa.array(mix(p.of(place, place + GRAM)).view(np.int64))], names=["r"])
 
 
-def _suffixes(batches):
-    """Rows (r, b1, b2, b3, ctx, id, span): names of the gram, the bytes at each offset and the context.
+def _suffixes(batches, length):
+    """Rows (r, b1, b2 and so on, ctx, id, span): names of the gram, the bytes at each offset and the context.
 
     A span is the first string, the place after it and the count of strings in one number.
     """
+    cut = [0, *prefixes(length)]
     for batch in batches:
         for at, end, data, offs in text_chunks(batch):
-            p, row, place, first, last = _places(data, offs)
-            cut = [0, *LENGTHS]
+            p, row, place, first, last = _places(data, offs, length)
             names = [mix(p.of(place + i, place + j)) for i, j in zip(cut, cut[1:], strict=False)]
-            ctx = mix(p.of(first, last + LENGTH) + mix((place - first).astype(np.uint64) * np.uint64(LENGTH) + (last - first).astype(np.uint64)))
+            ctx = mix(p.of(first, last + length) + mix((place - first).astype(np.uint64) * np.uint64(length) + (last - first).astype(np.uint64)))
             ids = batch.column("id").slice(at, end - at).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(x.view(np.int64)) for x in (*names, ctx)), pa.array(ids[row]), pa.array((first - offs[row]) << 16 | (place - first) << 8 | (last - first + 1))],
-                names=["r", "b1", "b2", "b3", "ctx", "id", "span"],
+                names=["r", *(f"b{k}" for k in range(1, len(names))), "ctx", "id", "span"],
             )
 
 
@@ -97,7 +113,7 @@ def _twice(data: np.ndarray) -> tuple[Prefix, Prefix]:
     return Prefix(data), Prefix(data, mix(np.arange(77, 333, dtype=np.uint64)))
 
 
-def _blocks(batches):
+def _blocks(batches, length):
     """Rows (core, c1, c2, id, at, n, own) of the blocks of the given spans of (id, text, spans); own is a span's lowest bit.
 
     core names the bytes that all strings of a block share, c1 and c2 the block's context.
@@ -113,9 +129,9 @@ def _blocks(batches):
             b = (low // BLOCK)[k] + np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             far, near = np.minimum(BLOCK * b + BLOCK - 1, before[k]), np.maximum(BLOCK * b, low[k])
             place = (offs[of] + (span >> 17) + before)[k]
-            core = mix(p.of(place - BLOCK * b, place - BLOCK * b - BLOCK + 1 + LENGTH) + mix(b.astype(np.uint64)))
+            core = mix(p.of(place - BLOCK * b, place - BLOCK * b - BLOCK + 1 + length) + mix(b.astype(np.uint64)))
             bounds = mix((far * 256 + near).astype(np.uint64))
-            context = [mix(x.of(place - far, place - near + LENGTH) + bounds) for x in (p, other)]
+            context = [mix(x.of(place - far, place - near + length) + bounds) for x in (p, other)]
             ids = batch.column("id").slice(at, end - at).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(x.view(np.int64)) for x in (core, *context)), pa.array(ids[of[k]]), pa.array((place - far - offs[of[k]]).astype(np.int32)), pa.array((far - near + 1).astype(np.int32)), pa.array(own[k].astype(bool))],
@@ -123,7 +139,7 @@ def _blocks(batches):
             )
 
 
-def _strings(batches):
+def _strings(batches, length):
     """Rows (w1, w2, id, at, own) of the strings at the given spans of (id, text, spans); a span is place, count and own in one number."""
     for batch in batches:
         for at, end, data, offs in text_chunks(batch):
@@ -135,12 +151,27 @@ def _strings(batches):
             byte = offs[of[k]] + place
             ids = batch.column("id").slice(at, end - at).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(x.of(byte, byte + LENGTH)).view(np.int64)) for x in (p, other)] + [pa.array(ids[of[k]]), pa.array(place.astype(np.int32)), pa.array((span & 1)[k].astype(bool))],
+                [pa.array(mix(x.of(byte, byte + length)).view(np.int64)) for x in (p, other)] + [pa.array(ids[of[k]]), pa.array(place.astype(np.int32)), pa.array((span & 1)[k].astype(bool))],
                 names=["w1", "w2", "id", "at", "own"],
             )
 
 
-def _cut(batches):
+def _long_enough(gone: np.ndarray, data: np.ndarray, offs: np.ndarray, least_words: int) -> np.ndarray:
+    """gone without the runs that hold fewer whole words and are shorter than LENGTH; runs end at row bounds."""
+    if not gone.any():
+        return gone
+    new = gone.copy()
+    new[1:] &= ~gone[:-1]
+    firsts = offs[:-1][np.diff(offs) > 0]
+    new[firsts] = gone[firsts]
+    run = np.cumsum(new)
+    starts, ends, _ = word_bounds(data, offs)
+    inside = gone[starts] & gone[ends - 1] & (run[starts] == run[ends - 1])
+    words, size = np.bincount(run[starts[inside]], minlength=run[-1] + 1), np.bincount(run[gone], minlength=run[-1] + 1)
+    return gone & ((words >= least_words) | (size >= LENGTH))[run]
+
+
+def _cut(batches, length, least_words):
     """Rows (id, n_bytes, n_removed, n_spans, kept, cut) from (id, text, places, copy); a place is start and length in one number."""
     for batch in batches:
         for at, end, data, offs in text_chunks(batch):
@@ -153,8 +184,10 @@ def _cut(batches):
             np.add.at(edge, begin[within], 1)
             np.add.at(edge, stop[within], -1)
             gone = np.cumsum(edge)[:-1] > 0
-            copy = batch.column("copy").slice(at, n).to_numpy(zero_copy_only=False).astype(bool) & (size >= LENGTH)
+            copy = batch.column("copy").slice(at, n).to_numpy(zero_copy_only=False).astype(bool) & (size >= length)
             gone |= np.repeat(copy, size)
+            if least_words:
+                gone = _long_enough(gone, data, offs, least_words)
             starts = gone.copy()
             starts[1:] &= ~gone[:-1]
             firsts = offs[:-1][size > 0]
@@ -174,9 +207,9 @@ def _reranked(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(ranks, ["r", name]).drop("r", name).withColumnRenamed("rank", "r")
 
 
-def _run(first: Column, n: Column) -> Column:
+def _run(first: Column, n: Column, length: int) -> Column:
     """The bytes of n strings from the first on: start and length in one number."""
-    return first.cast("long") * (1 << 20) + n - 1 + LENGTH
+    return first.cast("long") * (1 << 20) + n - 1 + length
 
 
 def _unsettled(known: DataFrame, contexts: DataFrame, group: list[str], row: Column) -> DataFrame:
@@ -185,45 +218,54 @@ def _unsettled(known: DataFrame, contexts: DataFrame, group: list[str], row: Col
     return known.filter((F.col("times") == 1) | (row == F.col("least"))).join(unlike, group, "left_semi")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _by(step, *given):
+    return lambda batches: step(batches, *given)
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the other bytes, as binary), and cut, their text.
 
-    cut leaves out characters of which a part is removed, and is null where nothing is.
+    cut leaves out characters of which a part is removed, and is null where nothing is. Strings of
+    `length` bytes count as repeats; of the runs that they cover, those of least_words whole words or
+    of LENGTH bytes go, or all with least_words 0.
     """
+    if length < 2 * GRAM:
+        raise ValueError(f"length is {length}; it must be at least {2 * GRAM}")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    named = rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    named = rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     same = F.sha2("text", 256).alias("same")
     equal = named.groupBy(same).agg(F.min("id").alias("rep"), F.count("*").alias("times")).filter("times > 1")
     copies = stash(named.select("id", same).join(equal, "same").select("id", F.col("id").eqNullSafe(F.col("rep")).alias("rep")).groupBy("id").agg(F.max("rep").alias("rep")))
     own = attach(named, copies).filter("rep is null or rep").select("id", "text")
 
-    seen = own.mapInArrow(_grams, "r long").groupBy("r").agg(F.count("*").alias("times")).filter("times > 1").select("r")
-    ranked = stash(own.mapInArrow(_suffixes, "r long, b1 long, b2 long, b3 long, ctx long, id long, span long").join(seen, "r", "left_semi"))
-    for name in ("b1", "b2", "b3"):
+    seen = own.mapInArrow(_by(_grams, length), "r long").groupBy("r").agg(F.count("*").alias("times")).filter("times > 1").select("r")
+    later = [f"b{k}" for k in range(1, len(prefixes(length)))]
+    ranked = stash(own.mapInArrow(_by(_suffixes, length), ", ".join(f"{c} long" for c in ("r", *later, "ctx", "id", "span"))).join(seen, "r", "left_semi"))
+    for name in later:
         ranked = stash(_reranked(ranked, name), done_with=(ranked,))
 
     contexts = stash(ranked.groupBy("r", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("id", "span")).alias("least")))
     known = stash(ranked.join(contexts, ["r", "ctx"]), done_with=(ranked,))
     first, n = F.shiftright("span", 16), F.col("span").bitwiseAND(F.lit(255))
-    whole = stash(known.filter("times > 1").select("id", _run(first, n).alias("place")))
+    whole = stash(known.filter("times > 1").select("id", _run(first, n, length).alias("place")))
     edges = _unsettled(known, contexts, ["r"], F.struct("id", "span")).select("id", (F.col("span") * 2 + (F.col("times") == 1).cast("int")).alias("span"))
     spans = stash(edges.groupBy("id").agg(F.collect_list("span").alias("spans")), done_with=(known,))
 
-    blocks = stash(attach(own, spans).filter("spans is not null").mapInArrow(_blocks, "core long, c1 long, c2 long, id long, at int, n int, own boolean"))
+    blocks = stash(attach(own, spans).filter("spans is not null").mapInArrow(_by(_blocks, length), "core long, c1 long, c2 long, id long, at int, n int, own boolean"))
     shared = blocks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
     blocks = stash(blocks.join(shared, "core", "left_semi"), done_with=(blocks,))
     contexts = stash(blocks.groupBy("core", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("id", "at")).alias("least")))
     known = stash(blocks.join(contexts, ["core", "c1", "c2"]), done_with=(blocks,))
-    parts = known.filter("times > 1 and own").select("id", _run(F.col("at"), F.col("n")).alias("place"))
+    parts = known.filter("times > 1 and own").select("id", _run(F.col("at"), F.col("n"), length).alias("place"))
     edges = _unsettled(known, contexts, ["core"], F.struct("id", "at")).select("id", (F.col("at").cast("long") * 2048 + F.col("n") * 2 + (F.col("own") & (F.col("times") == 1)).cast("int")).alias("span"))
     spans = stash(edges.groupBy("id").agg(F.collect_list("span").alias("spans")))
 
-    strings = stash(attach(own, spans).filter("spans is not null").mapInArrow(_strings, "w1 long, w2 long, id long, at int, own boolean"))
+    strings = stash(attach(own, spans).filter("spans is not null").mapInArrow(_by(_strings, length), "w1 long, w2 long, id long, at int, own boolean"))
     again = strings.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1").select("w1", "w2")
-    hits = strings.filter("own").join(again, ["w1", "w2"], "left_semi").select("id", _run(F.col("at"), F.lit(1)).alias("place"))
+    hits = strings.filter("own").join(again, ["w1", "w2"], "left_semi").select("id", _run(F.col("at"), F.lit(1), length).alias("place"))
 
     marks = whole.unionByName(parts).unionByName(hits).groupBy("id").agg(F.collect_list("place").alias("places")).withColumn("copy", F.lit(False))
     marks = marks.unionByName(copies.select("id", F.lit(None).cast("array<long>").alias("places"), F.lit(True).alias("copy")))
     marks = stash(marks.groupBy("id").agg(F.max("copy").alias("copy"), F.max("places").alias("places")))
     marked = attach(rows, marks).select("id", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return marked.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary, cut string")
+    return marked.mapInArrow(_by(_cut, length, least_words), "id long, n_bytes long, n_removed long, n_spans long, kept binary, cut string")

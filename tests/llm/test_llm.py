@@ -1,7 +1,9 @@
 """The corpus operators against brute force, library results and SQL, on small rows."""
 
 import hashlib
+import itertools
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -55,6 +57,32 @@ def test_repeats_equal_brute_force(spark):
     assert len(rows) == len(texts)
 
 
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    rng = random.Random(11)
+    piece = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    shared = [piece(51), "x " * 50 + "x", piece(70), piece(45), piece(30), piece(200), " ".join("".join(rng.choice("abcdefgh") for _ in range(25)) for _ in range(20))]
+    assert len(shared[0]) < 230
+    texts = [f"{piece(rng.randrange(5, 60))} {q} {piece(rng.randrange(5, 60))}" for q in shared for _ in range(2)] + [piece(300), shared[5], shared[5], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("n_chars", F.length("text").cast("long"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    n, data = corpus_pipeline.PASSAGE_BYTES, [t or "" for t in texts]
+    times = Counter(t[i : i + n] for t in data for i in range(len(t) - n + 1))
+    for k, t in enumerate(data):
+        gone = [False] * len(t)
+        for i in range(len(t) - n + 1):
+            if times[t[i : i + n]] > 1:
+                gone[i : i + n] = [True] * n
+        want, at = "", 0
+        for dropped, run in itertools.groupby(gone):
+            size = len(list(run))
+            whole = sum(gone[m.start()] and at <= m.start() and m.end() <= at + size for m in re.finditer(r"\S+", t))
+            want += "" if dropped and (whole >= 51 or size >= suffixes.LENGTH) else t[at : at + size]
+            at += size
+        assert (got[k] or "") == want
+    for k, q in enumerate(shared):
+        assert any(q in got[d] for d in (2 * k, 2 * k + 1)) == (k in (3, 4))
+
+
 def test_ids_equal_the_library(spark):
     from tokenizers import Tokenizer
 
