@@ -3,10 +3,12 @@
 A text's set is its distinct shingles of SHINGLE_WORDS words. TREES independent trees branch the
 sets: a node's children are chosen by minwise tokens, that is, a set goes to the child named by
 its smallest shingle under the hash function that the path selects. A node of at most NODE_ROWS
-sets is compared exhaustively; a larger one branches again, by one more function, up to DEPTH, past
-which it is compared whatever its size, as all pairs of its blocks of BLOCK_ROWS. Two sets of
-similarity s meet at depth d with probability s ** (d + 1): at 0.75 trees of depth 0 miss them with
-0.25 ** 10 = 1e-6, of depth 1 with 3e-4, of depth 4 with 0.07; at 0.9 trees of depth 4 with 1e-4.
+sets is compared exhaustively; a larger one branches again, by BRANCHINGS more functions, each of
+which gives every member a child, up to DEPTH, past which it is compared whatever its size, as all
+pairs of its blocks of BLOCK_ROWS. A pair of similarity s that is in a node that branches is lost
+below it with q' = (1 - s (1 - q)) ** 2, where q is the same for the children, 0 at the end. At 0.75
+q stays under 1/9, so that ten trees lose a pair with 1e-6 at depth 0 and under 2e-5 at any depth.
+As the functions are only SIGNATURE, trees share some; by simulation that makes 1.5e-4 at depth 4.
 
 Equal sets become one before the first tree, and their copies take its component at the end, so that
 copies cost nothing. Each round's links only join the components that earlier rounds found. Links are confirmed on
@@ -41,6 +43,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 75
 TREES = 10
 DEPTH = 4
+BRANCHINGS = 2
 NODE_ROWS = 1024
 BLOCK_ROWS = 512
 SIGNATURE = 64
@@ -121,25 +124,35 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, end - at), pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["id", "set"])
 
 
-def _coordinate(tree: int, depth: int) -> int:
-    """The hash function that a path selects at a node."""
-    return tree if depth == 0 else (TREES + tree * 7 + depth * 13) % SIGNATURE
+def _coordinates() -> np.ndarray:
+    """Row k: tree k's hash functions, no two alike, for depth 0, then for each path of depth 1, and so on."""
+    rng = np.random.default_rng(43)
+    paths = sum(BRANCHINGS**d for d in range(1, DEPTH + 1))
+    return np.array([[k, *[c for c in rng.permutation(SIGNATURE).tolist() if c != k][:paths]] for k in range(TREES)])
+
+
+_COORDINATES = _coordinates()
 
 
 def _children(depth: int):
-    """Rows (node, tree, id) of the next level, from (id, sig) at depth 0 and (node, tree, id, sig) below."""
+    """Rows (node, tree, id) of the next level, from (id, sig) at depth 0 and (node, tree, id, sig) below.
+
+    Below, tree names the path too: it is the parent's times BRANCHINGS, and the branching taken.
+    """
+    paths = BRANCHINGS**depth
+    before = sum(BRANCHINGS**d for d in range(depth))
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, SIGNATURE)
-            for k in range(1 if depth else TREES):
+            for k in range(BRANCHINGS if depth else TREES):
                 if depth:
-                    tree, parent = batch.column("tree").to_numpy(), batch.column("node").to_numpy().view(np.uint64)
-                    value = sig[np.arange(len(sig)), np.array([_coordinate(t, depth) for t in range(TREES)])[tree]].astype(np.uint64)
-                    node = mix(parent * np.uint64(31) + mix(value << np.uint64(16) | np.uint64(depth * 256)))
+                    tree, parent = batch.column("tree").to_numpy() * BRANCHINGS + np.int32(k), batch.column("node").to_numpy().view(np.uint64)
+                    value = sig[np.arange(len(sig)), _COORDINATES[tree // paths, before + tree % paths]].astype(np.uint64)
+                    node = mix(parent * np.uint64(31) + mix(value << np.uint64(16) | np.uint64(depth * 256 + k)))
                 else:
                     tree, node = np.full(len(sig), k, dtype=np.int32), mix(sig[:, k].astype(np.uint64) << np.uint64(8) | np.uint64(k))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(tree), batch.column("id")], names=["node", "tree", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(tree.astype(np.int32)), batch.column("id")], names=["node", "tree", "id"])
 
     return run
 

@@ -7,6 +7,8 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +184,41 @@ def test_merged_components_equal_components(spark):
     assert len(found) == reach.count()
 
 
+def test_branching_keeps_recall():
+    rng = np.random.default_rng(7)
+    n = 3000
+    left = rng.integers(0, 1 << 32, (n, near_text.SIGNATURE), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < 0.75, left, left ^ np.uint32(1))
+    raw = [x.tobytes() for x in np.concatenate([left, right])]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(np.arange(2 * n)), "sig": pa.array(raw, pa.binary())})
+    for depth in range(near_text.DEPTH + 1):
+        out = pa.Table.from_batches(near_text._children(depth)([batch]))
+        at = lambda half: {(i % n, v) for i, v in zip(out["id"].to_pylist(), out["node"].to_pylist(), strict=True) if i // n == half}  # noqa: B023, E731
+        assert len({i for i, _ in at(0) & at(1)}) >= n * 0.998
+        batch = out.append_column("sig", pa.array([raw[i] for i in out["id"].to_pylist()], pa.binary())).combine_chunks().to_batches()[0]
+
+
+def test_large_nodes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "NODE_ROWS", 2)  # nodes of all sizes branch
+    rng, texts = random.Random(8), []
+    mutated = lambda t, at: [f"n{rng.random()}" if k in at else w for k, w in enumerate(t)]
+    for _ in range(150):  # two of each four are 0.75 to 0.8 alike, and each of these has a copy that is nearer
+        a = [f"w{rng.random()}" for _ in range(200)]
+        b = mutated(a, (20, 60, 100, 140, 180))
+        texts += [a, b, mutated(a, (40, 80)), mutated(b, (30, 90))]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = {}
+    for k in range(0, len(sets), 4):
+        root = list(range(4))
+        for i, j in itertools.combinations(range(4), 2):
+            x, y = sets[k + i], sets[k + j]
+            if 100 * len(x & y) >= near_text.THRESHOLD * len(x | y):
+                root = [min(root[i], root[j]) if c in (root[i], root[j]) else c for c in root]
+        want |= {k + i: k + root[i] for i in range(4)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], DOCS)
+    assert {r["id"]: r["component"] for r in near_text.similar(docs).collect()} == want
+
+
 def test_repeated_ids_join_the_groups_of_their_texts(spark):
     docs = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "p q r s t"), (2, "p q r s t"), (4, "x y"), (5, None)]
     got = {(r["id"], r["component"]) for r in near_text.similar(spark.createDataFrame(docs, DOCS)).collect()}
