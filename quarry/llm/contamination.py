@@ -11,7 +11,8 @@ While the benchmark has at most BROADCAST_BYTES of text, it is shipped to every
 never leave theirs; a larger one meets the texts by a join of the shared seeds.
 
 Null and empty texts and items match nothing. An item shorter than MIN_MATCH words is found as a
-whole run of its own length. Rows that repeat an id are reported as often as they occur. Empty
+whole run of its own length. Rows that repeat an id are reported as often as they occur,
+and so are rows and items whose id is null, with a null id, whatever the benchmark's size. Empty
 tables give empty results. Extra columns are left out.
 """
 
@@ -169,4 +170,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         return _shipped(rows, sorted(items, key=lambda x: (x[0] is None, x[0] or 0)), coverage)
     seeds = tests.select(F.col("item_id").alias("id"), F.col("item").alias("text"), F.lit(1).alias("item")).mapInArrow(_seeds, "seed long, id long, k int").withColumnRenamed("id", "item_id")
     found = rows.mapInArrow(_seeds, "seed long, id long, k int").join(seeds, ["seed", "k"]).select("id", "item_id").distinct()
-    return found.join(tests, "item_id").join(rows, "id").select("id", "item_id", "text", "item").mapInArrow(_tiled(coverage), _RESULT)
+    found = found.toDF("found", "found_item").join(tests, F.col("found_item").eqNullSafe(F.col("item_id"))).join(rows, F.col("found").eqNullSafe(F.col("id")))
+    return found.select("id", "item_id", "text", "item").mapInArrow(_tiled(coverage), _RESULT)

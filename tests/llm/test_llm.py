@@ -125,6 +125,18 @@ def test_reordered_benchmark_passages_are_caught(spark):
         assert [(r["doc_id"], r["item_id"], r["tiles"], r["coverage"]) for r in got] == [(1, 7, 2, 1.0)]
 
 
+def test_null_ids_are_caught_on_both_paths(spark, tmp_path):
+    items = [(None, "one two three four five six seven"), (None, "a b c"), (3, "red green blue white black grey")]
+    docs = spark.createDataFrame([(None, items[0][1]), (None, "clean"), (2, items[0][1] + " " + items[2][1]), (2, "clean too"), (None, items[2][1]), (None, None)], DOCS)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (contamination.BROADCAST_BYTES, 0):  # shipped, and joined
+        got = contamination.contaminated(docs, tests, broadcast_bytes=limit).collect()
+        assert Counter((r["doc_id"], r["item_id"], r["tiles"]) for r in got) == Counter([(None, None, 1), (2, None, 1), (2, 3, 1), (None, 3, 1)])
+    tests.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert Counter(map(tuple, left)) == Counter([(None, "clean"), (2, "clean too"), (None, None)])
+
+
 @pytest.mark.parametrize(("name", "column", "labels"), [("op9_language", "lang_pred", None), ("op8_quality", "predicted", "quality")])
 def test_held_out_accuracy(spark, name, column, labels):
     sf = SF.replace("0.001", "0.01")
