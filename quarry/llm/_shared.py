@@ -1,32 +1,35 @@
-"""Shared pieces of the corpus operators: tables, the shared folder, whole-batch word hashing.
+"""Shared pieces of the corpus operators: tables, the shared folder, whole-batch hashing.
 
-Hashing works on Arrow buffers, one array operation for many documents at a time. A string's
-fingerprint is a sum of random byte values times powers of an odd number, modulo 2**64, so that
-any substring's fingerprint comes from two entries of a running sum.
+Hashing works on Arrow buffers, one array operation for many documents at a time. Words and strings
+are read eight bytes at a time and each eight are mixed before they meet the next, so that no
+arithmetic relation between bytes cancels out; a second seed gives a hash that does not depend on
+the first. Chunks are small enough that the arrays of a step stay in a core's cache.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-BYTE_VALUES = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD_VALUES = _RNG.integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_VALUES = BYTE_VALUES[LOWER]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+GRAM = 32
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,28 +78,6 @@ def stashed_bytes(df: DataFrame) -> int:
     return total
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.empty(max(n, 1), dtype=np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out[:n]
-
-
-_POWERS: dict[str, np.ndarray] = {"up": powers(_BASE, 1), "down": powers(_BASE_INV, 1)}
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        _POWERS["up"], _POWERS["down"] = powers(_BASE, size), powers(_BASE_INV, size)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -104,16 +85,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Prefix:
-    """Running fingerprint of a byte array; of(i, j) fingerprints the slices [i, j)."""
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES):
-        up, self.down = _powers_to(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
+def gram_hashes(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the GRAM bytes from each place on; places with fewer to the end have none."""
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.ascontiguousarray(_eights(data)[:-1])
+    h ^= np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) % (1 << 64))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    out = h[:n] * np.uint64(0x94D049BB133111EB)
+    for k in (8, 16, 24):
+        out ^= out >> np.uint64(31)
+        out += h[k : k + n]
+        out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
 
-    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (self.sums[j] - self.sums[i]) * self.down[i]
+
+def slice_hashes(grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each slice [begin, end) of at least GRAM bytes, from gram_hashes() of the bytes."""
+    h = mix((end - begin).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    at, rows = begin, np.arange(len(begin))
+    while len(rows):
+        h[rows] = mix(h[rows] * np.uint64(31) + grams[at])
+        more = at + GRAM < end[rows]
+        rows = rows[more]
+        at = np.minimum(at[more] + GRAM, end[rows] - GRAM)
+    return h
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 2048) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -158,8 +166,20 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -
     return starts, np.flatnonzero(end) + 1, np.repeat(np.arange(len(offs) - 1), counts)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    return mix(Prefix(data, values).of(starts, ends))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """Hash of each word data[start:end], A-Z as a-z if lower; words of over GRAM bytes by a keyed digest."""
+    if lower:
+        data = LOWER[data]
+    eights, n = _eights(data), ends - starts
+    h = mix((eights[starts] & _FIRST_BYTES[np.minimum(n, 8)]) ^ mix(n.astype(np.uint64) + np.uint64(seed * 256 + 1 << 32)))
+    for k in range(8, GRAM, 8):
+        rows = np.flatnonzero(n > k)
+        if not len(rows):
+            break
+        h[rows] = mix(h[rows] * np.uint64(31) + (eights[starts[rows] + k] & _FIRST_BYTES[np.minimum(n[rows] - k, 8)]))
+    for r in np.flatnonzero(n > GRAM).tolist():
+        h[r] = int.from_bytes(hashlib.blake2b(data[starts[r] : ends[r]], digest_size=8, key=bytes([seed])).digest(), "little")
+    return h
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -194,5 +214,20 @@ def window_argmin(order: np.ndarray, w: int) -> np.ndarray:
     return (cur & low).astype(np.int64)
 
 
-def as_signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep their own counsel
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(step: Callable) -> Callable:
+    """A step of mapInArrow that gives memory back at its end: Python workers are used again by later stages."""
+
+    @functools.wraps(step)
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            _release()
+
+    return run

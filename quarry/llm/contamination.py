@@ -3,7 +3,8 @@
 Words are runs of letters and digits (any byte over 127 counts as one), A-Z as a-z. A text and a
 benchmark item that share a run of MIN_MATCH words are tiled: the longest common run of words that
 no tile covers yet becomes a tile, on both sides, until none has MIN_MATCH words. Runs are found
-by a running Karp-Rabin hash and checked word by word. The item's share of tiled words is its
+by a running Karp-Rabin hash over the words and checked word by word, a word being known by a
+64-bit hash of all its bytes. The item's share of tiled words is its
 coverage, so that passages in another order, or cut apart, still count. Pairs with at least
 COVERAGE are reported.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER_VALUES, text_chunks, window_hashes, word_bounds, word_hashes
+from ._shared import releasing, text_chunks, window_hashes, word_bounds, word_hashes
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -36,7 +37,7 @@ _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each word."""
     starts, ends, row = word_bounds(data, offs, _SEPARATOR)
-    return word_hashes(data, starts, ends, LOWER_VALUES), row
+    return word_hashes(data, starts, ends, lower=True), row
 
 
 def _text_words(text: str | None) -> np.ndarray:
@@ -44,12 +45,29 @@ def _text_words(text: str | None) -> np.ndarray:
     return words(data, np.array([0, len(data)]))[0]
 
 
+_PRIME = (1 << 31) - 1
+_BASE = 1_000_003
+
+
+def running_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hash of every k consecutive words: each follows from its neighbour's running sum."""
+    up, down, base, back = np.ones(len(words), dtype=np.uint64), np.ones(len(words), dtype=np.uint64), _BASE, pow(_BASE, -1, _PRIME)
+    done = 1
+    while done < len(words):
+        up[done : 2 * done] = up[: min(done, len(words) - done)] * np.uint64(pow(base, done, _PRIME)) % np.uint64(_PRIME)
+        down[done : 2 * done] = down[: min(done, len(words) - done)] * np.uint64(pow(back, done, _PRIME)) % np.uint64(_PRIME)
+        done *= 2
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words % np.uint64(_PRIME) * up % np.uint64(_PRIME), out=sums[1:])
+    return (sums[k:] - sums[:-k]) % np.uint64(_PRIME) * down[: len(words) - k + 1] % np.uint64(_PRIME)
+
+
 def tile(text: np.ndarray, item: np.ndarray, at_least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy tiling of two arrays of word hashes: (place in text, place in item, words), longest first."""
     k = min(at_least, len(item))
     if not k or len(text) < k:
         return []
-    a, b = window_hashes(text, k), window_hashes(item, k)
+    a, b = running_hashes(text, k), running_hashes(item, k)
     order = np.argsort(b, kind="stable")
     low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     n = high - low
@@ -106,6 +124,7 @@ def _shipped(docs: DataFrame, items: list[tuple[int, np.ndarray]], coverage: flo
         order = np.argsort(h, kind="stable")
         seeds[k] = h[order], of[order]
 
+    @releasing
     def run(batches):
         for batch in batches:
             for at, end, data, offs in text_chunks(batch):
@@ -131,6 +150,7 @@ def _shipped(docs: DataFrame, items: list[tuple[int, np.ndarray]], coverage: flo
     return docs.mapInArrow(run, _RESULT)
 
 
+@releasing
 def _seeds(batches):
     """Rows (seed, id), each once per text, of runs of 1 to MIN_MATCH words: short items are runs of their own length."""
     for batch in batches:
@@ -152,6 +172,7 @@ def _seeds(batches):
 
 
 def _tiled(coverage: float):
+    @releasing
     def run(batches):
         for batch in batches:
             out = [_row(d, i, _text_words(t), _text_words(s), coverage) for d, i, t, s in zip(*(batch.column(c).to_pylist() for c in ("id", "item_id", "text", "item")), strict=True)]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER_VALUES, mix, stash, stashed_bytes, text_chunks, window_hashes, word_bounds, word_hashes
+from ._shared import mix, releasing, stash, stashed_bytes, text_chunks, window_hashes, word_bounds, word_hashes
 from .components import components, merged
 from .passages import BROADCAST_BYTES
 from .vectors import groups
@@ -58,7 +58,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, n: int = SHINGLE_WORDS) -> tupl
     """(row, shingle) of all shingles, in order of row; A-Z count as a-z."""
     rows = len(offs) - 1
     starts, ends, row = word_bounds(data, offs)
-    h = word_hashes(data, starts, ends, LOWER_VALUES)
+    h = word_hashes(data, starts, ends, lower=True)
     out = window_hashes(h, n)
     inside = row[: len(out)] == row[n - 1 :] if len(out) else np.zeros(0, dtype=bool)
     out, at = out[inside], row[: len(out)][inside]
@@ -85,6 +85,7 @@ def distinct_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.searchsorted(at, np.arange(rows + 1)), h
 
 
+@releasing
 def _signed(batches):
     """Rows (id, size, s1, s2, sig, fine) from (id, text); s1 and s2 identify the set.
 
@@ -115,6 +116,7 @@ def _signed(batches):
             )
 
 
+@releasing
 def _sets(batches):
     """Rows (id, set) from (id, text): the sorted distinct shingles as packed 64-bit values."""
     for batch in batches:
@@ -142,6 +144,7 @@ def _children(depth: int):
     paths = BRANCHINGS**depth
     before = sum(BRANCHINGS**d for d in range(depth))
 
+    @releasing
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, SIGNATURE)
@@ -192,6 +195,7 @@ def _candidates(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.n
     return near
 
 
+@releasing
 def _nearest(batches):
     """Rows (id, near, share, hub, hub_share): each row of a block, its nearest row and the block's hub, which is nearest to all; null where none."""
     for group in groups(batches, ("node", "blk")):
@@ -207,6 +211,7 @@ def _nearest(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["id", "near", "share", "hub", "hub_share"]).filter(pa.array(near.any(axis=1)))
 
 
+@releasing
 def _likely(batches):
     """Of rows (a, b, sig, size, hub_sig, hub_size), the pairs that may be links."""
     for batch in batches:
@@ -222,6 +227,7 @@ def _sides(group) -> tuple[np.ndarray, np.ndarray]:
     return (np.arange(len(blk)),) * 2 if i == j else (np.flatnonzero(blk == i), np.flatnonzero(blk == j))
 
 
+@releasing
 def _open(batches):
     """Rows (node, id) that have a candidate of another component in their node."""
     for group in groups(batches, ("node", "i", "j")):
@@ -240,6 +246,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
 
 
+@releasing
 def _settled(batches):
     """Links (a, b) that join components of a node, each pair that could be one checked on its full sets, the likeliest first."""
     for group in groups(batches, ("node", "i", "j")):
@@ -266,6 +273,7 @@ def _settled(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+@releasing
 def _confirmed(batches):
     """Of rows (a, b, left, right), the pairs whose full sets are similar enough."""
     for batch in batches:

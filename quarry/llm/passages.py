@@ -7,13 +7,15 @@ texts share join their texts; each is extended both ways to all the windows that
 windows are joined by two hashes of their words. A word is removed if a window that covers it also
 starts in a text with a smaller key; the maximal runs of such words are the repeats.
 
-Equal texts are joined first: all but the smallest key lose every word that a window covers.
-Anchors and windows are counted before the shuffle, so a passage that a third of all texts share
-is one row per task. Texts meet only their own positions. A window's hashes have 64 bits each.
+Equal texts are joined first: one row stands in for all, with the smallest key, and rows of a larger
+key lose every word that a window covers. Anchors and windows are counted before the shuffle, and
+the counts of the few most frequent windows go to their rows by broadcast, so that a passage that
+a third of all texts share lands in no single task. Texts meet only their own positions. A window's
+two hashes have 64 bits each and come from two independent hashes of each word.
 
 Null and empty texts have no words. Texts shorter than a window lose nothing. Rows that repeat a
-key count as one text with all their windows; null keys lose nothing and remove nothing. Empty
-tables give empty results.
+key with different texts are judged each by its own text, and do not remove each other's words; null
+keys lose nothing and remove nothing. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix, stash, stashed_bytes, text_chunks, window_argmin, window_hashes, word_bounds, word_hashes
+from ._shared import releasing, stash, stashed_bytes, text_chunks, window_argmin, window_hashes, word_bounds, word_hashes
 
 WINDOW_WORDS = 13
 ANCHOR_WORDS = 5
 SPREAD = WINDOW_WORDS - ANCHOR_WORDS + 1
-#: Spans of at most so many bytes on disk go to the texts by broadcast; larger ones by a shuffle of both.
+#: Spans of at most so many bytes on disk, three times that in memory, go to the texts by broadcast; larger ones by a shuffle of both.
 BROADCAST_BYTES = 24 << 20
+#: A key with more than this share of the rows is hot; at most its inverse can be.
+HOT_SHARE = 0.001
 
 
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -53,15 +57,22 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return of, grams[at[k]], begin[k] - base, begin[last] - base
 
 
+def key_of(batch: pa.RecordBatch, at: int, end: int, of: np.ndarray, keys: tuple[str, ...] = ("id", "sub")) -> list[pa.Array]:
+    """The key columns of the given rows of [at, end)."""
+    of = pa.array(of)
+    return [batch.column(c).slice(at, end - at).take(of) for c in keys]
+
+
+@releasing
 def _anchors(batches):
-    """Rows (anchor, id, first, n) from (id, text)."""
+    """Rows (anchor, id, sub, span) from (id, sub, text); a span is the first window and how many follow it."""
     for batch in batches:
         for at, end, data, offs in text_chunks(batch):
             row, h, first, last = anchors(data, offs)
-            ids = batch.column("id").slice(at, end - at).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array((first * 16 + last - first).astype(np.int32))], names=["anchor", "id", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *key_of(batch, at, end, row), pa.array((first * 16 + last - first).astype(np.int32))], names=["anchor", "id", "sub", "span"])
 
 
+@releasing
 def _anchor_names(batches):
     """Rows (anchor), each once per text."""
     for batch in batches:
@@ -81,27 +92,50 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), np.diff(offs)), lists.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]].astype(np.int64)
 
 
+@releasing
 def _windows(batches):
-    """Rows (w1, w2, id, at) of the windows at the given spans of (id, text, spans)."""
+    """Rows (w1, w2, id, sub, at) of the windows at the given spans of (id, sub, text, spans)."""
     for batch in batches:
         for at, end, data, offs in text_chunks(batch):
             starts, ends, row = word_bounds(data, offs)
-            h = word_hashes(data, starts, ends)
-            w1, w2 = window_hashes(h, WINDOW_WORDS), window_hashes(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), WINDOW_WORDS)
+            w1, w2 = (window_hashes(word_hashes(data, starts, ends, seed=k), WINDOW_WORDS) for k in (0, 1))
             of, span = _flat(batch.column("spans").slice(at, end - at))
             n = (span & 15) + 1
             k = np.repeat(np.arange(len(span)), n)
             place = (span >> 4)[k] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             word = np.searchsorted(row, of[k]) + place
-            ids = batch.column("id").slice(at, end - at).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(w1[word].view(np.int64)), pa.array(w2[word].view(np.int64)), pa.array(ids[of[k]]), pa.array(place.astype(np.int32))], names=["w1", "w2", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(w1[word].view(np.int64)), pa.array(w2[word].view(np.int64)), *key_of(batch, at, end, of[k]), pa.array(place.astype(np.int32))], names=["w1", "w2", "id", "sub", "at"])
+
+
+def attach(texts: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("id", "sub"), how: str = "left") -> DataFrame:
+    """Join of texts with a stashed table: by broadcast if its size is known to be small, else by a shuffle."""
+    return texts.join(F.broadcast(spans) if stashed_bytes(spans) <= BROADCAST_BYTES else spans, list(keys), how)
+
 
+def join_counts(rows: DataFrame, counts: DataFrame, keys: list[str], count: str = "times", total: int | None = None) -> DataFrame:
+    """rows.join(counts, keys) of two stashed tables, in which counts has how many rows each key has.
 
-def attach(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Left join of a stashed table by id: by broadcast if its size is known to be small, else by a shuffle."""
-    return texts.join(F.broadcast(spans) if stashed_bytes(spans) <= BROADCAST_BYTES else spans, "id", "left")
+    Hot keys are 1 / HOT_SHARE at most and are joined by broadcast, so no task gets a hot key's rows.
+    """
+    most = HOT_SHARE * (rows.count() if total is None else total)
+    hot, cold = counts.filter(F.col(count) > most), counts.filter(F.col(count) <= most)
+    plain = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return plain.unionByName(rows.join(F.broadcast(hot), keys))
 
 
+def one_of_each(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row of each text, the texts that occur again) of (id, same, sub, text); same and sub name a text.
+
+    The row that stands in for equal texts has the smallest id. Only texts that occur again move.
+    """
+    names = ["same", "sub"]
+    equal = stash(rows.groupBy(*names).agg(F.min("id").alias("owner"), F.count("*").alias("times")).filter("times > 1").select(*names, "owner"))
+    again = attach(rows, equal, ("same", "sub"), "left_semi")
+    first = stash(again.groupBy(*names).agg(F.min("id").alias("id"), F.min("text").alias("text")))
+    return attach(rows, equal, ("same", "sub"), "left_anti").unionByName(first.select(*rows.columns)), equal
+
+
+@releasing
 def _removed(batches):
     """Rows (id, n_words, n_removed, kept) from (id, text, places, copy): starts of covered windows, or all of a copy's."""
     for batch in batches:
@@ -129,20 +163,21 @@ def _removed(batches):
 
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_words, n_removed and kept (the words that stay, joined by one space)."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    named = rows.filter("id is not null and text is not null")
-    equal = named.groupBy(F.sha2("text", 256).alias("same")).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = stash(named.select("id", F.sha2("text", 256).alias("same")).join(equal, "same").filter("id <> first").select("id").distinct())
-    own = attach(named, copies.withColumn("copy", F.lit(True))).filter("copy is null").select("id", "text")
-
-    shared = own.mapInArrow(_anchor_names, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    seeds = own.mapInArrow(_anchors, "anchor long, id long, span int").join(shared, "anchor", "left_semi")
-    spans = stash(seeds.groupBy("id").agg(F.collect_list("span").alias("spans")))
-    seeded = attach(own, spans).filter("spans is not null")
-    windows = stash(seeded.mapInArrow(_windows, "w1 long, w2 long, id long, at int"))
-    first = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("w1", "w2", "low")
-    hits = windows.join(first, ["w1", "w2"]).filter("id > low")
-    marks = stash(hits.groupBy("id").agg(F.collect_list("at").alias("places")).withColumn("copy", F.lit(False)).unionByName(copies.select("id", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("copy"))).groupBy("id").agg(F.max("copy").alias("copy"), F.max("places").alias("places")))
-    marked = attach(rows, marks).select("id", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("same"), F.hash(F.col(text)).alias("sub"), F.col(text).alias("text"))
+    own, equal = one_of_each(rows.filter("id is not null and text is not null"))
+    texts = own.select("id", "sub", "text")
+
+    shared = texts.mapInArrow(_anchor_names, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    seeds = texts.mapInArrow(_anchors, "anchor long, id long, sub int, span int").join(shared, "anchor", "left_semi")
+    spans = stash(seeds.groupBy("id", "sub").agg(F.collect_list("span").alias("spans")))
+    seeded = attach(texts, spans).filter("spans is not null")
+    windows = stash(seeded.mapInArrow(_windows, "w1 long, w2 long, id long, sub int, at int"), done_with=(spans,))
+    first = stash(windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("times")).filter("low < high").select("w1", "w2", "low", "times"))
+    hits = join_counts(windows, first, ["w1", "w2"]).filter("id > low")
+    places = stash(hits.groupBy("id", "sub").agg(F.collect_list("at").alias("places")), done_with=(windows, first))
+    found = places.join(own.select("id", "same", "sub"), ["id", "sub"]).select("same", "sub", F.lit(None).cast("long").alias("owner"), "places")
+    marks = found.unionByName(equal.withColumn("places", F.lit(None).cast("array<int>"))).groupBy("same", "sub").agg(F.max("owner").alias("owner"), F.max("places").alias("places"))
+    marks = stash(marks, done_with=(places,))
+    null = F.col("id").isNull()
+    marked = attach(rows, marks, ("same", "sub")).select("id", "text", F.when(~null, F.col("places")).alias("places"), (~null & F.coalesce(F.col("owner") < F.col("id"), F.lit(False))).alias("copy"))
     return marked.mapInArrow(_removed, "id long, n_words long, n_removed long, kept string")
-

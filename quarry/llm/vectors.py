@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix, stash
+from ._shared import mix, releasing, stash
 from .components import components
 
 THRESHOLD = 0.93
@@ -46,6 +46,7 @@ def _buckets(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+@releasing
 def _hashed(batches):
     """Rows (bucket, tab, id, n, buckets, vec) from (id, label, n, embedding)."""
     for batch in batches:
@@ -105,6 +106,7 @@ def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.n
 
 
 def _compared(threshold: float):
+    @releasing
     def run(batches):
         for group in groups(batches, ("bucket", "i", "j")):
             ids, n, blk = (group[c].to_numpy() for c in ("id", "n", "blk"))
