@@ -13,45 +13,59 @@ from pyspark.sql import functions as F
 
 WORD = "A-Za-z0-9_"
 #: The spaces that trimming removes, beyond the plain one.
-SPACES = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: The prefixes and the names that mean a query.
 PREFIXES = {"query": "query: ", "passage": "passage: "}
 QUERY_MODES = ("query", "question", "user", "clustering")
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
-def _split(c: Column, pattern: str) -> Column:
-    return F.filter(F.split(c, pattern), lambda w: w != "")
+def _all(c: Column, pattern: str) -> Column:
+    """All matches of a pattern: one pass, where replacing and splitting take two."""
+    return F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(0))
 
 
 def tokens(c: Column, unicode: bool = False) -> Column:
     """Lower-case words for ranking; unicode: keep letters and digits of every script."""
     if unicode:
-        return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return _split(F.regexp_replace(F.lower(c), rf"[^{WORD}\s]", " "), r"\s+")
+        return _all(F.lower(c), r"[\p{L}\p{N}_]+")
+    return _all(F.lower(c), f"[{WORD}]+")
+
+
+def token_count(lowered: Column) -> Column:
+    """How many tokens a lower-case text has, without making them."""
+    return F.regexp_count(lowered, F.lit(f"[{WORD}]+"))
+
+
+def whole_word(lowered: Column, word: str) -> Column:
+    """Whether a word stands in a lower-case text; texts without its letters are done by a plain search."""
+    return F.contains(lowered, F.lit(word)) & lowered.rlike(f"(?<![{WORD}]){quoted(word)}(?![{WORD}])")
+
+
+def whole_word_count(lowered: Column, word: str) -> Column:
+    return F.when(F.contains(lowered, F.lit(word)), F.regexp_count(lowered, F.lit(f"(?<![{WORD}]){quoted(word)}(?![{WORD}])"))).otherwise(0)
 
 
 def fast_words(c: Column) -> Column:
     """Lower-case words for keyword search; quotes and hyphens stay within words."""
-    raw = _split(F.regexp_replace(F.lower(c), rf"[^{WORD}\s'\-]", " "), r"\s+")
-    return F.filter(F.transform(raw, lambda w: F.regexp_replace(w, r"^['\-]+|['\-]+$", "")), lambda w: w != "")
+    return F.filter(F.transform(_all(F.lower(c), rf"[{WORD}'\-]+"), lambda w: F.btrim(w, F.lit("'-"))), lambda w: w != "")
 
 
 def label_words(c: Column) -> Column:
     """Words of more than three characters, for cluster labels."""
-    return F.filter(F.split(F.lower(c), f"[^{WORD}]+"), lambda w: F.length(w) > 3)
+    return _all(F.lower(c), f"[{WORD}]{{4,}}")
 
 
 def keyword_terms(c: Column) -> Column:
     """Words of at least two letters, digits or underscores of any script."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return _all(F.lower(c), r"[\p{L}\p{N}_]{2,}")
 
 
 def spaced(c: Column) -> Column:
-    return _split(c, r"\s+")
+    return _all(c, r"\S+")
 
 
 def summary(c: Column, n: int = 256) -> Column:
@@ -82,21 +96,38 @@ def prompt_tokens(c: Column) -> Column:
     return F.ceil(F.length(c) / F.lit(3.5) * F.lit(1.1))
 
 
+def _pieces(c: Column, size: int) -> Column:
+    """The text in pieces of that many characters, in one pass."""
+    return _all(c, f"(?s).{{1,{size}}}")
+
+
+def _window(pieces: Column, i: Column, size: int, step: int) -> Column:
+    """Window i from the pieces of step characters that it spans."""
+    spanned = -(-size // step)
+    return F.left(F.array_join(F.slice(pieces, i + 1, spanned), ""), F.lit(size))
+
+
 def windows(c: Column, size: int = 512, overlap: int = 128, whole: float = 1.2) -> Column:
-    """Structs (position, text): overlapping windows of characters, trimmed; a text of at most whole * size is one."""
+    """Structs (position, text): overlapping windows of characters, trimmed; a text of at most whole * size is one.
+
+    Windows are joined from pieces, so that a text of any length is walked once.
+    """
     step, n = size - overlap, F.length(c)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - overlap) / step).cast("int") - 1))
-    cut = F.transform(starts, lambda i: F.struct(i.cast("int").alias("position"), trimmed(F.substring(c, i * step + 1, F.lit(size))).alias("text")))
+
+    def cut(x: Column) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.cast("int").alias("position"), trimmed(_window(x, i, size, step)).alias("text")))
+
     one = F.array(F.struct(F.lit(0).alias("position"), trimmed(c).alias("text")))
-    return F.when(n <= int(whole * size), one).otherwise(cut)
+    return F.when(n <= int(whole * size), one).otherwise(F.transform(F.array(_pieces(c, step)), cut)[0])  # as a lambda's variable the pieces are made once
 
 
 def rechunk(c: Column, tokens_each: int, overlap: float = 0.15) -> Column:
     """Windows of about that many tokens, trimmed, without empty ones."""
     size = max(1, int(tokens_each * 3.5))
     step = max(1, size - int(size * overlap))
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(c) - 1), F.lit(step)), lambda i: trimmed(F.substring(c, i + 1, F.lit(size))))
-    return F.filter(cut, lambda w: w != "")
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.size(x)) - 1), lambda i: trimmed(_window(x, i, size, step)))
+    return F.filter(F.transform(F.array(_pieces(c, step)), cut)[0], lambda w: w != "")
 
 
 def quoted(word: str) -> str:
@@ -121,7 +152,7 @@ def word_score(lowered: Column, word: str) -> Column:
     whole = F.regexp_count(lowered, F.lit(f"(?<![{WORD}]){w}(?![{WORD}])"))
     start = F.regexp_count(lowered, F.lit(f"(?<![{WORD}]){w}(?=[{WORD}])"))
     early = F.greatest(F.lit(0), F.lit(25) - F.floor((F.instr(lowered, word) - 1) / 20))
-    return F.when(total > 0, 30 * whole + 20 * start + 15 * (total - whole - start) + early).otherwise(0)
+    return F.when(F.contains(lowered, F.lit(word)), 30 * whole + 20 * start + 15 * (total - whole - start) + early).otherwise(0)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ def query_terms(query: str) -> list[str]:
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, term, tf). Terms are counted within their text, so that nothing is shuffled."""
+    """Rows (key, term, tf). Tasks count the terms of their texts before the shuffle, which carries each posting once."""
     words = docs.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("term"))
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
@@ -33,35 +31,34 @@ def term_df(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: texts, tokens and mean tokens, at least 1. Texts without tokens count."""
-    n = F.size(T.tokens(F.coalesce(F.col(text), F.lit(""))))
+    n = T.token_count(F.lower(F.coalesce(F.col(text), F.lit(""))))
     total = F.coalesce(F.sum(n), F.lit(0)).cast("long")
     return docs.agg(F.count("*").alias("n_docs"), total.alias("n_tokens"), F.greatest(F.lit(1.0), F.coalesce(F.avg(n), F.lit(0.0))).alias("avg_tokens"))
 
 
-def _count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
-
-
 def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", scope: Column | None = None) -> DataFrame:
     """Rows (key, score) of the texts that hold a term of the query; scope: a test that they must pass.
 
     Counts of the query's terms are taken while texts are scanned, with no index and no shuffle of
-    rows; the corpus's statistics are one row, formed from partial sums, whatever the scope.
+    rows, and no text is cut into words: a plain search rules most texts out before a pattern counts.
+    The corpus's statistics are one row, formed from partial sums, whatever the scope.
     """
     terms = query_terms(query)
-    words = T.tokens(F.coalesce(F.col(text), F.lit("")))
-    counted = docs.select(key, *([scope.alias("_in")] if scope is not None else []), words.alias("_w")).select("*", F.size("_w").alias("_n"), *(_count(F.col("_w"), t).alias(f"_tf{k}") for k, t in enumerate(terms)))
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
     if not terms:
-        return counted.filter(F.lit(False)).select(key, F.lit(0.0).alias("score"))
-    stats = counted.agg(F.count("*").alias("_all"), F.greatest(F.lit(1.0), F.avg("_n")).alias("_avg"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(terms))))
+        return docs.filter(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    stats = docs.agg(F.count("*").alias("_all"), F.greatest(F.lit(1.0), F.avg(T.token_count(lowered))).alias("_avg"), *(F.count_if(T.whole_word(lowered, t)).alias(f"_df{k}") for k, t in enumerate(terms)))
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | T.whole_word(lowered, t)
+    found = docs.filter(hit if scope is None else scope & hit)
+    counted = found.select(key, T.token_count(lowered).alias("_n"), *(T.whole_word_count(lowered, t).alias(f"_tf{k}") for k, t in enumerate(terms)))
     score = F.lit(0.0)
     for k in range(len(terms)):
         tf, df = F.col(f"_tf{k}"), F.col(f"_df{k}")
         idf = F.log((F.col("_all") - df + 0.5) / (df + 0.5) + 1)
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.col("_avg")))).otherwise(0.0)
-    hit = F.array_contains(F.array(*(F.col(f"_tf{k}") > 0 for k in range(len(terms)))), True)
-    found = counted.filter(hit & (F.col("_in") if scope is not None else F.lit(True)))
-    return found.join(F.broadcast(stats)).select(key, score.alias("score"))  # one row of statistics
+    return counted.join(F.broadcast(stats)).select(key, score.alias("score"))  # one row of statistics
 
 
 def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", text: str = "text", scope: Column | None = None) -> DataFrame:
@@ -97,32 +94,38 @@ def near_words(target: str, word: str) -> bool:
     return a == b
 
 
-def word_matches(words: DataFrame, query: str, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
-    """Rows (query_word, word, kind) of a dictionary's words: exact, prefix or fuzzy.
+def near_word(target: Column, word: str) -> Column:
+    """near_words() of a column and a literal, as one expression: a case for each place of the first difference."""
+    m, walk = len(word), None
+    for k in range(m, -1, -1):
+        rest = lambda n: F.substr(target, F.lit(k + n + 1))  # noqa: B023, E731
+        after = F.lit(m - k <= 1)
+        if k < m:
+            step = F.when(F.length(target) == k, after)
+            if word[k + 1 : k + 2]:
+                step = step.when(F.substring(target, k + 1, 1) == word[k + 1], rest(1) == word[k + 2 :])
+            step = step.when(F.substring(target, k + 2, 1) == word[k], rest(2) == word[k + 1 :])
+            after = step.otherwise(rest(1) == word[k + 1 :])
+        shared = F.startswith(target, F.lit(word[:k]))
+        walk = F.when(shared, after) if walk is None else walk.when(shared, after)
+    return (F.abs(F.length(target) - m) <= 2) & ~F.contains(target, F.lit(word)) & walk
 
-    The query's words are literals, so the dictionary is scanned once. Only words that a built-in
-    edit distance lets through are walked in Python.
-    """
-    wanted = sorted({w for w in query_fast_words(query)})
-    word, out = F.col("word"), None
-    for q in wanted:
-        kind = F.when(word == q, "exact")
-        if prefix and len(q) >= 2:
-            kind = kind.when(word.startswith(q), "prefix")
-        if fuzzy and len(q) >= 3:
-            kind = kind.when((F.levenshtein(word, F.lit(q), 1) == 1) & ~word.contains(q), "near")
-        part = F.struct(F.lit(q).alias("query_word"), kind.alias("kind"))
-        out = [part] if out is None else [*out, part]
-    if out is None:
-        return words.select(F.lit("").alias("query_word"), "word", F.lit("").alias("kind")).filter(F.lit(False))
-    found = words.select("word", F.explode(F.filter(F.array(*out), lambda x: x["kind"].isNotNull())).alias("m")).select("m.query_word", "word", "m.kind")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[near_words(w, q) for q, w in zip(batch["query_word"], batch["word"], strict=True)]].assign(kind="fuzzy")
+def word_kind(word: Column, q: str, prefix: bool = True, fuzzy: bool = True) -> Column:
+    """How a word matches a word of the query: exact, prefix, fuzzy or null."""
+    kind = F.when(word == q, "exact")
+    if prefix and len(q) >= 2:
+        kind = kind.when(word.startswith(q), "prefix")
+    return kind.when(near_word(word, q), "fuzzy") if fuzzy and len(q) >= 3 else kind
 
-    sure = found.filter("kind <> 'near'")
-    return sure.unionByName(found.filter("kind = 'near'").mapInPandas(walk, "query_word string, word string, kind string")) if fuzzy else sure
+
+def word_matches(words: DataFrame, query: str, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
+    """Rows (query_word, word, kind) of a dictionary's words: exact, prefix or fuzzy, in one scan of it."""
+    wanted, word = sorted(set(query_fast_words(query))), F.col("word")
+    if not wanted:
+        return words.select(F.lit("").alias("query_word"), "word", F.lit("").alias("kind")).filter(F.lit(False))
+    kinds = F.array(*(F.struct(F.lit(q).alias("query_word"), word_kind(word, q, prefix, fuzzy).alias("kind")) for q in wanted))
+    return words.select("word", F.explode(F.filter(kinds, lambda x: x["kind"].isNotNull())).alias("m")).select("m.query_word", "word", "m.kind")
 
 
 def query_fast_words(query: str) -> list[str]:
@@ -150,15 +153,32 @@ def fast_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
     return rows.filter(sum(each[1:], each[0]) > 0).select(key, F.floor(total + 0.5).alias("score"), count.alias("match_count")).filter("score > 0")
 
 
+def _has_match(text: Column, lowered: Column, words: list[str], fuzzy: bool) -> Column:
+    """Whether a text has an exact, prefix or fuzzy match of a word; its words are made only if the first two fail."""
+    start = F.lit(False)
+    for q in words:
+        begins = f"(?<![{T.WORD}'\\-])['\\-]*{T.quoted(q)}"
+        start = start | (F.contains(lowered, F.lit(q)) & lowered.rlike(begins if len(q) >= 2 else f"{begins}['\\-]*(?![{T.WORD}'\\-])"))
+    long_enough = [q for q in words if len(q) >= 3]
+    if not fuzzy or not long_enough:
+        return start
+    near = lambda w: F.array_contains(F.array(*(near_word(w, q) for q in long_enough)), True)
+    return start | F.exists(T.fast_words(text), near)
+
+
 def fast_search(docs: DataFrame, query: str, k: int | None = None, fuzzy: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Keyword search: texts with an exact, prefix or fuzzy match of a word, by score: (key, score, match_count, rank from 1).
 
-    Matched words come from the dictionary; the texts' words are tested where they are. Ranks need
-    an order of all hits, so they are given with k only.
+    The query's words are literals, so texts are tested where they are, in one scan without a join;
+    only those that hold a word of the query can score. Ranks need an order of all hits, so they
+    are given with k only.
     """
-    matches = word_matches(dictionary(docs, text), query, fuzzy=fuzzy).select("word").distinct()
-    hits = word_index(docs, key, text).join(matches, "word", "left_semi").select(key).distinct()
-    out = fast_scores(docs.join(hits, key, "left_semi"), query, key, text).orderBy(F.desc("score"), key)
+    words = [w for w in dict.fromkeys(query_fast_words(query))]
+    lowered, held = F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(False)
+    for w in words:
+        held = held | F.contains(lowered, F.lit(w))
+    hits = docs.filter(held & _has_match(F.col(text), lowered, words, fuzzy))
+    out = fast_scores(hits, query, key, text).orderBy(F.desc("score"), key)
     return out if k is None else ranked(out.limit(k), key)
 
 
@@ -198,7 +218,7 @@ def _token_test(kind: str, value: str, lowered: Column) -> Column:
         return F.contains(lowered, F.lit(value.lower()))
     test = F.lit(False)
     for w in query_fast_words(value):
-        test = test | lowered.rlike(f"(^|[^{T.WORD}]){T.quoted(w)}([^{T.WORD}]|$)")
+        test = test | T.whole_word(lowered, w)
     return test
 
 

@@ -42,14 +42,14 @@ def drop_empty(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def dedupe_exact(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """The first of each group of equal trimmed texts, with all its columns.
+    """The first of each group of equal trimmed texts, with all its columns; null orders come last.
 
-    Groups are summed before the shuffle: only a hash, an id and a count per text travel, so a
-    text in a third of all rows is a few rows. Rows that repeat an order value stay together.
+    Tasks keep the first of each text before the shuffle, so a text in a third of all rows is a row
+    a task. Of rows that repeat both text and order one stays.
     """
-    same = F.sha2(T.trimmed(F.coalesce(F.col(text), F.lit(""))), 256)
-    firsts = docs.groupBy(same.alias("_same")).agg(F.min(order).alias("_first"))
-    return docs.join(firsts.select(F.col("_first").alias(order)), order, "left_semi").select(*docs.columns)
+    trimmed = T.trimmed(F.coalesce(F.col(text), F.lit("")))
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.col(order).isNull(), F.col(order)))
+    return docs.groupBy(F.xxhash64(trimmed).alias("_a"), F.xxhash64(F.lit(1), trimmed).alias("_b")).agg(first.alias("_row")).select("_row.*")
 
 
 def duplicate_counts(docs: DataFrame, text: str = "text") -> DataFrame:
