@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = "A-Za-z0-9_"
+#: A term for keywords: at least two letters, digits or underscores of any script.
+KEYWORD = r"[\p{L}\p{N}_]{2,}"
 #: The spaces that trimming removes, beyond the plain one.
 SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: The prefixes and the names that mean a query.
@@ -61,7 +63,7 @@ def label_words(c: Column) -> Column:
 
 def keyword_terms(c: Column) -> Column:
     """Words of at least two letters, digits or underscores of any script."""
-    return _all(F.lower(c), r"[\p{L}\p{N}_]{2,}")
+    return _all(F.lower(c), KEYWORD)
 
 
 def spaced(c: Column) -> Column:

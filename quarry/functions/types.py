@@ -41,3 +41,14 @@ def infer_type(c: Column) -> Column:
         .when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), "date")
         .otherwise("text")
     )
+
+
+def loose_type(c: Column) -> Column:
+    """number, date, boolean or text, by a looser rule: numbers are trimmed and exact, dates only begin like one."""
+    t = F.trim(c)
+    return (
+        F.when(F.lower(t).isin("true", "false"), "boolean")
+        .when(t.rlike(r"^-?\d+(\.\d+)?$"), "number")
+        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}") & (F.length(t) > 8), "date")
+        .otherwise("text")
+    )

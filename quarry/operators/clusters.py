@@ -1,6 +1,6 @@
 """What is known of clusters: statistics, keywords by class-based TF-IDF, labels, outliers.
 
-Cluster -1 is noise. Clusters come as a column; see operators.density for finding them.
+Cluster -1 is noise. Clusters come as a column; operators.density finds them.
 """
 
 from __future__ import annotations
@@ -54,28 +54,22 @@ def ctfidf_keywords(docs: DataFrame, n: int = 10, cluster: str = "cluster", text
     negative; a cluster's weights are divided by the sum of their absolute values; only positive
     ones are reported. A cluster whose terms are all left out is scored over all terms.
     """
-    terms = docs.filter(F.col(cluster) != NOISE).select(cluster, F.explode(T.keyword_terms(F.col(text))).alias("term"))
-    counts = terms.groupBy(cluster, "term").agg(F.count("*").alias("tf"))
-    clusters = counts.agg(F.count_distinct(cluster).alias("_c"))
-    log2 = F.log2(F.greatest(F.col("_c"), F.lit(1)).cast("double"))
+    clustered = docs.filter(F.col(cluster) != NOISE)
+    counts = clustered.select(F.col(cluster).alias("_c"), F.explode(T.keyword_terms(F.col(text))).alias("term")).groupBy("_c", "term").agg(F.count("*").alias("tf"))
+    clusters = clustered.filter(F.col(text).rlike(T.KEYWORD)).agg(F.count_distinct(cluster).alias("_n"))
+    log2 = F.log2(F.greatest(F.col("_n"), F.lit(1)).cast("double"))
     least = F.greatest(F.lit(1), F.least(F.lit(8), F.floor(log2).cast("int")))
-    most = F.when(F.col("_c") < 3, 1.0).otherwise(F.greatest(F.lit(0.6), 1 - log2 / (log2 + 5))) * F.col("_c")
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("_total"), F.count("*").alias("_df")).join(F.broadcast(clusters))  # one row
-    totals = totals.select("term", "_total", ((F.col("_df") >= least) & (F.col("_df") <= most)).alias("_fit"))
-    joined = counts.join(totals, "term")
-    strict = _weighted(joined.filter("_fit"), cluster)
-    loose = _weighted(joined, cluster).join(strict.select(cluster).distinct(), cluster, "left_anti")
-    top = _top(strict.unionByName(loose).filter("score > 0"), n, cluster, "score", "term")
-    return top.select(cluster, "rank", F.col("term").alias("keyword"), "score")
-
-
-def _weighted(counts: DataFrame, cluster: str) -> DataFrame:
-    sizes = counts.groupBy(cluster).agg(F.sum("tf").alias("_size"))
-    mean = sizes.agg(F.greatest(F.lit(1), F.floor(F.avg("_size"))).alias("_mean"))
-    sized = counts.join(F.broadcast(mean))  # one row
-    weight = sized.withColumn("_w", F.col("tf") * F.log(F.col("_mean") / F.col("_total")))
-    norms = weight.groupBy(cluster).agg(F.sum(F.abs("_w")).alias("_norm"))
-    return weight.join(norms, cluster).select(cluster, "term", F.when(F.col("_norm") > 0, F.col("_w") / F.col("_norm")).otherwise(0.0).alias("score"))
+    most = F.when(F.col("_n") < 3, 1.0).otherwise(F.greatest(F.lit(0.6), 1 - log2 / (log2 + 5))) * F.col("_n")
+    per_term = counts.groupBy("term").agg(F.sum("tf").alias("_total"), F.count("*").alias("_df"), F.collect_list(F.struct("_c", "tf")).alias("_of"))  # at most a struct per cluster
+    placed = per_term.join(F.broadcast(clusters)).select("term", "_total", ((F.col("_df") >= least) & (F.col("_df") <= most)).alias("_fit"), F.inline("_of"))  # one row
+    sizes = placed.groupBy("_c").agg(F.sum(F.when(F.col("_fit"), F.col("tf"))).alias("_strict"), F.sum("tf").alias("_loose"))
+    mean = lambda c: F.greatest(F.lit(1), F.floor(F.avg(c)))
+    means = sizes.agg(mean("_strict").alias("_a"), mean("_loose").alias("_b"))
+    known = sizes.join(F.broadcast(means)).select("_c", F.col("_strict").isNull().alias("_all"), F.when(F.col("_strict").isNull(), F.col("_b")).otherwise(F.col("_a")).alias("_mean"))  # one row
+    weighted = placed.join(known, "_c").filter("_fit or _all").select("_c", "term", (F.col("tf") * F.log(F.col("_mean") / F.col("_total"))).alias("_w"))
+    norms = weighted.groupBy("_c").agg(F.sum(F.abs("_w")).alias("_norm"))
+    top = _top(weighted.filter("_w > 0"), n, "_c", "_w", "term").join(norms, "_c")
+    return top.select(F.col("_c").alias(cluster), "rank", F.col("term").alias("keyword"), (F.col("_w") / F.col("_norm")).alias("score"))
 
 
 def join_keywords(docs: DataFrame, keywords: DataFrame, cluster: str = "cluster", n: int = 3) -> DataFrame:

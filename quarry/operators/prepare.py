@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.types import infer_type, is_missing, parse_number
+from ..functions.types import infer_type, is_missing, loose_type, parse_date, parse_number
 
 #: A passage's window and overlap in characters, and the least length that is kept.
 CHUNK_SIZE, CHUNK_OVERLAP, CHUNK_LEAST = 512, 128, 50
@@ -103,23 +103,53 @@ def text_column_report(df: DataFrame, column: str, looked_at: int = 100) -> Data
     return head.agg(F.count("*").alias("looked_at"), filled.alias("filled"), (filled > 0).alias("usable"), (filled * 2 < F.count("*")).alias("sparse"))
 
 
-def metadata_schema(df: DataFrame, columns: list[str], sample: int = 10) -> DataFrame:
-    """Per field: type (of most cells), distinct values, the first of them in order, least and greatest number.
+def _cells(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """Rows (name, value, at): the cells of the columns as text, and their row's place in the order."""
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))
+    return df.select(F.col(order).alias("at"), F.explode(cells).alias("c")).select("c.*", "at")
+
+
+def metadata_schema(df: DataFrame, columns: list[str], order: str, sample: int = 10) -> DataFrame:
+    """Per field: type (of its first filled cell), distinct values, the first of them by spelling, least and greatest number.
 
     Values are counted per field before they meet, so a field with few values is few rows.
     """
-    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))).alias("c")).select("c.*")
-    values = cells.filter(~is_missing(F.col("value"))).groupBy("name", "value").agg(F.count("*").alias("n")).withColumn("type", infer_type(F.col("value")))
-    kinds = values.groupBy("name", "type").agg(F.sum("n").alias("n"), F.count("*").alias("values"), F.min(parse_number(F.col("value"))).alias("lo"), F.max(parse_number(F.col("value"))).alias("hi"))
-    fields = kinds.groupBy("name").agg(
-        F.max(F.struct("n", "type"))["type"].alias("type"),
-        F.sum("values").alias("n_values"),
-        F.sum("n").alias("n_filled"),
-        F.min(F.when(F.col("type") == "number", F.col("lo"))).alias("min_value"),
-        F.max(F.when(F.col("type") == "number", F.col("hi"))).alias("max_value"),
-    )
+    filled = _cells(df, columns, order).filter(~is_missing(F.col("value")))
+    values = filled.groupBy("name", "value").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    number = parse_number(F.col("value"))
+    fields = values.groupBy("name").agg(F.min_by(infer_type(F.col("value")), "at").alias("type"), F.count("*").alias("n_values"), F.sum("n").alias("n_filled"), F.min(number).alias("lo"), F.max(number).alias("hi"))
+    number_only = lambda c: F.when(F.col("type") == "number", F.col(c))
     firsts = values.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("value"))).filter(F.col("k") <= sample)
-    return fields.join(firsts.groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("first_values")), "name")
+    listed = firsts.groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("first_values"))
+    return fields.select("name", "type", "n_values", "n_filled", number_only("lo").alias("min_value"), number_only("hi").alias("max_value")).join(listed, "name")
+
+
+def metadata_schema_api(df: DataFrame, columns: list[str], order: str, sample: int = 10) -> DataFrame:
+    """Per field: type by the looser rule (first filled cell), distinct values with null as "null", the first in the order, and rows."""
+    values = _cells(df, columns, order).select("name", "at", F.coalesce("value", F.lit("null")).alias("value"), F.col("value").isNotNull().alias("known"))
+    distinct = values.groupBy("name", "value").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.max("known").alias("known"))
+    fields = distinct.groupBy("name").agg(F.min_by(loose_type(F.col("value")), F.when(F.col("known") & (F.col("value") != ""), F.col("at"))).alias("type"), F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
+    firsts = distinct.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("at", "value"))).filter(F.col("k") <= sample)
+    listed = firsts.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("f"))
+    return fields.join(listed, "name").select("name", "type", "n_values", "n_rows", F.transform("f", lambda x: x["value"]).alias("unique_values"))
+
+
+def upload_schema(df: DataFrame, columns: list[str], order: str, looked_at: int = 10) -> DataFrame:
+    """Per field: type by its first looked_at rows, when a table is uploaded: integer, number, date, boolean, category or text."""
+    head = df.orderBy(order).limit(looked_at)
+    filled = _cells(head, columns, order).filter(~is_missing(F.col("value")))
+    all_ = lambda test: F.coalesce(F.min(F.coalesce(test, F.lit(False))), F.lit(False))
+    v = F.trim("value")
+    seen = filled.groupBy("name").agg(
+        all_(parse_number(v).isNotNull()).alias("number"),
+        all_(~v.contains(".")).alias("whole"),
+        all_(parse_date(v).isNotNull()).alias("date"),
+        all_(F.lower(v).isin("true", "false", "yes", "no", "0", "1")).alias("boolean"),
+        (F.count_distinct("value") <= F.greatest(F.lit(5.0), F.count("*") * 0.1)).alias("category"),
+        F.count("*").alias("n_sampled"),
+    )
+    kind = F.when(F.col("number"), F.when(F.col("whole"), "integer").otherwise("number")).when(F.col("date"), "date").when(F.col("boolean"), "boolean").when(F.col("category"), "category").otherwise("text")
+    return seen.select("name", kind.alias("type"), "n_sampled")
 
 
 def searchable_text(df: DataFrame, text: str, reserved: tuple[str, ...] = ("id", "doc_id", "embedding"), longest: int = 500) -> Column:

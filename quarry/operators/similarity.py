@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,27 +32,26 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, key: str =
 
 
 def _best(k: int, metric: str):
+    """Per part: its rows come first and are held, then blocks of queries, each of which gets its k nearest of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[float, int]]] = {}
-        block, queries, query_ids = None, None, None
+        part, blocks, ids, x = None, [], None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["queries"] is not None:
-                    if block != row["block"] and held:
-                        yield _rows(held)
-                        held = {}
-                    block = row["block"]
-                    query_ids = np.frombuffer(row["ids"], dtype=np.int64)
-                    queries = np.frombuffer(row["queries"], dtype=np.float64).reshape(len(query_ids), -1)
+                if row["part"] != part:
+                    part, blocks, x = row["part"], [], None
+                if not row["asks"]:
+                    blocks.append((np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["matrix"], dtype=np.float64)))
+                    continue
+                if not blocks:
                     continue
-                ids = np.frombuffer(row["ids"], dtype=np.int64)
-                x = np.frombuffer(row["rows"], dtype=np.float64).reshape(len(ids), -1)
+                if x is None:
+                    ids = np.concatenate([b[0] for b in blocks])
+                    x = np.concatenate([b[1] for b in blocks]).reshape(len(ids), -1)
+                query_ids = np.frombuffer(row["ids"], dtype=np.int64)
+                queries = np.frombuffer(row["matrix"], dtype=np.float64).reshape(len(query_ids), -1)
                 near = queries @ x.T if metric == "cosine" else -np.sqrt(np.maximum(0, (queries**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * queries @ x.T))
-                for q, scores in zip(query_ids.tolist(), near, strict=True):
-                    order = np.lexsort((ids, -scores))[: k + 1]
-                    held[q] = heapq.nlargest(k, [*held.get(q, []), *((float(scores[j]), -int(ids[j])) for j in order if ids[j] != q)])
-        if held:
-            yield _rows(held)
+                yield _rows({q: [(float(scores[j]), -int(ids[j])) for j in np.lexsort((ids, -scores))[: k + 1] if ids[j] != q][:k] for q, scores in zip(query_ids.tolist(), near, strict=True)})
 
     return run
 
@@ -63,7 +61,7 @@ def _rows(held: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.float64())], names=["query_id", "neighbour_id", "score"])
 
 
-def _packed(metric: str, block: int, name: str):
+def _packed(metric: str, block: int):
     """Rows of (ids, matrix) of at most block vectors; cosine: of unit length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +71,7 @@ def _packed(metric: str, block: int, name: str):
                 x = np.array(part.column("v").to_pylist(), dtype=np.float64).reshape(part.num_rows, -1)
                 if metric == "cosine":
                     x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), V.LEAST_NORM)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", name])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "matrix"])
 
     return run
 
@@ -81,22 +79,19 @@ def _packed(metric: str, block: int, name: str):
 def knn(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, metric: str = "cosine", key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Rows (query_id, neighbour_id, score, rank from 1): the k nearest others of each query row; exact.
 
-    Blocks of queries meet blocks of rows in matrix products, a unit of work per pair of blocks,
-    and only k rows per query leave a unit. Vectors are not null and of one length. score: cosine,
-    or the negative distance.
+    Rows are packed into matrices and dealt once to parts of about ROW_BLOCK of them; each part sees
+    every block of queries, as one matrix product, and k rows per query leave it. So rows travel
+    once, whatever the number of queries, and a task holds one part. Vectors are not null and of
+    one length. score: cosine, or the negative distance. Counting the rows is the one action.
     """
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v")).filter("id is not null and v is not null")
     asked = rows if queries is None else queries.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v")).filter("id is not null and v is not null")
-    asked_blocks = asked.mapInArrow(_packed(metric, QUERY_BLOCK, "queries"), "ids binary, queries binary").withColumn("block", F.xxhash64("ids"))
-    row_blocks = rows.mapInArrow(_packed(metric, ROW_BLOCK, "rows"), "ids binary, rows binary").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    # each block of queries goes once to every part of the rows
-    left = asked_blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", "queries", F.lit(None).cast("binary").alias("rows"))
-    names = asked_blocks.select("block")
-    right = row_blocks.join(names).select("block", "part", "ids", F.lit(None).cast("binary").alias("queries"), "rows")
-    work = left.unionByName(right).repartition(parts, "block", "part").sortWithinPartitions("block", "part", F.col("queries").isNull())
-    found = work.select("block", "ids", "queries", "rows").mapInArrow(_best(k, metric), "query_id long, neighbour_id long, score double")
+    parts = max(1, -(-rows.count() // ROW_BLOCK))
+    packed = rows.mapInArrow(_packed(metric, max(1, ROW_BLOCK // 8)), "ids binary, matrix binary")
+    held = packed.select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "ids", "matrix")
+    asks = asked.mapInArrow(_packed(metric, QUERY_BLOCK), "ids binary, matrix binary").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "ids", "matrix")
+    work = held.unionByName(asks).repartition(parts, "part").sortWithinPartitions("part", "asks")
+    found = work.mapInArrow(_best(k, metric), "query_id long, neighbour_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -32,6 +32,9 @@ chunks AS (SELECT doc_id AS parent_id, doc_id || '_chunk_' || position AS chunk_
 _POINTS = "p AS (SELECT vec_id AS doc_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label - 1 AS cluster FROM embeddings)"
 _CLUSTERED = "p AS (SELECT doc_id, text, label - 1 AS cluster FROM documents JOIN embeddings ON vec_id = doc_id)"
 
+_TYPE = """CASE WHEN {0} IS NULL OR lower(trim({0})) IN ('', 'nan') THEN NULL WHEN lower(trim({0})) IN ('true', 'false') THEN 'boolean'
+  WHEN regexp_full_match(trim({0}), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN 'number' WHEN regexp_full_match(trim({0}), '\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?') THEN 'date' ELSE 'text' END"""
+
 
 def _bm25_sql(source: str, key: str, k: int, where: str = "true", columns: str = "") -> str:
     return f"""
@@ -118,7 +121,18 @@ def word_prefix(spark, sf_dir):
     return lexical.word_matches(lexical.dictionary(_docs(spark, sf_dir)), FAST, fuzzy=False)
 
 
-@query("word_fuzzy")
+def _near_sql(w: str, q: str) -> str:
+    """The greedy walk: k is the length of the common start, and what follows the first difference is compared."""
+    k = f"len(list_filter(range(1, {len(q)} + 1), lambda i: {w}[1:i] = '{q}'[1:i]))"
+    a, b = f"substr('{q}', {k} + 1)", f"substr({w}, {k} + 1)"
+    return f"""(abs(length({w}) - {len(q)}) <= 2 AND NOT contains({w}, '{q}') AND CASE WHEN {b} = '' OR {a} = '' THEN abs(length({w}) - {len(q)}) <= 1
+  WHEN substr({a}, 2, 1) = substr({b}, 1, 1) THEN substr({a}, 3) = substr({b}, 2) WHEN substr({a}, 1, 1) = substr({b}, 2, 1) THEN substr({a}, 2) = substr({b}, 3) ELSE substr({a}, 2) = substr({b}, 2) END)"""
+
+
+_FUZZY = " UNION ALL ".join(f"SELECT '{q}' AS query_word, word, CASE WHEN word = '{q}' THEN 'exact' WHEN starts_with(word, '{q}') THEN 'prefix' WHEN {_near_sql('word', q)} THEN 'fuzzy' END AS kind FROM d" for q in FAST.split())
+
+
+@query("word_fuzzy", f"WITH d AS (SELECT DISTINCT unnest({_FAST_WORDS}) AS word FROM documents) SELECT * FROM ({_FUZZY}) WHERE kind IS NOT NULL AND length(word) >= 2")
 def word_fuzzy(spark, sf_dir):
     return lexical.word_matches(lexical.dictionary(_docs(spark, sf_dir)), FAST)
 
@@ -128,11 +142,12 @@ def _word_score_sql(q: str) -> str:
     return f"(CASE WHEN contains(t, '{q}') THEN 30 * {whole} + 20 * {start} + 15 * ({total} - {whole} - {start}) + greatest(0, 25 - floor((strpos(t, '{q}') - 1) / 20.0)) ELSE 0 END)::BIGINT"
 
 
+_HITS = "starts_with(x, 'erin') OR starts_with(x, 'only')"
 _FAST_SQL = f"""WITH d AS (SELECT doc_id, lower(text) AS t, regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+') AS w, {_FAST_WORDS} AS f, {_SPACED.format("lower(text)")} AS sp FROM documents WHERE text IS NOT NULL),
 s AS (SELECT *, {_word_score_sql("erin")} AS s1, {_word_score_sql("only")} AS s2 FROM d),
 h AS (SELECT doc_id, s1, s2, (s1 > 0)::INT + (s2 > 0)::INT AS match_count, sp,
   s1 + s2 + CASE WHEN s1 > 0 AND s2 > 0 THEN 20 ELSE 0 END + CASE WHEN contains(t, '{FAST}') THEN 50 ELSE 0 END + CASE WHEN len(list_filter(sp[1:5], lambda x: contains(x, 'erin'))) > 0 THEN 30 ELSE 0 END AS total
-  FROM s WHERE s1 + s2 > 0 AND len(list_filter(f, lambda x: length(x) >= 2 AND (starts_with(x, 'erin') OR starts_with(x, 'only')))) > 0),
+  FROM s WHERE s1 + s2 > 0 AND len(list_filter(f, lambda x: length(x) >= 2 AND ({_HITS}))) > 0),
 r AS (SELECT doc_id, match_count, floor(CASE WHEN len(sp) > 100 THEN total * 0.9::DOUBLE ELSE total END + 0.5)::BIGINT AS score FROM h)
 SELECT doc_id, score, match_count, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank FROM r ORDER BY rank LIMIT 20"""
 
@@ -142,7 +157,7 @@ def fast_search(spark, sf_dir):
     return lexical.fast_search(_docs(spark, sf_dir), FAST, 20, fuzzy=False)
 
 
-@query("fast_search_fuzzy")
+@query("fast_search_fuzzy", _FAST_SQL.replace(_HITS, f"{_HITS} OR {_near_sql('x', 'erin')} OR {_near_sql('x', 'only')}"))
 def fast_search_fuzzy(spark, sf_dir):
     return lexical.fast_search(_docs(spark, sf_dir), FAST, 20)
 
@@ -209,14 +224,17 @@ def column_stats(spark, sf_dir):
     return prepare.column_stats(_docs(spark, sf_dir), "text")
 
 
-@query("metadata_schema", """WITH c AS (SELECT 'lang' AS name, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'n_chars', n_chars::VARCHAR FROM documents),
-v AS (SELECT name, value, count(*) AS n FROM c WHERE value IS NOT NULL AND value <> '' GROUP BY ALL)
-SELECT name, CASE WHEN name = 'n_chars' THEN 'number' ELSE 'text' END AS type, count(*) AS n_values, sum(n)::BIGINT AS n_filled, min(CASE WHEN name = 'n_chars' THEN value::DOUBLE END) AS min_value, max(CASE WHEN name = 'n_chars' THEN value::DOUBLE END) AS max_value, array_to_string(list_sort(list(value))[1:10], ',') AS first_values FROM v GROUP BY name""")
+_CELLS = "c AS (SELECT doc_id, 'lang' AS name, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'n_chars', n_chars::VARCHAR FROM documents)"
+
+
+@query("metadata_schema", f"""WITH {_CELLS}, v AS (SELECT *, {_TYPE.format('value')} AS kind FROM c WHERE value IS NOT NULL AND lower(trim(value)) NOT IN ('', 'nan')),
+t AS (SELECT name, min_by(kind, doc_id) AS type, count(DISTINCT value) AS n_values, count(*) AS n_filled, list_sort(list(DISTINCT value))[1:10] AS firsts, min(try_cast(value AS DOUBLE)) AS lo, max(try_cast(value AS DOUBLE)) AS hi FROM v GROUP BY name)
+SELECT name, type, n_values, n_filled, CASE WHEN type = 'number' THEN lo END AS min_value, CASE WHEN type = 'number' THEN hi END AS max_value, array_to_string(firsts, ',') AS first_values FROM t""")
 def metadata_schema(spark, sf_dir):
-    return prepare.metadata_schema(_docs(spark, sf_dir), ["lang", "source", "n_chars"]).withColumn("first_values", F.array_join("first_values", ","))
+    return prepare.metadata_schema(_docs(spark, sf_dir), ["lang", "source", "n_chars"], "doc_id").withColumn("first_values", F.array_join("first_values", ","))
 
 
-@query("infer_types", "SELECT 'number' AS type, count(*) AS n FROM documents UNION ALL SELECT 'text', 2 * count(*) FROM documents")
+@query("infer_types", f"SELECT {_TYPE.format('v')} AS type, count(*) AS n FROM (SELECT unnest([lang, source, n_chars::VARCHAR]) AS v FROM documents) GROUP BY 1")
 def infer_types(spark, sf_dir):
     cells = _docs(spark, sf_dir).select(F.explode(F.array("lang", "source", F.col("n_chars").cast("string"))).alias("v"))
     return cells.groupBy(infer_type(F.col("v")).alias("type")).agg(F.count("*").alias("n"))
@@ -346,7 +364,7 @@ def map_center(spark, sf_dir):
     return spatial.map_center(_points(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("x", "y")})
 
 
-@query("bounds", f"WITH {_POINTS} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (min(x) + max(x)) / 2 AS center_x, (min(y) + max(y)) / 2 AS center_y, 60.0::DOUBLE AS padded_x, 60.0::DOUBLE AS padded_y FROM p")
+@query("bounds", f"WITH {_POINTS} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (min(x) + max(x)) / 2 AS center_x, (min(y) + max(y)) / 2 AS center_y, CASE WHEN max(x) = min(x) THEN 100 ELSE greatest(60, (max(x) - min(x)) * 1.2::DOUBLE) END::DOUBLE AS padded_x, CASE WHEN max(y) = min(y) THEN 100 ELSE greatest(60, (max(y) - min(y)) * 1.2::DOUBLE) END::DOUBLE AS padded_y FROM p")
 def bounds(spark, sf_dir):
     return spatial.bounds(_points(spark, sf_dir))
 
@@ -361,7 +379,9 @@ def normalize_projection(spark, sf_dir):
     return spatial.normalize(_points(spark, sf_dir)).select("doc_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-@query("projection_stats", "SELECT round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, min(v) AS min, max(v) AS max, 0 AS n_nan, 0 AS n_infinite, 0 AS n_extreme, 'low' AS spread FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)")
+@query("projection_stats", """WITH v AS (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings), f AS (SELECT v, CASE WHEN isfinite(v) THEN v END AS f FROM v)
+SELECT round(avg(f), 9) AS mean, round(stddev_pop(f), 9) AS std, min(f) AS min, max(f) AS max, count(*) FILTER (isnan(v)) AS n_nan, count(*) FILTER (isinf(v)) AS n_infinite, count(*) FILTER (abs(f) > 1e6) AS n_extreme,
+  CASE WHEN stddev_pop(f) < 0.1 THEN 'collapsed' WHEN stddev_pop(f) < 1 THEN 'low' ELSE 'normal' END AS spread FROM f""")
 def projection_stats(spark, sf_dir):
     return spatial.projection_stats(_table(spark, sf_dir, "embeddings")).withColumns({c: F.round(c, 9) for c in ("mean", "std")})
 
@@ -413,9 +433,8 @@ _LONG = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: length
 _HEAD = "CASE WHEN len(w) > 64 THEN array_to_string(w[1:64], ' ') || '...' ELSE array_to_string(w, ' ') END"
 
 
-@query("text_similarity", f"""WITH d AS (SELECT doc_id, text, {_SPACED.format('text')} AS w FROM documents JOIN (SELECT doc_id FROM labels) USING (doc_id)),
+@query("text_similarity", f"""WITH d AS (SELECT doc_id, text, {_SPACED.format('text')} AS w FROM documents),
 s AS (SELECT doc_id, {_LONG.format('text')} AS x, {_LONG.format(_HEAD)} AS y FROM d)
 SELECT doc_id, round(CASE WHEN least(len(x), len(y)) > 0 THEN len(list_filter(x, lambda a: list_contains(y, a))) / least(len(x), len(y)) ELSE 0 END, 6) AS score FROM s""")
 def text_similarity(spark, sf_dir):
-    pairs = _docs(spark, sf_dir).join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
-    return pairs.select("doc_id", F.round(T.similarity(F.col("text"), T.summary(F.col("text"), 64)), 6).alias("score"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.similarity(F.col("text"), T.summary(F.col("text"), 64)), 6).alias("score"))
