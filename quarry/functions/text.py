@@ -136,11 +136,17 @@ def quoted(word: str) -> str:
     return "".join(x if re.match(r"\w", x) else f"\\x{{{ord(x):X}}}" for x in word)
 
 
-def highlight(c: Column, words: list[str], css: str = "fast-highlight") -> Column:
-    """Marks all matches of the words, in one pass, longest first."""
+def highlight(c: Column, words: list[str], css: str | None = "fast-highlight") -> Column:
+    """Marks all matches of the words, whatever the case, in one pass, longest first; css None: a mark without a class."""
     if not (found := sorted({w for w in words if w}, key=lambda w: (-len(w), w))):
         return c
-    return F.regexp_replace(c, f"(?i)({'|'.join(map(quoted, found))})", f'<mark class="{css}">$1</mark>')
+    tag = "<mark>" if css is None else f'<mark class="{css}">'
+    return F.regexp_replace(c, f"(?i)({'|'.join(map(quoted, found))})", f"{tag}$1</mark>")
+
+
+def highlight_phrase(c: Column, query: str, css: str | None = None) -> Column:
+    """Marks a query as a whole; one of less than two characters marks nothing."""
+    return highlight(c, [query], css) if len(query) >= 2 else c
 
 
 def occurrences(c: Column, word: str) -> Column:
@@ -192,8 +198,35 @@ def file_size(c: Column) -> Column:
     return F.when(c < 1024, F.format_string("%d B", c.cast("long"))).when(c < 1 << 20, F.format_string("%.1f KB", c / 1024)).otherwise(F.format_string("%.1f MB", c / (1 << 20)))
 
 
-def cluster_label(c: Column) -> Column:
-    return F.when(c == -1, F.lit("Noise")).otherwise(F.concat(F.lit("Cluster "), c.cast("string")))
+def duration(seconds: Column) -> Column:
+    """Seconds as text: "12s", or "3m 5s" from a minute on."""
+    s = F.floor(seconds).cast("long")
+    return F.when(s < 60, F.format_string("%ds", s)).otherwise(F.format_string("%dm %ds", F.floor(s / 60).cast("long"), s % 60))
+
+
+def cluster_label(c: Column, names: dict[int, str] | None = None) -> Column:
+    """Noise, a cluster's own name if it has one (noise can't), or its number."""
+    label = F.when(c == -1, F.lit("Noise"))
+    for k, name in (names or {}).items():
+        label = label.when(c == k, F.lit(name)) if k != -1 else label
+    return label.otherwise(F.concat(F.lit("Cluster "), c.cast("string")))
+
+
+def percent(p: Column) -> Column:
+    """A probability for display."""
+    return F.format_string("%.2f%%", p * 100)
+
+
+def hsl_hex(hue: Column, saturation: float, lightness: float) -> Column:
+    """A colour of the wheel (degrees) as #rrggbb."""
+    spread = saturation * min(lightness, 1 - lightness)
+
+    def part(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + hue / 30, F.lit(12.0))
+        level = F.lit(lightness) - F.lit(spread) * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
+        return F.lpad(F.lower(F.hex(F.floor(level * 255 + 0.5).cast("long"))), 2, "0")
+
+    return F.concat(F.lit("#"), part(0), part(8), part(4))
 
 
 def probability(p: Column, cluster: Column) -> Column:

@@ -78,3 +78,23 @@ def join_keywords(docs: DataFrame, keywords: DataFrame, cluster: str = "cluster"
     per = keywords.filter(F.col("rank") <= n).groupBy(cluster).agg(F.transform(listed, lambda x: x["keyword"]).alias("_k"))
     joined = docs.join(per, cluster, "left")
     return joined.select(*docs.columns, F.coalesce(F.col("_k"), F.array().cast("array<string>")).alias("keywords"))
+
+
+def group_by_cluster(points: DataFrame, key: str = "doc_id", cluster: str = "cluster", probability: str = "cluster_probability") -> DataFrame:
+    """Rows (cluster, place, key, probability): members of each cluster in order of key.
+
+    A nested list per cluster would be as large as the cluster; as rows, its members are sorted in
+    ranges, and a reader that wants lists takes those of the clusters that it shows.
+    """
+    return points.select(cluster, key, F.col(probability).alias("probability")).repartitionByRange(cluster, key).sortWithinPartitions(cluster, key)
+
+
+def keyword_map(keywords: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Per cluster: its keywords as structs (keyword, score) in order of rank, as exports hold them."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "keyword", "score")))
+    return keywords.groupBy(cluster).agg(F.transform(listed, lambda x: F.struct(x["keyword"].alias("keyword"), x["score"].alias("score"))).alias("keywords"))
+
+
+def keyword_rows(nested: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """keyword_map() undone: rows (cluster, rank from 1, keyword, score)."""
+    return nested.select(cluster, F.posexplode("keywords").alias("k", "w")).select(cluster, (F.col("k") + 1).alias("rank"), "w.keyword", "w.score")

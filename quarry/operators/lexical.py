@@ -242,6 +242,32 @@ def boolean_condition(query: str, text: str = "text") -> Column:
     return test
 
 
+def boolean_rank(query: str, text: str = "text") -> Column:
+    """Which token let a text in: 0, or for one that OR added, that token's number among the query's."""
+    lowered, test, operator, joined = F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(True), "AND", F.lit(0)
+    for k, (kind, value) in enumerate(parse_boolean(query)):
+        if kind == "operator":
+            operator = value
+            continue
+        hit = _token_test(kind, value, lowered)
+        if kind == "excluded" or (operator == "NOT" and kind != "required"):
+            test = test & ~hit
+        elif operator == "OR" and kind != "required":
+            joined = F.when(~test & hit, k).otherwise(joined)
+            test = test | hit
+        else:
+            test = test & hit
+    return joined
+
+
+def boolean_scores(docs: DataFrame, query: str, k: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first k texts that the query lets through: (key, score), 100 less the place in order of joining, then of key."""
+    found = boolean_search(docs, query, key, text).select(key, boolean_rank(query, text).alias("_at")).orderBy("_at", key).limit(k)
+    from pyspark.sql import Window
+
+    return found.select(key, (101 - F.row_number().over(Window.orderBy("_at", key))).alias("score"))
+
+
 def boolean_search(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs that the query lets through, in a single scan."""
     return docs.filter(boolean_condition(query, text))

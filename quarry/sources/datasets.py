@@ -67,3 +67,51 @@ def conversation_rows(log: DataFrame) -> DataFrame:
 
 def write_conversation(log: DataFrame, path: str) -> None:
     conversation_rows(log).write.csv(path, header=True, quoteAll=True, escape='"')
+
+
+def write_conversation_json(log: DataFrame, path: str) -> None:
+    """The log as JSON lines, a question each, and its size in a line of its own beside them."""
+    log.write.json(f"{path}/conversation", ignoreNullFields=False)
+    log.agg(F.count("*").alias("total_queries"), F.current_timestamp().cast("string").alias("exported_at")).coalesce(1).write.json(f"{path}/summary")
+
+
+def clear(spark: SparkSession, root: str) -> None:
+    """Deletes all datasets; settings and sessions, which have a folder of their own, stay."""
+    for row in catalog(spark, root).select("name").toLocalIterator():
+        delete(spark, root, row["name"])
+
+
+def stats(tables: dict[str, DataFrame], vector: str = "embedding") -> DataFrame:
+    """Rows (name, n_rows, vector_mb) of a dataset's tables; vectors count four bytes a component."""
+    out = None
+    for name, df in sorted(tables.items()):
+        size = F.coalesce(F.sum(F.size(vector)), F.lit(0)) * 4 / (1 << 20) if vector in df.columns else F.lit(0.0)
+        row = df.agg(F.count("*").alias("n_rows"), size.cast("double").alias("vector_mb")).select(F.lit(name).alias("name"), "n_rows", "vector_mb")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def index_stats(postings: DataFrame, vectors: DataFrame, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """One row: terms and postings of the word index, vectors, and MB of the vectors with their norms."""
+    words = postings.agg(F.count_distinct("term").alias("n_terms"), F.count("*").alias("n_postings"), F.count_distinct(key).alias("n_indexed"))
+    dense = vectors.agg(F.count("*").alias("n_vectors"), (F.coalesce(F.sum(F.size(vector) * 4 + 4), F.lit(0)) / (1 << 20)).alias("memory_mb"))
+    return words.join(dense)  # one row each
+
+
+def save_value(spark: SparkSession, root: str, kind: str, value: str) -> None:
+    """Keeps a JSON text under settings or session, apart from the datasets; the newest counts."""
+    if kind not in ("settings", "session"):
+        raise ValueError("kind is settings or session")
+    spark.range(1).select(F.lit(value).alias("value"), F.current_timestamp().alias("saved_at"), F.lit(uuid.uuid4().hex).alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/__{kind}")
+
+
+def load_value(spark: SparkSession, root: str, kind: str) -> str | None:
+    fs, at = _folder(spark, f"{root}/__{kind}")
+    if not fs.exists(at):
+        return None
+    return spark.read.parquet(f"{root}/__{kind}").orderBy(F.desc("saved_at"), F.desc("version")).first()["value"]
+
+
+def clear_value(spark: SparkSession, root: str, kind: str) -> None:
+    fs, at = _folder(spark, f"{root}/__{kind}")
+    fs.delete(at, True)

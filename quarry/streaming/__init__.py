@@ -1 +1 @@
-"""streaming of the engine."""
+"""Documents and events that arrive as streams."""
