@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import clusters, filters, points, prepare, spatial
+from ..operators import clusters, density, filters, layout, points, prepare, spatial
 from .queries import _CELLS, _CLUSTERED, _SPACED, _TRIM, _clustered, _docs, _table, query
 
 _MAP = """m AS (SELECT vec_id AS doc_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label - 1 AS cluster, 0.5::DOUBLE + embedding[3]::DOUBLE AS p FROM embeddings)"""
@@ -258,3 +258,26 @@ def index_columns(spark, sf_dir):
 def spaced_words(spark, sf_dir):
     words = T.spaced(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.size(words).alias("n_words"), F.array_join(F.slice(words, 1, 5), " ").alias("first_words"))
+
+
+# places and clusters that are found, not given: results that SQL does not express, held against brute force in the tests
+
+
+@query("hdbscan")
+def hdbscan(spark, sf_dir):
+    return density.hdbscan(_table(spark, sf_dir, "embeddings")).select("vec_id", "cluster", F.round("cluster_probability", 6).alias("cluster_probability"))
+
+
+@query("layout_2d")
+def layout_2d(spark, sf_dir):
+    out = layout.layout(_table(spark, sf_dir, "embeddings"), steps=2)
+    return out.select("vec_id", F.round(F.col("coords")[0], 6).alias("x"), F.round(F.col("coords")[1], 6).alias("y"))
+
+
+@query("projection_pca", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, unnest(v) AS x, unnest(range(1, 65)) AS i FROM e), m AS (SELECT i, avg(x) AS m FROM x GROUP BY i)
+SELECT count(DISTINCT vec_id) AS n_points, round(sum((x - m) ** 2) / count(DISTINCT vec_id), 6) AS variance FROM x JOIN m USING (i)""")
+def projection_pca(spark, sf_dir):
+    """All components keep all of the variance."""
+    out = layout.project(_table(spark, sf_dir, "embeddings"), 64)
+    squared = F.aggregate("coords", F.lit(0.0), lambda a, x: a + x * x)
+    return out.agg(F.count("*").alias("n_points"), F.round(F.avg(squared), 6).alias("variance"))
