@@ -13,12 +13,14 @@ import ctypes
 import functools
 import gc
 import hashlib
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 256 << 10
 
@@ -28,6 +30,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Tables of at most so many bytes on disk, about three times that in memory, go to the texts by broadcast; larger ones by a shuffle of both.
+BROADCAST_BYTES = 24 << 20
 GRAM = 32
 _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
@@ -39,16 +43,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all machines share (spark.checkpoint.dir).
 
-    Where that is unset, as in tests, the warehouse folder stands in for it.
+    Where that is unset, as in tests on one machine, the warehouse folder stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Tables that the operators now at work have stashed, an entry for each operator within another.
+_OPEN: list[list[str]] = []
+#: When the driver last collected its garbage, and the least seconds until it does again.
+_collected, COLLECT_AFTER = [0.0], 2.0
+
+
 def stash(df: DataFrame, done_with: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends, executors may go.
 
@@ -58,15 +70,41 @@ def stash(df: DataFrame, done_with: tuple[DataFrame, ...] = ()) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     for old in done_with:
-        at = spark._jvm.org.apache.hadoop.fs.Path(old._stashed_at)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    spark._jvm.System.gc()
+        _delete(spark, old._stashed_at)
+    if time.monotonic() - _collected[0] > COLLECT_AFTER:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
+    if _OPEN:
+        _OPEN[-1].append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose stashed tables are deleted once its result is one; for results that are small beside the input."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _OPEN.append([])
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            made = _OPEN.pop()
+        out = stash(out)
+        for path in made:
+            _delete(out.sparkSession, path)
+        return out
+
+    return run
+
+
 def stashed_bytes(df: DataFrame) -> int:
     """Bytes on disk of the files behind a stashed table."""
     spark = df.sparkSession
@@ -78,6 +116,11 @@ def stashed_bytes(df: DataFrame) -> int:
     return total
 
 
+def attach(texts: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("id", "sub"), how: str = "left") -> DataFrame:
+    """Join of a large table with a stashed one: by broadcast if its size is known to be small, else by a shuffle."""
+    return texts.join(F.broadcast(spans) if stashed_bytes(spans) <= BROADCAST_BYTES else spans, list(keys), how)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -23,7 +23,8 @@ ESTIMATE_AT_LEAST, five deviations under the threshold; in the third round, a sk
 sorts out those that lie DEVIATIONS under it.
 
 Texts without words have no shingles, no links, and are kept. Shorter texts are one shingle. Rows
-that repeat an id merge their sets' groups under that id; a null id gets a row without links.
+that repeat an id with different texts are sets of their own in all comparisons, and then merge
+their groups under that id; a null id gets a row without links.
 Empty tables give empty results. Extra columns are left out by the join.
 """
 
@@ -34,9 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix, releasing, stash, stashed_bytes, text_chunks, window_hashes, word_bounds, word_hashes
+from ._shared import BROADCAST_BYTES, mix, releasing, stash, stashed_bytes, tidied, text_chunks, window_hashes, word_bounds, word_hashes
 from .components import components, merged
-from .passages import BROADCAST_BYTES
 from .vectors import groups
 
 SHINGLE_WORDS = 5
@@ -118,12 +118,15 @@ def _signed(batches):
 
 @releasing
 def _sets(batches):
-    """Rows (id, set) from (id, text): the sorted distinct shingles as packed 64-bit values."""
+    """Rows (first, s1, set) from (id, text): the sorted distinct shingles as packed 64-bit values."""
     for batch in batches:
         for at, end, data, offs in text_chunks(batch, rows=1024):
             bounds, h = distinct_sets(data, offs)
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, end - at), pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["id", "set"])
+            raw, s1, some = h.tobytes(), np.zeros(end - at, dtype=np.uint64), np.flatnonzero(np.diff(bounds))
+            if len(some):
+                s1[some] = np.add.reduceat(mix(h), bounds[:-1][some])
+            sets = pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, end - at), pa.array(s1.view(np.int64)), sets], names=["first", "s1", "set"])
 
 
 def _coordinates() -> np.ndarray:
@@ -292,6 +295,7 @@ def _block_pairs(rows: DataFrame, parts: int, *more: str) -> DataFrame:
     return work.repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j", "id")
 
 
+@tidied
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key as id, size of its set, and component (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -299,14 +303,18 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = stash(rows.mapInArrow(_signed, "id long, size long, s1 long, s2 long, sig binary, fine binary"))
     filled = signed.filter("size > 0 and id is not null")
-    classes = stash(filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.min("fine").alias("fine")))
-    signs = classes.groupBy("id").agg(F.max("size").alias("size"), F.max("sig").alias("sig"), F.max("fine").alias("fine"))
+    classes = filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("first"), F.min("sig").alias("sig"), F.min("fine").alias("fine"))
+    # a set is named by the smallest id that has it, or by its hash where that id is the smallest of several sets
+    several = classes.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select("first", F.lit(True).alias("shared"))
+    classes = stash(classes.join(several, "first", "left").withColumn("id", F.when(F.col("shared"), F.col("s1")).otherwise(F.col("first"))).drop("shared"))
+    signs = classes.select("id", "size", "sig", "fine")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """(id, set) of the texts of these ids; while the ids are few, texts are not shuffled for it."""
-        few = stash(ids.distinct())
-        few = F.broadcast(few) if stashed_bytes(few) <= BROADCAST_BYTES else few
-        return rows.join(few, "id", "left_semi").mapInArrow(_sets, "id long, set binary").groupBy("id").agg(F.max("set").alias("set"))
+        """(id, set) of the sets of these names; while they are few, texts are not shuffled for it."""
+        few = stash(classes.select("id", "first", "s1").join(ids.distinct(), "id", "left_semi"))
+        small = (lambda df: F.broadcast(df)) if stashed_bytes(few) <= BROADCAST_BYTES else (lambda df: df)
+        found = rows.join(small(few.select(F.col("first").alias("id")).distinct()), "id", "left_semi").mapInArrow(_sets, "first long, s1 long, set binary")
+        return found.join(small(few), ["first", "s1"]).groupBy("id").agg(F.max("set").alias("set"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs.distinct())
@@ -357,11 +365,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     last = _block_pairs(unsettled.join(counts, "node").join(signs, "id").join(sets, "id"), parts, "set").mapInArrow(_settled, "a long, b long")
     reach = merged(reach, stash(last))
 
-    owned = stash(filled.join(classes.select("s1", "s2", "size", F.col("id").alias("b")), ["s1", "s2", "size"]).select("id", "b"))
+    owned = stash(filled.join(classes.select("s1", "s2", "size", F.col("id").alias("b"), F.col("first").alias("low")), ["s1", "s2", "size"]).select("id", "b", "low"))
     first = owned.groupBy("id").agg(F.min("b").alias("least"), F.max("b").alias("most"))
     several = owned.join(first.filter("least <> most").select("id", "least"), "id").filter("b <> least")
     reach = merged(reach, several.select("b", F.col("least").alias("a")).distinct())
-    found = first.join(reach.select(F.col("node").alias("least"), "component"), "least", "left").select("id", F.coalesce("component", "least").alias("component"))
+    named = classes.select(F.col("id").alias("node"), "first").join(reach, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("first").alias("low"))
+    known = named.join(lowest, "component").select(F.col("node").alias("least"), "low")
+    found = first.join(known, "least").select("id", F.col("low").alias("component"))
     return signed.select("id", "size").join(found, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
 
 

@@ -25,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import releasing, stash, stashed_bytes, text_chunks, window_argmin, window_hashes, word_bounds, word_hashes
+from ._shared import attach, releasing, stash, text_chunks, window_argmin, window_hashes, word_bounds, word_hashes
 
 WINDOW_WORDS = 13
 ANCHOR_WORDS = 5
 SPREAD = WINDOW_WORDS - ANCHOR_WORDS + 1
-#: Spans of at most so many bytes on disk, three times that in memory, go to the texts by broadcast; larger ones by a shuffle of both.
-BROADCAST_BYTES = 24 << 20
 #: A key with more than this share of the rows is hot; at most its inverse can be.
 HOT_SHARE = 0.001
 
@@ -107,11 +105,6 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(w1[word].view(np.int64)), pa.array(w2[word].view(np.int64)), *key_of(batch, at, end, of[k]), pa.array(place.astype(np.int32))], names=["w1", "w2", "id", "sub", "at"])
 
 
-def attach(texts: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("id", "sub"), how: str = "left") -> DataFrame:
-    """Join of texts with a stashed table: by broadcast if its size is known to be small, else by a shuffle."""
-    return texts.join(F.broadcast(spans) if stashed_bytes(spans) <= BROADCAST_BYTES else spans, list(keys), how)
-
-
 def join_counts(rows: DataFrame, counts: DataFrame, keys: list[str], count: str = "times", total: int | None = None) -> DataFrame:
     """rows.join(counts, keys) of two stashed tables, in which counts has how many rows each key has.
 

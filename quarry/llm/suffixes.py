@@ -37,8 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import GRAM, gram_hashes, mix, releasing, slice_hashes, stash, text_chunks, window_argmin, word_bounds
-from .passages import _flat, attach, join_counts, key_of, one_of_each
+from ._shared import GRAM, attach, gram_hashes, mix, releasing, slice_hashes, stash, text_chunks, window_argmin, word_bounds
+from .passages import _flat, join_counts, key_of, one_of_each
 
 LENGTH = 400
 MOST_SPREAD = 200
