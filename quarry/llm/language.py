@@ -13,7 +13,7 @@ size.
 Results in special cases: null text, empty text, or no letter gives "und", score 0, ambiguous.
 Without any labelled row every text is "und". With one language every text with a letter is that
 language with score 1. Equal losses go to the first language in order of name. Extra columns pass
-through; existing result columns are replaced. Repeated rows are predicted alike.
+through; existing result columns, in whatever case, are replaced. Repeated rows are predicted alike.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import LOWER, text_chunks
+from ._shared import LOWER, releasing, text_chunks
 
 SAMPLE_ROWS = 3000
 DIMENSIONS = 4096
@@ -131,6 +131,7 @@ def learn(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "tex
     share = min(1.0, sample_rows / max(1, rows.select("k").count()))
     rows = rows.filter(F.pmod(F.xxhash64("k"), F.lit(span)) < int(share * span)).select("lang", "text")
 
+    @releasing
     def run(batches):
         for batch in batches:
             for at, end, data, offs in text_chunks(batch, rows=512):
@@ -154,12 +155,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", margin:
     """Adds lang_pred, lang_score (0 to 1) and lang_ambiguous (the two best languages' scores are within margin)."""
     added = [("lang_pred", T.StringType()), ("lang_score", T.DoubleType()), ("lang_ambiguous", T.BooleanType())]
     names = [a for a, _ in added]
-    schema = T.StructType([*(f for f in docs.schema if f.name not in names), *(T.StructField(*a) for a in added)])
+    schema = T.StructType([*(f for f in docs.schema if f.name.lower() not in names), *(T.StructField(*a) for a in added)])
     languages = np.array([*model.languages, UNDETERMINED], dtype=object)
 
+    @releasing
     def run(batches):
         for batch in batches:
-            keep = [k for k, f in enumerate(batch.schema) if f.name not in names]
+            keep = [k for k, f in enumerate(batch.schema) if f.name.lower() not in names]
             texts = batch.column(batch.schema.get_field_index(text))
             for at, end, data, offs in text_chunks(batch, text, rows=512):
                 n = end - at

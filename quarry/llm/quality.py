@@ -12,7 +12,7 @@ ships a model of fixed size.
 Null and empty texts have no words and zero statistics and get the score of those features. With no
 labelled row, every score is 0.5. Repeated rows score alike. Label rows with a null label or
 without a document are left out; of several labels for one document each counts. Extra columns
-pass through; an existing result column is replaced.
+pass through; an existing result column, in whatever case, is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import mix, text_chunks, word_bounds, word_hashes
+from ._shared import mix, releasing, text_chunks, word_bounds, word_hashes
 
 SAMPLE_ROWS = 6000
 WORD_SLOTS = 1 << 13
@@ -176,6 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = rows.filter(F.pmod(F.xxhash64("k"), F.lit(span)) < int(share * span)).limit(2 * sample_rows)
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(rows), "k").select("k", "y", "text")
 
+    @releasing
     def run(batches):
         for batch in batches:
             for at, end, data, offs in text_chunks(batch, rows=512):
@@ -203,11 +204,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", into: str = "quality_score") -> DataFrame:
     """Adds the score (0 to 1, higher: label 1 likelier) of each text."""
-    schema = T.StructType([*(f for f in docs.schema if f.name != into), T.StructField(into, T.DoubleType())])
+    schema = T.StructType([*(f for f in docs.schema if f.name.lower() != into.lower()), T.StructField(into, T.DoubleType())])
 
+    @releasing
     def run(batches):
         for batch in batches:
-            keep = [k for k, f in enumerate(batch.schema) if f.name != into]
+            keep = [k for k, f in enumerate(batch.schema) if f.name.lower() != into.lower()]
             for at, end, data, offs in text_chunks(batch, text, rows=1024):
                 part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(model.score(*features(data, offs)))], names=[*(batch.schema.names[k] for k in keep), into])
