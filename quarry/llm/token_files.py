@@ -4,7 +4,8 @@ write_tokens sorts texts by a key over ranges, encodes them with the tokenizers
 one file per range through Spark's own writer. A file holds key, n_tokens, start_in_file and the
 ids, as a dictionary-encoded or delta-encoded list column in zstd. Row groups and pages are small
 enough that the page index lets a reader take the ids or metadata of a range of keys alone.
-read_tokens adds each document's start among all ids, from totals of the files.
+read_tokens takes a range of keys or some columns alone, and adds each document's start among all
+ids, from totals of the files.
 
 A text's ids depend on its pieces alone, so the library encodes each new piece of a batch once and
 a bounded cache gives the rest. Only one range's texts meet in a task.
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._pieces import split_pieces
-from ._shared import text_chunks
+from ._shared import releasing, text_chunks
 
 END_ID = 1
-CACHED_PIECES = 600_000
+#: Of so many entries, of up to about 300 bytes each, the cache stays under 75 MB in each worker.
+CACHED_PIECES = 250_000
 _JOINED = 64
 
 
@@ -88,6 +90,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
         raise ValueError("encoding is dictionary or delta")
     end = np.array([end_id], dtype="<i4").tobytes()
 
+    @releasing
     def run(batches):
         model, start = library(tokenizer), 0
         for batch in batches:
@@ -116,13 +119,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     ).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """key, n_tokens, ids, and start: how many ids come before the document's."""
-    files = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"))
-    totals = files.groupBy("file").agg(F.min("key").alias("first"), F.sum("n_tokens").alias("total"))
+def read_tokens(spark: SparkSession, path: str, low=None, high=None, columns: tuple[str, ...] = ("key", "n_tokens", "start", "ids")) -> DataFrame:
+    """The given of key, n_tokens, ids and start (how many ids come before the document's), of keys from low to high.
+
+    Bounds reach the scan, where row groups and pages without such keys are skipped, and columns that
+    are not asked for are not read. Totals come from the small columns alone, and only if start is asked for.
+    """
+    files = spark.read.parquet(path)
+    files = files if low is None else files.filter(F.col("key") >= low)
+    files = files if high is None else files.filter(F.col("key") <= high)
+    if "start" not in columns:
+        return files.select(*columns)
+    files = files.select("*", F.col("_metadata.file_path").alias("file"))
+    totals = spark.read.parquet(path).select("key", "n_tokens", F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.min("key").alias("first"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    return files.join(starts, "file").select("key", "n_tokens", (F.col("before") + F.col("start_in_file")).alias("start"), "ids")
+    return files.join(starts, "file").withColumn("start", F.col("before") + F.col("start_in_file")).select(*columns)
 
 
 def with_crc32(tokens: DataFrame) -> DataFrame:
