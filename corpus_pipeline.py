@@ -24,8 +24,10 @@ PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and those whose two best languages can't be told apart, go."""
     model = language.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("lang_ambiguous")).select(*docs.columns)
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no column of documents has a result's name
+    found = language.identify(docs.toDF(*names.values()), model, names["text"])
+    sure = found.filter((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("lang_ambiguous"))
+    return sure.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,24 +37,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words, and strings of 400 bytes, that occur elsewhere go; characters cut apart go as a whole."""
-    cut = suffixes.remove_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS).filter("n_removed > 0").select(F.col("id").alias("doc_id"), "cut")
-    cut = stash(cut.groupBy("doc_id").agg(F.max("cut").alias("cut")))
-    text = F.coalesce(F.col("cut"), F.col("text"))
-    joined = docs.join(cut, "doc_id", "left")
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = suffixes.cut_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold most of a benchmark item go; they are known by their texts, as ids may be null or repeated."""
     texts = docs.select(F.xxhash64("text").alias("row"), "text")
     found = stash(contamination.contaminated(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row").select(F.col("doc_id").alias("found")).distinct())
-    return docs.join(found, F.xxhash64("text") == F.col("found"), "left_anti").select(*docs.columns)
+    return docs.join(found, F.xxhash64(docs["text"]) == found["found"], "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text that they decode to."""
-    ids = bpe.bpe_encode(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids")
-    return bpe.bpe_decode(ids, TOKENIZER).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.bpe_round_trip(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -68,6 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: tuple[DataFrame, ...] = ()
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        docs = stash(stage(spark, docs, sf_dir), done_with=before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)

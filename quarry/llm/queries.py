@@ -84,8 +84,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_TOKENIZER)
-    out = bpe.bpe_decode(ids.select("doc_id", "ids"), WORD_TOKENIZER)
+    out = bpe.bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_TOKENIZER)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
