@@ -19,7 +19,8 @@ whatever the number of trees. Then every set with the set of its node that has m
 hold several components, and only these, branch further. Third, within them, every pair of unlike
 components that can be a link is checked in the task that holds the node, likeliest first, and
 only links that join components leave it. Signatures only sort out pairs whose estimate lies below
-ESTIMATE_AT_LEAST, five deviations under the threshold; in the third round, a sketch of BINS bins
+ESTIMATE_AT_LEAST, five deviations under the threshold; the lowest byte of each hash is all that
+travels for it, which can only raise an estimate. In the third round, a sketch of BINS bins
 sorts out those that lie DEVIATIONS under it.
 
 Texts without words have no shingles, no links, and are kept. Shorter texts are one shingle. Rows
@@ -44,8 +45,8 @@ THRESHOLD = 75
 TREES = 10
 DEPTH = 4
 BRANCHINGS = 2
-NODE_ROWS = 1024
-BLOCK_ROWS = 512
+NODE_ROWS = 4096
+BLOCK_ROWS = 1024
 SIGNATURE = 64
 ESTIMATE_AT_LEAST = 0.48
 BINS = 256
@@ -87,9 +88,9 @@ def distinct_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
 
 @releasing
 def _signed(batches):
-    """Rows (id, size, s1, s2, sig, fine) from (id, text); s1 and s2 identify the set.
+    """Rows (id, size, s1, s2, sig, low, fine) from (id, text); s1 and s2 identify the set.
 
-    fine has a byte of the smallest shingle of each bin of shingles, 0 for an empty bin.
+    sig has the least value under each hash function, low those values' lowest bytes, fine a byte of the smallest shingle of each bin of shingles, 0 for an empty bin.
     """
     for batch in batches:
         for at, end, data, offs in text_chunks(batch, rows=1024):
@@ -105,14 +106,15 @@ def _signed(batches):
                 for k in range(SIGNATURE):
                     sig[some, k] = np.minimum.reduceat(((h ^ _SEEDS[0, k]) * _SEEDS[1, k]) >> np.uint64(32), begin)
             packed = sig.view("V%d" % (4 * SIGNATURE)).ravel().tolist()
+            low = np.ascontiguousarray(sig.astype(np.uint8)).view(f"V{SIGNATURE}").ravel().tolist()
             bins = np.repeat(np.arange(n) * BINS, size) + (h >> np.uint64(64 - 8)).astype(np.int64)
             least = np.flatnonzero(np.diff(bins, prepend=-1))
             fine = np.zeros(n * BINS, dtype=np.uint8)
             fine[bins[least]] = (h[least] % np.uint64(255)).astype(np.uint8) + 1
             fine = fine.view(f"V{BINS}").tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(at, n), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(packed, pa.binary()), pa.array(fine, pa.binary())],
-                names=["id", "size", "s1", "s2", "sig", "fine"],
+                [batch.column("id").slice(at, n), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(packed, pa.binary()), pa.array(low, pa.binary()), pa.array(fine, pa.binary())],
+                names=["id", "size", "s1", "s2", "sig", "low", "fine"],
             )
 
 
@@ -176,7 +178,7 @@ def _sketches(column) -> np.ndarray:
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), SIGNATURE)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), SIGNATURE)
 
 
 def _candidates(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray | None = None, fine: np.ndarray | None = None) -> np.ndarray:
@@ -301,13 +303,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stash(rows.mapInArrow(_signed, "id long, size long, s1 long, s2 long, sig binary, fine binary"))
+    signed = stash(rows.mapInArrow(_signed, "id long, size long, s1 long, s2 long, sig binary, low binary, fine binary"))
     filled = signed.filter("size > 0 and id is not null")
-    classes = filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("first"), F.min("sig").alias("sig"), F.min("fine").alias("fine"))
+    classes = filled.groupBy("s1", "s2", "size").agg(F.min("id").alias("first"), F.min("sig").alias("sig"), F.min("low").alias("low"), F.min("fine").alias("fine"))
     # a set is named by the smallest id that has it, or by its hash where that id is the smallest of several sets
     several = classes.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select("first", F.lit(True).alias("shared"))
     classes = stash(classes.join(several, "first", "left").withColumn("id", F.when(F.col("shared"), F.col("s1")).otherwise(F.col("first"))).drop("shared"))
-    signs = classes.select("id", "size", "sig", "fine")
+    signs, paths = classes.select("id", "size", F.col("low").alias("sig"), "fine"), classes.select("id", "sig")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(id, set) of the sets of these names; while they are few, texts are not shuffled for it."""
@@ -329,9 +331,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         mixed = known.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("node", "n")
         return stash(known.join(mixed, "node"))
 
-    level = signs.select("id", "sig").mapInArrow(_children(0), "node long, tree int, id long")
+    level = paths.mapInArrow(_children(0), "node long, tree int, id long")
     members = stash(level.join(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"))
-    dealt = members.join(signs, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).cast("int"))
+    dealt = members.join(signs.drop("fine"), "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).cast("int"))
     dealt = dealt.select("node", "blk", "id", "size", "sig").repartition(parts, "node", "blk").sortWithinPartitions("node", "blk", "id")
     found = dealt.mapInArrow(_nearest, "id long, near long, share float, hub long, hub_share float")
     best = found.groupBy("id").agg(F.max(F.struct("share", "near")).alias("x"), F.max(F.struct("hub_share", "hub")).alias("y"))
@@ -353,7 +355,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             ready.append(mixed)
             break
         ready.append(mixed.filter(F.col("n") <= NODE_ROWS))
-        below = large.join(signs.select("id", "sig"), "id").mapInArrow(_children(depth), "node long, tree int, id long").distinct()
+        below = large.join(paths, "id").mapInArrow(_children(depth), "node long, tree int, id long").distinct()
         mixed = placed(below, reach)
     nodes = ready[0]
     for more in ready[1:]:
@@ -365,7 +367,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     last = _block_pairs(unsettled.join(counts, "node").join(signs, "id").join(sets, "id"), parts, "set").mapInArrow(_settled, "a long, b long")
     reach = merged(reach, stash(last))
 
-    owned = stash(filled.join(classes.select("s1", "s2", "size", F.col("id").alias("b"), F.col("first").alias("low")), ["s1", "s2", "size"]).select("id", "b", "low"))
+    owned = stash(filled.select("id", "s1", "s2", "size").join(classes.select("s1", "s2", "size", F.col("id").alias("b")), ["s1", "s2", "size"]).select("id", "b"))
     first = owned.groupBy("id").agg(F.min("b").alias("least"), F.max("b").alias("most"))
     several = owned.join(first.filter("least <> most").select("id", "least"), "id").filter("b <> least")
     reach = merged(reach, several.select("b", F.col("least").alias("a")).distinct())
