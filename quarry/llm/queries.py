@@ -77,6 +77,20 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+k AS (SELECT doc_id, n, blk, substr(x, blk * 512 + 1, 512 + {2 * suffixes.LENGTH}) AS piece FROM (SELECT *, unnest(range(0, (n + 255) // 256)) AS blk FROM d)),
+q AS (SELECT doc_id, blk * 256 + i AS pos, substr(piece, 2 * i + 1, 2) AS byte, CASE WHEN blk * 256 + i <= n - {suffixes.LENGTH} THEN substr(piece, 2 * i + 1, {2 * suffixes.LENGTH}) END AS s
+      FROM (SELECT *, unnest(range(0, least(256, n - blk * 256))) AS i FROM k)),
+w AS (SELECT doc_id, pos, byte, CASE WHEN s IS NOT NULL THEN hash(s) END AS h, md5_number_lower(s) AS g FROM q),
+r AS (SELECT doc_id, pos, byte, h IS NOT NULL AND count(*) OVER (PARTITION BY h, g) > 1 AS again FROM w),
+p AS (SELECT doc_id, pos, byte, coalesce(max(CASE WHEN again THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) > pos - {suffixes.LENGTH}, false) AS gone FROM r),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM p),
+o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(byte, '' ORDER BY pos) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORD_TOKENIZER)
@@ -158,4 +172,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_text": OP1_SQL, "op2_warc": OP2_SQL, "op3_passages": OP3_SQL, "op7_vectors": OP7_SQL}
+    return {"op1_near_text": OP1_SQL, "op2_warc": OP2_SQL, "op3_passages": OP3_SQL, "op4_suffixes": OP4_SQL, "op7_vectors": OP7_SQL}
