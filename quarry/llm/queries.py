@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, language, near_text, passages, quality, suffixes, token_files, vectors, warc
+from . import bpe, contamination, language, near_text, passages, prefix_trie, quality, quality_rules, suffixes, token_files, vectors, warc, whitening
 from ._shared import scratch, stash, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -156,6 +156,35 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 bit by bit, as this SQL has no function for it.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda r, c: list_reduce(list_prepend(xor(r, c), range(8)), lambda y, z: xor(y // 2, (y % 2) * 3988292384))), 4294967295)"
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, md5(md5(r) || md5(x))) AS l FROM t GROUP BY c),
+h AS (SELECT c, l, {_CRC32.format('c::VARCHAR')} % {prefix_trie.HEADS} AS h FROM o),
+s AS (SELECT h.c, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN o b ON b.c = h.c - h.c % {prefix_trie.FAMILY}),
+m AS (SELECT c, l, d, l[1:d] AS node FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM s)),
+n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(l) = d), '')) AS ends_sha256 FROM m GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.node[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM n LEFT JOIN k ON k.node = n.node),
+z AS (SELECT node[1:i] AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM v) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, z.n_leaves::BIGINT AS n_leaves, z.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN z ON z.node = v.node LEFT JOIN n p ON v.d > 0 AND p.node = v.node[1:v.d - 1]
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op1_near_text": op1_near_text,
@@ -168,8 +197,11 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_language": op9_language,
         "op10_contamination": op10_contamination,
+        "op11_whitening": op11_whitening,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_text": OP1_SQL, "op2_warc": OP2_SQL, "op3_passages": OP3_SQL, "op4_suffixes": OP4_SQL, "op7_vectors": OP7_SQL}
+    return {"op1_near_text": OP1_SQL, "op2_warc": OP2_SQL, "op3_passages": OP3_SQL, "op4_suffixes": OP4_SQL, "op7_vectors": OP7_SQL, "op12_prefix_trie": OP12_SQL}
