@@ -1,127 +1,342 @@
-"""Clusters by density: a hierarchy over levels of mutual reachability, and the most stable of its clusters.
-
-The distance of two points counts as no less than either's distance to its min_samples-th neighbour.
-At each of LEVELS levels, points that are joined by such distances up to the level's form components,
-and those of at least min_size points are clusters; a point's cluster at a level is its component
-there. The levels are quantiles of the distances of the neighbour graph, so the hierarchy is cut at
-LEVELS heights, where an exact one is cut at every distance. Of a cluster and those that it splits
-into, those are chosen whose points stay in them over the greater span of density, as excess of mass.
-
-Everything is joins and sums over rows (point, level, component): the neighbour graph bounds the
-edges to k a point, components travel as labels whose reach doubles, and the chosen clusters follow from the leaves of
-the tree of clusters to its roots, a round for each of its heights. Tables between rounds are written to the folder in spark.checkpoint.dir.
+"""Clusters by density: the exact hierarchy of mutual reachability, condensed, and the most stable of its clusters.
+
+The distance of two points counts as no less than either's core distance, that to its min_samples-th
+neighbour, itself included. Three steps, each as rows and joins:
+
+1. spanning_tree(): Boruvka's rounds. Each component takes its least outgoing edge; the neighbour
+   lists settle most, and only points whose lists can't are compared, in blocks, with all rows. The
+   largest component need not be searched.
+2. chains(): the tree is contracted again by the least edge of each vertex, at most log2(n) times.
+   What merges with one vertex of a level, in order of distance, is a chain: each of its rows adds
+   the whole of a lower chain. So a component's size at any distance is a running sum along a chain,
+   however tall the hierarchy is, and no group meets in one task.
+3. hdbscan(): where both sides of a merge have min_cluster_size points, clusters begin; smaller sides
+   leave the cluster that they meet. Of a cluster and those that it splits into, those are chosen
+   whose points stay over the greater span of 1 / distance (excess of mass); the root never is.
+
+Merges at equal distances follow each other in the order of their points' keys; where many are equal,
+libraries that take them in another order may draw a border elsewhere. Of distances under LEAST_DISTANCE, as
+between equal points, the reciprocal is that of LEAST_DISTANCE. Rows with a null key or vector are
+left out, of rows that repeat a key one stays. Vectors must be of one length; entries that aren't
+finite count as 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+from ._tables import cut, join_unique, running, tidied
 from .clusters import NOISE
-from .similarity import knn
+from .similarity import QUERY_BLOCK, ROW_BLOCK, knn, matrix, squared_distances
 
-LEVELS = 24
 NEIGHBOURS = 15
+LEAST_DISTANCE = 1e-12
+#: Clusters of at most so many rows are chosen in one task; more take a round for each height of their tree.
+CLUSTERS_AT_ONCE = 1 << 17
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here: a checkpoint in the shared folder, or in the warehouse's where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+def cores(near: DataFrame, points: DataFrame, min_samples: int) -> DataFrame:
+    """Rows (p, core, known): the core distance, and the least distance that an unlisted point can have."""
+    listed = near.groupBy("u").agg(F.max(F.when(F.col("rank") < min_samples, F.col("d"))).alias("core"), F.max("d").alias("far"), F.count("*").alias("n"))
+    most = near.agg(F.max("rank").alias("k")).first()["k"] or 0
+    few = F.col("n") < most  # an incomplete list holds all there are
+    return points.join(listed.withColumnRenamed("u", "p"), "p", "left").select("p", "v", F.coalesce("core", F.lit(0.0)).alias("core"), F.when(F.col("n").isNull() | few, float("inf")).otherwise(F.greatest("core", "far")).alias("known"))
 
 
-def mutual_reachability(vectors: DataFrame, min_samples: int = 5, neighbours: int = NEIGHBOURS, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Edges (a, b, distance), a < b, of the neighbour graph: the greatest of their distance and both core distances."""
-    near = knn(vectors, None, max(neighbours, min_samples), "euclidean", key, embedding).select(F.col("query_id").alias("u"), F.col("neighbour_id").alias("v"), (-F.col("score")).alias("d"), "rank")
-    near = _cut(near)
-    core = near.filter(F.col("rank") == min_samples).select(F.col("u").alias("p"), F.col("d").alias("core"))
-    edges = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "d").groupBy("a", "b").agg(F.min("d").alias("d"))
-    known = edges.join(core.toDF("a", "ca"), "a", "left").join(core.toDF("b", "cb"), "b", "left")
-    return known.select("a", "b", F.greatest("d", F.coalesce("ca", "d"), F.coalesce("cb", "d")).alias("distance"))
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per part: its rows come first, then blocks of queries, each of which gets its least edge to a row of another component."""
+    part, held, x = None, [], None
+    names = ("ids", "component", "core")
 
+    def opened(row):
+        got = [np.frombuffer(row[n], dtype="<i8" if n != "core" else "<f8") for n in names]
+        return (*got, np.frombuffer(row["matrix"], dtype="<f8").reshape(len(got[0]), -1))
 
-def hierarchy(points: DataFrame, edges: DataFrame, min_size: int, levels: int = LEVELS) -> DataFrame:
-    """Rows (p, level, lambda, cluster) for each level, 0 the loosest, at which a point is in a cluster; cluster is its smallest point.
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] != part:
+                part, held, x = row["part"], [], None
+            if not row["asks"]:
+                held.append(opened(row))
+                continue
+            if not held:
+                continue
+            if x is None:
+                x = [np.concatenate(c) for c in zip(*held, strict=True)]
+            q = opened(row)
+            far = np.maximum(np.maximum(np.sqrt(squared_distances(q[3], x[3])), q[2][:, None]), x[2][None, :])
+            far[q[1][:, None] == x[1][None, :]] = np.inf
+            least = far.min(axis=1)
+            i, j = np.nonzero(far <= (least + 1e-6 * (1 + least))[:, None])
+            fine = np.isfinite(least[i])
+            i, j = i[fine], j[fine]
+            if not len(i):
+                continue
+            exact = np.maximum(np.maximum(np.sqrt(((q[3][i] - x[3][j]) ** 2).sum(axis=1)), q[2][i]), x[2][j])
+            a, b = np.minimum(q[0][i], x[0][j]), np.maximum(q[0][i], x[0][j])
+            order = np.lexsort((b, a, exact, i))
+            first = order[np.concatenate([[True], np.diff(i[order]) > 0])]
+            yield pa.RecordBatch.from_arrays([pa.array(q[1][i[first]]), pa.array(exact[first]), pa.array(a[first]), pa.array(b[first])], names=["c", "w", "a", "b"])
 
-    The components of all levels are found together: an edge counts at each level that is at least
-    as loose as it is long, and labels travel by (level, point), twice as far each round.
-    """
-    found = edges.agg(F.percentile_approx("distance", [k / levels for k in range(levels, 0, -1)], 10_000).alias("q")).first()["q"]
-    heights = [h for h in dict.fromkeys(found or []) if h > 0]
-    if not heights:
-        return points.select("p", F.lit(0).alias("level"), F.lit(0.0).alias("lambda"), F.col("p").alias("cluster")).limit(0)
-    listed = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(h).alias("height")) for k, h in enumerate(heights)))
-    at = edges.select("a", "b", F.explode(F.filter(listed, lambda x: F.col("distance") <= x["height"])).alias("l")).select("a", "b", "l.level")
-    both = _cut(at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b"), "level")).distinct())
-    labels = both.groupBy("level", F.col("a").alias("p")).agg(F.least(F.min("b"), F.col("a")).alias("component"))
+
+def _packed(block: int):
+    """Rows of (ids, component, core, matrix) of at most block points (p, c, core, v)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                raw = [pa.array([part.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in (("p", "<i8"), ("c", "<i8"), ("core", "<f8"))]
+                yield pa.RecordBatch.from_arrays([*raw, pa.array([matrix(part.column("v")).tobytes()], pa.binary())], names=["ids", "component", "core", "matrix"])
+
+    return run
+
+
+def outside(asked: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Rows (c, w, a, b): of each asked point (p, c, core, v) the least edge to a row of another component, exact; a row per part."""
+    parts = max(1, -(-n // ROW_BLOCK))
+    names = ["ids", "component", "core", "matrix"]
+    schema = "ids binary, component binary, core binary, matrix binary"
+    held = rows.mapInArrow(_packed(ROW_BLOCK // 8), schema).select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), *names)
+    asks = asked.mapInArrow(_packed(QUERY_BLOCK), schema).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), *names)
+    return held.unionByName(asks).repartition(parts, "part").sortWithinPartitions("part", "asks").mapInArrow(_search, "c long, w double, a long, b long")
+
+
+def roots(points: DataFrame) -> DataFrame:
+    """Rows (x, root) of pointers (x, to) without cycles but from a root to itself; reach doubles each round."""
+    at = cut(points.select("x", F.col("to").alias("root")))
+    while True:
+        step = at.select(F.col("x").alias("root"), F.col("root").alias("beyond"))
+        once = join_unique(at, step, ["root"]).select("x", F.col("root").alias("old"), F.col("beyond").alias("root"))
+        after = cut(once)
+        at = after.select("x", "root")
+        if after.filter("root <> old").isEmpty():
+            return at
+
+
+def _pointers(picks: DataFrame) -> DataFrame:
+    """Pointers (x, to) of picks (x, w, e, other); of two that pick each other the smaller is a root."""
+    back = picks.select(F.col("x").alias("other"), F.col("other").alias("of"))
+    mutual = join_unique(picks, cut(back), ["other"])
+    return mutual.select("x", F.when((F.col("of") == F.col("x")) & (F.col("x") < F.col("other")), F.col("x")).otherwise(F.col("other")).alias("to"))
+
+
+def spanning_tree(points: DataFrame, near: DataFrame) -> DataFrame:
+    """Edges (a, b, w) of the minimum spanning tree, by (w, a, b), of points (p, v, core, known) with lists near (u, v, d)."""
+    n = points.count()
+    of = points.select("p", "core")
+    lists = join_unique(near.select("u", "v", "d"), of.toDF("v", "cv"), ["v"]).join(of.toDF("u", "core"), "u")
+    lists = cut(lists.select("u", "v", F.greatest("d", "core", "cv").alias("w")))
+    at, found = cut(points.select("p", F.col("p").alias("c"))), []
+    edge = F.struct("w", "a", "b")
     while True:
-        heard = both.join(labels.select("level", F.col("p").alias("b"), "component"), ["level", "b"]).groupBy("level", F.col("a").alias("p")).agg(F.min("component").alias("heard"))
-        near = labels.join(heard, ["level", "p"]).select("level", "p", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
-        jump = labels.select("level", F.col("p").alias("component"), F.col("component").alias("beyond"))
-        after = _cut(near.join(jump, ["level", "component"], "left").select("level", "p", "old", F.least("component", F.coalesce("beyond", "component")).alias("component")))
-        labels = after.select("level", "p", "component")
-        if after.filter("component <> old").isEmpty():
+        here = cut(points.join(at, "p"))
+        sizes = here.groupBy("c").agg(F.count("*").alias("n"))
+        largest = sizes.orderBy(F.desc("n"), "c").first()
+        if largest is None or largest["n"] == n:
             break
-    large = labels.groupBy("level", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size).select("level", "component")
-    height = F.element_at(F.array(*map(F.lit, heights)), F.col("level") + 1)
-    return _cut(labels.join(large, ["level", "component"]).select("p", "level", (1 / height).alias("lambda"), F.col("component").alias("cluster")))
-
-
-def _branches(found: DataFrame) -> DataFrame:
-    """Rows (level, cluster, n, lambda, branch, parent): clusters that follow each other without a split are one branch, named by the first."""
-    nodes = found.groupBy("level", "cluster").agg(F.count("*").alias("n"), F.max("lambda").alias("lambda"))
-    above = found.select("p", (F.col("level") + 1).alias("level"), F.col("cluster").alias("upper"))
-    links = _cut(found.select("p", "level", "cluster").join(above, ["p", "level"]).select("level", "cluster", "upper").distinct())
-    single = links.groupBy("level", "upper").agg(F.count("*").alias("children")).filter("children = 1").select("level", "upper", F.lit(True).alias("follows"))
-    name = lambda level, cluster: F.concat_ws(":", level, cluster)
-    tree = nodes.join(links, ["level", "cluster"], "left").join(single, ["level", "upper"], "left")
-    own, over = name(F.col("level"), F.col("cluster")), F.when(F.col("upper").isNotNull(), name(F.col("level") - 1, F.col("upper")))
-    tree = _cut(tree.select("level", "cluster", "n", "lambda", own.alias("node"), over.alias("over"), F.coalesce("follows", F.lit(False)).alias("follows")))
-    head = tree.select("node", F.when(F.col("follows"), F.col("over")).otherwise(F.col("node")).alias("head"))
-    while True:  # each node takes the head of its head
-        after = _cut(head.join(head.select(F.col("node").alias("head"), F.col("head").alias("beyond")), "head").select("node", F.col("head").alias("old"), F.col("beyond").alias("head")))
-        head = after.select("node", "head")
-        if after.filter("head <> old").isEmpty():
+        ends = join_unique(cut(lists.join(at.select(F.col("p").alias("u"), "c"), "u")), at.select(F.col("p").alias("v"), F.col("c").alias("cv")), ["v"]).filter("c <> cv")
+        listed = ends.select("c", "w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        listed = cut(listed.groupBy("c").agg(F.min(edge).alias("m")).select("c", "m.*"))
+        open_ = here.join(listed.select("c", F.col("w").alias("best")), "c", "left").filter(F.col("known") < F.coalesce("best", F.lit(float("inf"))))
+        asked = cut(open_.filter(F.col("c") != largest["c"]).select("p", "c", "core", "v"))
+        late = not open_.filter(F.col("c") == largest["c"]).isEmpty()
+        known = listed.filter(F.col("c") != largest["c"]) if late else listed
+        best = known if asked.isEmpty() else known.unionByName(outside(asked, here, n))
+        picks = cut(best.groupBy("c").agg(F.min(edge).alias("m")).select("c", "m.*"))
+        edges = cut(picks.select("a", "b", "w").distinct())
+        found.append(edges)
+        ends = edges.join(at.select(F.col("p").alias("a"), F.col("c").alias("ca")), "a").join(at.select(F.col("p").alias("b"), F.col("c").alias("cb")), "b")
+        both = cut(picks.join(ends, ["a", "b", "w"]).select(F.col("c").alias("x"), F.when(F.col("c") == F.col("ca"), F.col("cb")).otherwise(F.col("ca")).alias("other")))
+        over = at.select(F.col("c").alias("x")).distinct().join(both.select("x"), "x", "left_anti").withColumn("other", F.col("x"))  # the largest may have picked none
+        points_to = cut(both.unionByName(over))
+        merged = roots(_pointers(points_to)).select(F.col("x").alias("c"), "root")
+        at = cut(join_unique(at, cut(merged), ["c"]).select("p", F.col("root").alias("c")))
+    if not found:
+        return points.select(F.col("p").alias("a"), F.col("p").alias("b"), F.lit(0.0).alias("w")).filter(F.lit(False))
+    return _together(found)
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return cut(out)
+
+
+def chains(points: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, ends): rows (level, x, w, e, child_level, child, z, before) of chains (level, x); ends (level, x, total).
+
+    A row adds, at distance w, the z points of the chain (child_level, child); before is how many the
+    chain has before it. Chains of level 0 are single points and have no rows. The last level has one
+    chain, that of all points.
+    """
+    left = cut(tree.orderBy("w", "a", "b").select("w", F.monotonically_increasing_id().alias("e"), F.col("a").alias("x"), F.col("b").alias("y")))
+    totals = cut(points.select(F.col("p").alias("x"), F.lit(1).cast("long").alias("total")))
+    waiting, rows, ends, level = None, [], [totals.select(F.lit(0).alias("level"), "x", "total")], 0
+    names = ["x", "w", "e", "child_level", "child", "z"]
+    while True:
+        incident = left.select("x", "w", "e", F.col("y").alias("other")).unionByName(left.select(F.col("y").alias("x"), "w", "e", F.col("x").alias("other")))
+        light = cut(incident.groupBy("x").agg(F.min(F.struct("w", "e", "other")).alias("m")).select("x", "m.*"))
+        last = light.isEmpty()
+        own = light.select("x", F.col("w").alias("lw"), F.col("e").alias("le"))
+        if waiting is not None:  # what is nearer than the vertex's least edge belongs to its chain, the rest goes on
+            seen = cut(waiting.withColumns({"lw": F.lit(None).cast("double"), "le": F.lit(None).cast("long")}) if last else join_unique(waiting, own, ["x"], "left"))
+            stays = F.col("lw").isNull() | (F.struct("w", "e") < F.struct("lw", "le"))
+            rows.append(seen.filter(stays).select(F.lit(level).alias("level"), *names))
+            totals = cut(seen.filter(stays).groupBy("x").agg(F.sum("z").alias("total")))
+            ends.append(totals.select(F.lit(level).alias("level"), "x", "total"))
+            waiting = seen.filter(~stays).select(*names)
+        if last:
             break
-    births = tree.filter("not follows").select(F.col("node").alias("branch"), "over").join(head.select(F.col("node").alias("over"), F.col("head").alias("parent")), "over", "left").select("branch", "parent")
-    return _cut(tree.join(head, "node").withColumnRenamed("head", "branch").join(births, "branch").select("level", "cluster", "n", "lambda", "branch", "parent"))
+        to = roots(_pointers(light))
+        fresh = light.join(totals, "x").select("x", "w", "e", F.lit(level).alias("child_level"), F.col("x").alias("child"), F.col("total").alias("z"))
+        moving = cut(fresh if waiting is None else fresh.unionByName(waiting))
+        waiting = cut(join_unique(moving, to, ["x"]).select(F.col("root").alias("x"), *names[1:]))
+        rest = cut(left.join(light.select("e").distinct(), "e", "left_anti"))
+        moved = cut(join_unique(rest, to, ["x"]).select("w", "e", F.col("root").alias("x"), "y"))
+        left = cut(join_unique(moved, to.select(F.col("x").alias("y"), F.col("root").alias("to")), ["y"]).select("w", "e", "x", F.col("to").alias("y")))
+        level += 1
+    if not rows:
+        return points.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("x")).limit(0), _together(ends)
+    order = [F.col("w"), F.col("e"), F.col("child")]
+    placed = running(_together(rows), ["level", "x"], order, sums={"before": F.col("z")})
+    return cut(placed), _together(ends)
+
 
+def _resolved(pairs: DataFrame) -> DataFrame:
+    """Rows (level, x, cluster) from (level, x, cluster, to_level, to_x): where cluster is null, that of (to_level, to_x)."""
+    at = cut(pairs)
+    while not at.filter("cluster is null").isEmpty():
+        done = at.filter("cluster is not null").select(F.col("level").alias("to_level"), F.col("x").alias("to_x"), F.col("cluster").alias("got"))
+        onward = at.filter("cluster is null").select(F.col("level").alias("to_level"), F.col("x").alias("to_x"), F.col("to_level").alias("next_level"), F.col("to_x").alias("next_x"))
+        jumped = at.join(done, ["to_level", "to_x"], "left").join(onward, ["to_level", "to_x"], "left")
+        at = cut(jumped.select("level", "x", F.coalesce("cluster", "got").alias("cluster"), F.coalesce("next_level", "to_level").alias("to_level"), F.coalesce("next_x", "to_x").alias("to_x")))
+    return at.select("level", "x", "cluster")
 
-def hdbscan(vectors: DataFrame, min_cluster_size: int = 5, min_samples: int = 5, levels: int = LEVELS, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Rows (key, cluster, cluster_probability, outlier_score null): cluster numbers from 0 by size, -1 noise with probability 0.
 
-    A table of fewer points than min_cluster_size is noise. Null vectors are left out.
+def condensed(points: DataFrame, tree: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame] | None:
+    """(leaves, clusters): leaves (p, cluster, w), the distance at which a point leaves a cluster; clusters (cluster, w, size, parent, born).
+
+    A cluster is named by the edge that makes it; w is the distance at which it ends, as a split into
+    two or with its last points, and born that at which its parent splits (null: the root). None if no
+    cluster has min_size points.
     """
-    points = _cut(vectors.filter(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("p")).distinct())
-    found = hierarchy(points, _cut(mutual_reachability(vectors, min_samples, key=key, embedding=embedding)), min_cluster_size, levels)
-
-    if found.isEmpty():
-        return points.select(F.col("p").alias(key), F.lit(NOISE).alias("cluster"), F.lit(0.0).alias("cluster_probability"), F.lit(None).cast("double").alias("outlier_score"))
-    births = _branches(found)
-    # excess of mass: each point adds, per level, the density between the level's and that at which its branch was born
-    start = births.groupBy("branch").agg(F.min("lambda").alias("born"), F.max("parent").alias("parent"))
-    step = births.join(start.select("branch", "born"), "branch")
-    widths = step.withColumn("before", F.lag("lambda").over(Window.partitionBy("branch").orderBy("level")))  # a row per level
-    mass = widths.groupBy("branch").agg(F.sum(F.col("n") * (F.col("lambda") - F.coalesce("before", "born"))).alias("stability"))
-    tree = _cut(start.select("branch", "parent").join(mass, "branch"))
-    best = tree.select("branch", "parent", "stability", F.lit(False).alias("settled"), F.lit(False).alias("chosen"), F.lit(0.0).alias("value"))
-    lone_root = tree.filter("parent is null").count() == 1
-    while not best.filter("not settled").isEmpty():  # from the leaves to the roots, a round for each height of the tree
-        below = best.filter("parent is not null").groupBy(F.col("parent").alias("branch")).agg(F.sum("value").alias("below"), F.min("settled").alias("ready"))
-        joined = best.join(below, "branch", "left")
-        now = ~F.col("settled") & F.coalesce("ready", F.lit(True))
-        wins = F.col("below").isNull() | (F.col("stability") >= F.col("below"))
-        everything = F.lit(lone_root) & F.col("parent").isNull() & F.col("below").isNotNull()  # one cluster of all is no answer while there are others
-        best = _cut(joined.select("branch", "parent", "stability", (F.col("settled") | now).alias("settled"), F.when(now, wins & ~everything).otherwise(F.col("chosen")).alias("chosen"), F.when(now, F.greatest("stability", F.coalesce("below", F.lit(0.0)))).otherwise(F.col("value")).alias("value")))
-    # of chosen branches the one nearest the root counts, so those under a chosen one go
-    chosen = best.filter("chosen").select("branch")
-    member = found.join(births.select("level", "cluster", "branch"), ["level", "cluster"]).join(chosen, "branch")
-    top = member.groupBy("p").agg(F.min_by("branch", "level").alias("branch"))
-    stay = member.join(top, ["p", "branch"]).groupBy("p", "branch").agg(F.max("lambda").alias("lambda"))
-    sizes = _cut(stay.groupBy("branch").agg(F.count("*").alias("n"), F.max("lambda").alias("most"), F.min("p").alias("first")))
-    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)  # a row per cluster
-    labelled = stay.join(numbered, "branch").select("p", "cluster", (F.col("lambda") / F.col("most")).alias("cluster_probability"))
-    out = points.join(labelled, "p", "left")
-    return out.select(F.col("p").alias(key), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"), F.coalesce("cluster_probability", F.lit(0.0)).alias("cluster_probability"), F.lit(None).cast("double").alias("outlier_score"))
+    rows, ends = chains(points, tree)
+    big, small, active = F.col("z") >= min_size, F.col("z") < min_size, F.col("before") >= min_size
+    if "z" not in rows.columns or ends.filter(F.col("total") >= min_size).isEmpty():
+        return None
+    makes = (active & big) | (~active & small & (F.col("before") + F.col("z") >= min_size))
+    takes = ~active & big
+    order = [F.col("w"), F.col("e"), F.col("child")]
+    # two rows of one edge open a chain, and only the second can make a cluster or take one over from a big first
+    state = F.when(makes, F.struct(F.col("e").alias("cluster"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("x"))).when(takes, F.struct(F.lit(None).cast("long").alias("cluster"), F.col("child_level").alias("level"), F.col("child").alias("x")))
+    rows = cut(running(rows.withColumn("state", state), ["level", "x"], order, lasts={"was": F.col("state")}))
+    tops = rows.filter("state is not null").groupBy("level", "x").agg(F.max_by("state", F.struct("w", "e", "child")).alias("s"))
+    tops = _resolved(tops.select("level", "x", "s.cluster", F.col("s.level").alias("to_level"), F.col("s.x").alias("to_x")))
+    tops = cut(tops)
+    named = tops.select(F.col("level").alias("t_level"), F.col("x").alias("t_x"), F.col("cluster").alias("t_cluster"))
+
+    def with_cluster(df: DataFrame, level: str, x: str, known: str, into: str) -> DataFrame:
+        keyed = cut(df.withColumns({"t_level": F.when(F.col(known).isNull(), F.col(level)), "t_x": F.when(F.col(known).isNull(), F.col(x))}))
+        return join_unique(keyed, named, ["t_level", "t_x"], "left").withColumn(into, F.coalesce(known, "t_cluster")).drop("t_level", "t_x", "t_cluster")
+
+    flat = rows.select("*", F.col("was.cluster").alias("wc"), F.col("was.level").alias("wl"), F.col("was.x").alias("wx"), F.lit(None).cast("long").alias("none"))
+    before = with_cluster(flat, "wl", "wx", "wc", "here")  # the cluster that a row's chain is in before it
+    both = cut(with_cluster(before, "child_level", "child", "none", "there"))  # and that of its child
+
+    merges = both.filter(active & big)
+    links = merges.select(F.col("here").alias("cluster"), F.col("e").alias("parent"), F.col("w").alias("born"), F.col("before").alias("size")).unionByName(merges.select(F.col("there").alias("cluster"), F.col("e").alias("parent"), F.col("w").alias("born"), F.col("z").alias("size")))
+    made = both.filter(makes).select(F.col("e").alias("cluster"), "w", (F.col("before") + F.col("z")).alias("at_end"), (active & big).alias("splits"))
+    total = points.count()
+    clusters = made.join(links, "cluster", "left").select("cluster", "w", "at_end", "splits", "parent", "born", F.coalesce("size", F.lit(total)).alias("size"))
+
+    # where a chain first has min_size points: all before leave there, for the cluster that begins or that is met
+    starts = both.filter(~active & (F.col("before") + F.col("z") >= min_size)).select("level", "x", F.col("w").alias("sw"), F.when(big, F.col("there")).otherwise(F.col("e")).alias("sc"))
+    few = cut(both.filter(small))
+    met = join_unique(few, cut(starts), ["level", "x"], "left")
+    fates = cut(met.select(F.col("child_level").alias("level"), F.col("child").alias("x"), F.when(active, F.col("here")).otherwise(F.col("sc")).alias("cluster"), F.when(active, F.col("w")).otherwise(F.col("sw")).alias("w"), F.col("level").alias("to_level"), F.col("x").alias("to_x")))
+    while not fates.filter("cluster is null").isEmpty():  # chains that stay small leave as the chain that they are part of does
+        up = fates.select(F.col("level").alias("to_level"), F.col("x").alias("to_x"), F.col("cluster").alias("uc"), F.col("w").alias("uw"), F.col("to_level").alias("ul"), F.col("to_x").alias("ux"))
+        got = fates.join(up, ["to_level", "to_x"], "left")
+        undecided = F.col("cluster").isNull()
+        fates = cut(got.select("level", "x", F.coalesce("cluster", "uc").alias("cluster"), F.when(undecided, F.col("uw")).otherwise(F.col("w")).alias("w"), F.when(undecided, F.col("ul")).otherwise(F.col("to_level")).alias("to_level"), F.when(undecided, F.col("ux")).otherwise(F.col("to_x")).alias("to_x")))
+    leaves = fates.filter("level = 0").select(F.col("x").alias("p"), "cluster", "w")
+    return cut(leaves), cut(clusters)
+
+
+def _best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, chosen) of clusters (cluster, parent, w, stability): the chosen cluster that each is in, or null; all rows in one task."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if not rows:
+        return
+    below: dict[int, float] = {}
+    wins = set()
+    for r in sorted(rows, key=lambda r: (r["w"], r["cluster"])):  # a cluster ends at a smaller distance than its parent, or at an equal one by an earlier edge
+        c = r["cluster"]
+        if r["parent"] is None:
+            continue
+        if r["stability"] >= below.get(c, 0.0):
+            wins.add(c)
+        below[r["parent"]] = below.get(r["parent"], 0.0) + max(r["stability"], below.get(c, 0.0))
+    at: dict[int, int | None] = {}
+    for r in sorted(rows, key=lambda r: (r["w"], r["cluster"]), reverse=True):
+        above = at.get(r["parent"])
+        at[r["cluster"]] = above if above is not None else r["cluster"] if r["cluster"] in wins else None
+    yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), pa.array(list(at.values()), pa.int64())], names=["cluster", "chosen"])
+
+
+def _best_in_rounds(clusters: DataFrame) -> DataFrame:
+    """_best_of() as joins: from the leaves to the root a round for each height, then down by pointers whose reach doubles."""
+    best = cut(clusters.select("cluster", "parent", "stability", F.lit(False).alias("settled"), F.lit(False).alias("wins"), F.lit(0.0).alias("value")))
+    while not best.filter("not settled").isEmpty():
+        below = best.filter("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.sum("value").alias("below"), F.min("settled").alias("ready"))
+        joined, now = best.join(below, "cluster", "left"), ~F.col("settled") & F.coalesce("ready", F.lit(True))
+        sub = F.coalesce("below", F.lit(0.0))
+        best = cut(joined.select("cluster", "parent", "stability", (F.col("settled") | now).alias("settled"), F.when(now, F.col("parent").isNotNull() & (F.col("stability") >= sub)).otherwise(F.col("wins")).alias("wins"), F.when(now, F.greatest("stability", sub)).otherwise(F.col("value")).alias("value")))
+    at = cut(best.select("cluster", F.when(F.col("wins"), F.col("cluster")).alias("chosen"), "parent"))
+    while not at.filter("parent is not null").isEmpty():
+        up = at.select(F.col("cluster").alias("parent"), F.col("chosen").alias("above"), F.col("parent").alias("beyond"))
+        at = cut(join_unique(at, up, ["parent"], "left").select("cluster", F.coalesce("above", "chosen").alias("chosen"), F.col("beyond").alias("parent")))
+    return at.select("cluster", "chosen")
+
+
+@tidied
+def hdbscan(vectors: DataFrame, min_cluster_size: int = 5, min_samples: int = 5, key: str = "vec_id", embedding: str = "embedding", neighbours: int = NEIGHBOURS, clusters_at_once: int = CLUSTERS_AT_ONCE) -> DataFrame:
+    """Rows (key, cluster, cluster_probability, outlier_score null): cluster numbers from 0 by size, then smallest key; -1 is noise, with probability 0.
+
+    A table of fewer points than min_cluster_size is noise.
+    """
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("p"), V.finite(F.col(embedding)).alias("v"))
+    rows = cut(rows.groupBy("p").agg(F.min("v").alias("v")))
+    near = cut(knn(rows, None, max(neighbours, min_samples), "euclidean", "p", "v").select(F.col("query_id").alias("u"), F.col("neighbour_id").alias("v"), (-F.col("score")).alias("d"), "rank"))
+    points = cut(cores(near, rows, min_samples))
+    found = condensed(points, spanning_tree(points, near), max(2, min_cluster_size))
+    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    if found is None:
+        return points.select(F.col("p").alias(key), F.lit(NOISE).alias("cluster"), F.lit(0.0).alias("cluster_probability"), empty("outlier_score", "double"))
+    leaves, clusters = found
+    density = lambda w: 1 / F.greatest(w, F.lit(LEAST_DISTANCE))
+    left = leaves.groupBy("cluster").agg(F.sum(density(F.col("w"))).alias("left"))
+    whole = F.coalesce("left", F.lit(0.0)) + F.when(F.col("splits"), F.col("at_end") * density(F.col("w"))).otherwise(0.0)
+    born = F.when(F.col("born").isNull(), 0.0).otherwise(density(F.col("born")))
+    stable = cut(clusters.join(left, "cluster", "left").select("cluster", "parent", "w", (whole - born * F.col("size")).alias("stability")))
+    if stable.count() <= clusters_at_once:
+        chosen = cut(stable.repartition(1).mapInArrow(_best_of, "cluster long, chosen long"))
+    else:
+        chosen = cut(_best_in_rounds(stable))
+    ended = chosen.filter("chosen is not null").join(stable.select(F.col("cluster").alias("chosen"), F.col("w").alias("end")), "chosen")
+    member = cut(join_unique(leaves, cut(ended), ["cluster"]).select("p", "chosen", F.least(F.lit(1.0), F.greatest("end", F.lit(LEAST_DISTANCE)) / F.greatest("w", F.lit(LEAST_DISTANCE))).alias("probability")))
+    sizes = member.groupBy("chosen").agg(F.count("*").alias("n"), F.min("p").alias("first"))
+    from pyspark.sql import Window
+
+    numbered = cut(sizes.select("chosen", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("cluster")))  # a row per cluster
+    labelled = join_unique(member, numbered, ["chosen"])
+    out = points.select("p").join(labelled, "p", "left")
+    return out.select(F.col("p").alias(key), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"), F.coalesce("probability", F.lit(0.0)).alias("cluster_probability"), empty("outlier_score", "double"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,36 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, key: str =
     return out if k <= 0 else out.limit(k)
 
 
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of double precision."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(lists) and (lists.null_count or len(flat) % len(lists) or not pc.all(pc.equal(pc.list_value_length(lists), len(flat) // len(lists))).as_py()):
+        raise ValueError("vectors must be of one length and not null")
+    return flat.reshape(len(lists), -1)
+
+
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of all rows of a and b, to rounding."""
+    return np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T)
+
+
+def nearest(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's id, row's id, score) of the k best other rows of each query; equals in order of id. Distances are exact."""
+    near = queries @ x.T if metric == "cosine" else -squared_distances(queries, x)
+    near[asked[:, None] == ids[None, :]] = -np.inf
+    if near.shape[1] > k:
+        least = np.partition(near, -k, axis=1)[:, -k]
+        least = least - 1e-9 * (1 + np.abs(least) + (queries * queries).sum(axis=1))  # rounding
+    else:
+        least = np.full(len(near), -np.finfo(np.float64).max)
+    i, j = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+    score = near[i, j] if metric == "cosine" else -np.sqrt(((queries[i] - x[j]) ** 2).sum(axis=1))
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return asked[i[keep]], ids[j[keep]], score[keep]
+
+
 def _best(k: int, metric: str):
     """Per part: its rows come first and are held, then blocks of queries, each of which gets its k nearest of them."""
 
@@ -48,19 +79,13 @@ def _best(k: int, metric: str):
                 if x is None:
                     ids = np.concatenate([b[0] for b in blocks])
                     x = np.concatenate([b[1] for b in blocks]).reshape(len(ids), -1)
-                query_ids = np.frombuffer(row["ids"], dtype=np.int64)
-                queries = np.frombuffer(row["matrix"], dtype=np.float64).reshape(len(query_ids), -1)
-                near = queries @ x.T if metric == "cosine" else -np.sqrt(np.maximum(0, (queries**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * queries @ x.T))
-                yield _rows({q: [(float(scores[j]), -int(ids[j])) for j in np.lexsort((ids, -scores))[: k + 1] if ids[j] != q][:k] for q, scores in zip(query_ids.tolist(), near, strict=True)})
+                asked = np.frombuffer(row["ids"], dtype=np.int64)
+                found = nearest(ids, x, asked, np.frombuffer(row["matrix"], dtype=np.float64).reshape(len(asked), -1), k, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "neighbour_id", "score"])
 
     return run
 
 
-def _rows(held: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
-    flat = [(q, -i, s) for q, best in held.items() for s, i in best]
-    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.float64())], names=["query_id", "neighbour_id", "score"])
-
-
 def _packed(metric: str, block: int):
     """Rows of (ids, matrix) of at most block vectors; cosine: of unit length."""
 
@@ -68,7 +93,7 @@ def _packed(metric: str, block: int):
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
-                x = np.array(part.column("v").to_pylist(), dtype=np.float64).reshape(part.num_rows, -1)
+                x = matrix(part.column("v"))
                 if metric == "cosine":
                     x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), V.LEAST_NORM)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "matrix"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.config import Config
 from quarry.engine import Engine
 from quarry.functions import text as T
-from quarry.operators import density, embedding, layout, lexical, points, prepare, rag, similarity
+from quarry.operators import embedding, layout, lexical, points, prepare, rag, similarity
 from quarry.sources import datasets, exports
 
 HIT = "hit_id long, index long, x double, y double, chunk_id string, parent_id string, doc_id string, source_id string, text string"
@@ -200,21 +200,6 @@ def blobs(n=40):
     return x, np.repeat(np.arange(3), n)
 
 
-def test_density_finds_blobs_and_noise(spark):
-    x, truth = blobs()
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: (r["cluster"], r["cluster_probability"]) for r in density.hdbscan(df, 10).collect()}
-    assert len(got) == len(x) and got[120] == got[121] == (-1, 0.0)
-    for k in range(3):
-        found = [got[i][0] for i in np.flatnonzero(truth == k)]
-        main = max(set(found), key=found.count)
-        assert main != -1 and found.count(main) >= 32
-        assert all(got[i][0] != main for i in range(120) if truth[i] != k)
-    assert all(0 <= p <= 1 for _, p in got.values())
-    few = density.hdbscan(df.filter("vec_id < 4"), 10).collect()
-    assert {(r["cluster"], r["cluster_probability"]) for r in few} == {(-1, 0.0)} and len(few) == 4
-
-
 def test_layout_keeps_neighbourhoods_and_is_the_same_twice(spark):
     x, truth = blobs(25)
     x = x[:75]
