@@ -31,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -38,7 +43,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written and read again: its lineage ends, and executors may go."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     if time.monotonic() - _collected[0] > COLLECT_AFTER:  # shuffle files stay on the executors until the driver collects its garbage
         gc.collect()

@@ -222,11 +222,11 @@ def strip_think(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_think(raw).alias("answer"))
 
 
-@query("format_fields", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'My Field' WHEN event_id % 3 = 1 THEN 'Value Of It' ELSE 'Text' END AS title, CASE WHEN event_id < 1024 THEN event_id || ' B' ELSE printf('%.1f KB', floor(event_id / 1024.0::DOUBLE * 10 + 0.5) / 10) END AS size, CASE WHEN floor(value) < 60 THEN floor(value)::BIGINT || 's' ELSE floor(value / 60)::BIGINT || 'm ' || floor(value)::BIGINT % 60 || 's' END AS took FROM events WHERE event_id < 1048576")
+@query("format_fields", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'My Field' WHEN event_id % 3 = 1 THEN 'Value Of It' ELSE 'Text' END AS title, CASE WHEN event_id * 900 < 1024 THEN event_id * 900 || ' B' WHEN event_id * 900 < 1048576 THEN printf('%.1f KB', floor(event_id * 900 / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(event_id * 900 / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size, CASE WHEN floor(value) < 60 THEN floor(value)::BIGINT || 's' ELSE floor(value / 60)::BIGINT || 'm ' || floor(value)::BIGINT % 60 || 's' END AS took FROM events")
 def format_fields(spark, sf_dir):
     k = F.col("event_id") % 3
     key = F.when(k == 0, "metadata_myField").when(k == 1, "value_of-it").otherwise("Column text")
-    return _table(spark, sf_dir, "events").filter("event_id < 1048576").select("event_id", T.format_key(key).alias("title"), T.file_size(F.col("event_id")).alias("size"), T.duration(F.col("value")).alias("took"))
+    return _table(spark, sf_dir, "events").select("event_id", T.format_key(key).alias("title"), T.file_size(F.col("event_id") * 900).alias("size"), T.duration(F.col("value")).alias("took"))
 
 
 @query("rechunk", """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest(range(0, greatest(1, ceil(n / 298.0))::BIGINT)) AS i, text FROM d),

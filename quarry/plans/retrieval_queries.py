@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..operators import embedding, lexical, prepare, rag, similarity
-from .queries import _CHUNKS, _Q0, WORDS, _bm25_sql, _docs, _first_vector, _table, _word_sql, query
+from ..operators import embedding, index, lexical, prepare, rag, similarity
+from ..operators._tables import scratch
+from .queries import _CHUNKS, _FAST_SQL, _HITS, _Q0, FAST, WORDS, _bm25_sql, _docs, _first_vector, _near_sql, _table, _word_sql, query
 
 _RANK = f"CASE WHEN {_word_sql('only')} THEN 0 WHEN {_word_sql('rely')} THEN 2 ELSE 3 END"
 
@@ -112,3 +113,27 @@ def engine_search(spark, sf_dir):
 @query("engine_schema", "WITH one AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trim(text) ORDER BY doc_id) = 1) SELECT unnest(['lang', 'source', 'n_chars']) AS name, unnest([count(DISTINCT lang), count(DISTINCT source), count(DISTINCT n_chars)]) AS n_values FROM one")
 def engine_schema(spark, sf_dir):
     return _engine(spark, sf_dir).metadata_schema().select("name", "n_values")
+
+
+# search over saved indexes
+
+
+@query("index_bm25", f"WITH {_bm25_sql('documents', 'doc_id', 10)} SELECT doc_id, round(score, 6) AS score FROM hits")
+def index_bm25(spark, sf_dir):
+    root = scratch(spark)
+    index.save_postings(_docs(spark, sf_dir), root)
+    return index.search(spark, root, WORDS).withColumn("score", F.round("score", 6))
+
+
+@query("index_chunk_bm25", f"WITH {_CHUNKS}, {_bm25_sql('chunks', 'chunk_id', 20)} SELECT chunk_id, round(score, 6) AS score FROM hits")
+def index_chunk_bm25(spark, sf_dir):
+    root = scratch(spark)
+    index.save_postings(prepare.chunk(_docs(spark, sf_dir)), root, "chunk_id")
+    return index.search(spark, root, WORDS, 20, "chunk_id").withColumn("score", F.round("score", 6))
+
+
+@query("index_fast_search", _FAST_SQL.replace(_HITS, f"{_HITS} OR {_near_sql('x', 'erin')} OR {_near_sql('x', 'only')}"))
+def index_fast_search(spark, sf_dir):
+    root = scratch(spark)
+    index.save_words(_docs(spark, sf_dir), root)
+    return index.fast_search(spark, root, FAST)

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical, points, prepare
+from ..operators._tables import scratch as _scratch
 from ..sources import datasets, exports, readers
 from ..streaming import ingest
 from .map_queries import _MAP, _assigned, _projection
-from .queries import _CHUNKS, _TOKENS, _docs, _table, query
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all machines share, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from .queries import _CHUNKS, _TOKENS, _TRIM, _docs, _table, query
 
 
 @query("src_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -37,12 +29,10 @@ def src_jsonl(spark, sf_dir):
 
 @query("src_json", "SELECT conv_id, turn, role, text FROM conversations")
 def src_json(spark, sf_dir):
-    """An array of objects per file: one of each conversation."""
+    """Files of one array of objects each: the turns are dealt out, and a file holds so many at most."""
     path = _scratch(spark) + ".json"
-    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("conv_id", "turn", "role", "text"))).alias("value"))
-    # a file per array: the reader takes one array of objects, or one object, from each
-    one = rows.groupBy(F.pmod("conv_id", F.lit(8)).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.expr("substring(value, 2, length(value) - 2)")), ","), F.lit("]")).alias("value"))
-    one.write.partitionBy("part").text(path)
+    rows = _table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
+    readers.write_json_arrays(rows, path, 10_000)
     return readers.load_table(spark, path).select("conv_id", "turn", "role", "text")
 
 
@@ -53,11 +43,14 @@ def src_txt(spark, sf_dir):
     return readers.load_table(spark, path).groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query("line_numbers", "WITH l AS (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents), n AS (SELECT count(*) AS n FROM l WHERE regexp_matches(line, '\\S')) SELECT n AS n_lines, 1::BIGINT AS first, n AS last, n AS n_numbers FROM n")
+@query("line_numbers", "WITH l AS (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents) SELECT count(*) AS n_lines, 1::BIGINT AS first, true AS all_numbered FROM l WHERE regexp_matches(line, '\\S')")
 def line_numbers(spark, sf_dir):
+    """The lines of each file are numbered from 1, without a gap."""
     path = _scratch(spark) + ".txt"
-    _docs(spark, sf_dir).select(F.regexp_replace("text", "\r", "").alias("value")).coalesce(1).write.text(path)
-    return readers.load_table(spark, path).agg(F.count("*").alias("n_lines"), F.min("line_number").alias("first"), F.max("line_number").alias("last"), F.count_distinct("line_number").alias("n_numbers"))
+    _docs(spark, sf_dir).select(F.regexp_replace("text", "\r", "").alias("value")).write.text(path)
+    n = F.col("line_number")
+    files = readers.read_text(spark, path, file=True).groupBy("file").agg(F.count("*").alias("n"), F.min(n).alias("first"), F.max(n).alias("last"), F.count_distinct(n).alias("distinct"))
+    return files.agg(F.sum("n").alias("n_lines"), F.max("first").alias("first"), F.min((F.col("last") == F.col("n")) & (F.col("distinct") == F.col("n"))).alias("all_numbered"))
 
 
 @query("src_preview", "SELECT 'doc_id,text,lang,source,n_chars' AS columns, count(*) AS n_rows, 5::BIGINT AS n_shown FROM documents")
@@ -91,10 +84,11 @@ def dataset_catalog(spark, sf_dir):
     return datasets.catalog(spark, root).select("name", F.size("tables").cast("long").alias("n_tables"))
 
 
-@query("dataset_settings", "SELECT '{\"k\": 2}' AS settings, NULL::VARCHAR AS session")
+@query("dataset_settings", "SELECT '{\"n_docs\": ' || count(*) || ', \"n_chars\": ' || sum(n_chars) || '}' AS settings, NULL::VARCHAR AS session FROM documents")
 def dataset_settings(spark, sf_dir):
-    root = _scratch(spark)
-    for value in ('{"k": 1}', '{"k": 2}'):
+    """Settings that say what a table holds, saved twice; a session that is cleared."""
+    root, counts = _scratch(spark), _docs(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("n_chars").alias("c")).first()
+    for value in ("{}", f'{{"n_docs": {counts["n"]}, "n_chars": {counts["c"]}}}'):
         datasets.save_value(spark, root, "settings", value)
     datasets.save_value(spark, root, "session", "{}")
     datasets.clear_value(spark, root, "session")
@@ -165,12 +159,10 @@ def emb_normalise(spark, sf_dir):
 
 @query("older_exports", "SELECT doc_id::VARCHAR AS id, length(text)::BIGINT AS n, round(embedding[1]::DOUBLE, 6) AS first FROM documents JOIN embeddings ON vec_id = doc_id")
 def older_exports(spark, sf_dir):
-    """Files of the 1.0 shape, one per label, read back."""
+    """Files of the 1.0 shape, of a bounded number of documents each, read back."""
     path = _scratch(spark)
     rows = _docs(spark, sf_dir).join(_table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    pair = F.collect_list(F.struct(F.struct(F.col("doc_id").cast("string").alias("id"), "text").alias("d"), "embedding"))
-    files = rows.groupBy("label").agg(pair.alias("p")).select("label", F.to_json(F.struct(F.lit("1.0").alias("version"), F.transform("p", lambda x: x["d"]).alias("documents"), F.transform("p", lambda x: x["embedding"]).alias("embeddings"))).alias("value"))
-    files.write.partitionBy("label").text(path)
+    exports.write_older(rows.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("embedding").alias("vector")), path, 500)
     back = exports.read_older(spark, path)
     return back["documents"].join(back["embeddings"].withColumnRenamed("doc_id", "id"), "id").select("id", F.length("text").cast("long").alias("n"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
@@ -207,18 +199,28 @@ def stream_windows(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
 
 
-@query("stream_documents", "SELECT min(doc_id) AS doc_id, count(*) > 1 AS repeated FROM documents GROUP BY text")
-def stream_documents(spark, sf_dir):
-    """Documents that arrive as a stream: the first of each text is kept, and postings follow each batch."""
+_ONE = f"SELECT min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang, count(*) > 1 AS repeated, any_value(text) AS text FROM documents GROUP BY {_TRIM.format('text')}"
+
+
+def _streamed(spark, sf_dir):
+    """The index after documents came as a stream, in several batches, in no order."""
     docs, path = _docs(spark, sf_dir), _scratch(spark)
-    ingest.ingest_documents(ingest.files(spark, sf_dir, docs.schema, "documents.parquet"), path, f"{path}/checkpoint")
-    kept = spark.read.parquet(f"{path}/documents").select("doc_id", "text")
-    counts = docs.groupBy("text").agg(F.count("*").alias("n"))
-    return kept.join(counts, "text").select("doc_id", (F.col("n") > 1).alias("repeated"))
+    docs.repartition(3).write.parquet(f"{path}/arriving")
+    ingest.ingest_documents(ingest.files(spark, f"{path}/arriving", docs.schema, "*.parquet", at_once=1), path, f"{path}/checkpoint")
+    return path
+
+
+@query("stream_documents", f"SELECT doc_id, lang, repeated FROM ({_ONE})")
+def stream_documents(spark, sf_dir):
+    """Documents that arrive as a stream: the smallest id of each text is kept."""
+    return ingest.documents(spark, _streamed(spark, sf_dir)).select("doc_id", "lang", (F.col("n_copies") > 1).alias("repeated"))
 
 
-@query("stream_postings", f"WITH d AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text) SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.format('text')}) AS term FROM d) GROUP BY term")
+@query("stream_postings", f"WITH d AS ({_ONE}) SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM d) GROUP BY ALL")
 def stream_postings(spark, sf_dir):
-    docs, path = _docs(spark, sf_dir), _scratch(spark)
-    ingest.ingest_documents(ingest.files(spark, sf_dir, docs.schema, "documents.parquet"), path, f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    return ingest.postings(spark, _streamed(spark, sf_dir))
+
+
+@query("stream_statistics", f"WITH d AS ({_ONE}) SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, round(greatest(1.0, avg(n)), 6) AS avg_tokens FROM (SELECT len({_TOKENS.format('text')}) AS n FROM d)")
+def stream_statistics(spark, sf_dir):
+    return ingest.statistics(spark, _streamed(spark, sf_dir)).withColumn("avg_tokens", F.round("avg_tokens", 6))

@@ -8,6 +8,9 @@ import_v3 reads either.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +168,19 @@ def normalized_embeddings(df: DataFrame) -> DataFrame:
     return df.select("doc_id", retrieval.alias("retrieval"), have("clustering", "parent", "retrieval", "embedding", "vector").alias("clustering"), F.lit(schema).alias("schema"))
 
 
+def write_older(rows: DataFrame, path: str, at_most: int = DOCUMENT_ROWS) -> None:
+    """Files of the 1.0 shape, of at most so many of the rows (id, text, vector) each."""
+
+    def files(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_most):
+                part = batch.slice(at, at_most).to_pylist()
+                value = {"version": "1.0", "documents": [{"id": r["id"], "text": r["text"]} for r in part], "embeddings": [r["vector"] for r in part]}
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(value)])], names=["value"])
+
+    rows.select("id", "text", "vector").mapInArrow(files, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_older(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Best effort on versions 1.0 and 2.0: documents (id, text) and embeddings (doc_id, vector) of files of one JSON document each."""
     kinds = "version string, documents array<struct<id: string, text: string>>, embeddings array<array<float>>, data struct<documents: array<struct<id: string, text: string>>, embeddings: array<array<float>>>"

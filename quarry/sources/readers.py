@@ -29,8 +29,19 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (text, line_number): the lines that aren't blank, numbered from 1 in each file.
+def write_json_arrays(rows: DataFrame, path: str, at_most: int) -> None:
+    """Files of an array of objects each, from rows (value) of one object's JSON; a file holds at most so many."""
+
+    def arrays(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_most):
+                yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(batch.column(0).slice(at, at_most).to_pylist()) + "]"])], names=["value"])
+
+    rows.select("value").mapInArrow(arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def read_text(spark: SparkSession, path: str, file: bool = False) -> DataFrame:
+    """Rows (text, line_number), and file if asked for: the lines that aren't blank, numbered from 1 in each file.
 
     Lines are counted per block of a file, and a block's lines take the count of the blocks before
     it, so that no file is sorted or read by one task.
@@ -41,7 +52,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(_by_file()) - F.col("_n")
     offsets = blocks.select("_file", "_block", (before - F.col("_first") + 1).alias("_shift"))
-    return lines.join(offsets, ["_file", "_block"]).select("text", (F.col("_id") + F.col("_shift")).alias("line_number"))
+    return lines.join(offsets, ["_file", "_block"]).select("text", (F.col("_id") + F.col("_shift")).alias("line_number"), *([F.col("_file").alias("file")] if file else []))
 
 
 def _by_file():
