@@ -180,7 +180,7 @@ def _encoding(tokenizer: str, text: str, into: str):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             for at, end, _, _ in text_chunks(batch, text):
-                rows = [b"".join(map(lookup, split_pieces(t))) if t else b"" for t in texts.slice(at, end - at).to_pylist()]
+                rows = [b"".join(map(lookup, split_pieces(t, tokenizer))) if t else b"" for t in texts.slice(at, end - at).to_pylist()]
                 yield _with(batch.slice(at, end - at), into, ids_list(rows))
 
     return run

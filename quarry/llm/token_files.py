@@ -16,6 +16,7 @@ text; null keys come first. Empty tables read back empty. Extra columns are left
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -29,8 +30,8 @@ from ._pieces import split_pieces
 from ._shared import releasing, text_chunks
 
 END_ID = 1
-#: Of so many entries, of up to about 300 bytes each, the cache stays under 75 MB in each worker.
-CACHED_PIECES = 250_000
+#: Of so many entries, of pieces of at most so many characters, the cache stays under 75 MB in each worker; longer pieces aren't kept.
+CACHED_PIECES, LONGEST_PIECE = 250_000, 64
 _JOINED = 64
 
 
@@ -41,7 +42,11 @@ class LibraryPieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # pieces are normalised when they come, and a second time could order their marks anew
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(size, dtype=bool)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -70,13 +75,17 @@ class LibraryPieces:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit values."""
-        split = [split_pieces(t) if t else [] for t in texts]
+        split = [split_pieces(t, self.path) if t else [] for t in texts]
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
         new = set().union(*split).difference(self.known) if split else set()
         self.learn(list(new))
         lookup = self.known.__getitem__
-        return [b"".join(map(lookup, pieces)) for pieces in split]
+        out = [b"".join(map(lookup, pieces)) for pieces in split]
+        for piece in new:
+            if len(piece) > LONGEST_PIECE:
+                del self.known[piece]
+        return out
 
 
 @lru_cache(maxsize=2)

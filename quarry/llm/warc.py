@@ -27,6 +27,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import BROADCAST_BYTES, stash, stashed_bytes
+
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_RECORDS = 128
@@ -184,13 +186,29 @@ def frames(stream, at_once: int = 1 << 20) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+#: A payload in more than this share of the rows is hot; at most its inverse can be.
+HOT_SHARE = 0.001
+
+
 def decide(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Rows to write: id, url, payload (null for revisits), length, digest and refers_to."""
+    """Rows to write: id, url, payload (null for revisits), length, digest and refers_to.
+
+    Payloads are joined with the groups of equal ones: by broadcast if these are few, else by a
+    shuffle of the long payloads alone, in which those of hot groups, at most 1 / HOT_SHARE, stay in place.
+    """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.select("*", F.length("payload").cast("long").alias("length"), F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("equal"))
-    groups = rows.filter(F.col("length") >= REVISIT_BYTES).groupBy("equal").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("equal", "last")
-    out = rows.join(groups, "equal", "left")
+    groups = stash(rows.filter(F.col("length") >= REVISIT_BYTES).groupBy("equal").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1"))
+    if stashed_bytes(groups) <= BROADCAST_BYTES:
+        out = rows.join(F.broadcast(groups), "equal", "left")
+    else:
+        most = HOT_SHARE * pages.count()
+        hot = F.broadcast(groups.filter(F.col("n") > most))
+        known = rows.join(hot, "equal", "left")
+        cold = (F.col("length") >= REVISIT_BYTES) & F.col("last").isNull()
+        shuffled = known.filter(cold).drop("last", "n").join(groups, "equal", "left")
+        out = known.filter(~cold).unionByName(shuffled)
     revisit = F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("last")))
     return out.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "length", "digest", F.when(revisit, F.col("last")).alias("refers_to"))
 

@@ -208,3 +208,18 @@ def test_rules_edges(spark):
     assert rules_of(spark, [], []) == []
     clash = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("k", "kept", "trusted", "n_words", "h")})
     assert quality_rules.quality_rules(clash, spark.createDataFrame(labels, "doc_id long, quality int")).count() == len(docs)
+
+
+def test_revisits_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    from quarry.llm import warc
+
+    common, other = "c" * 2000, "o" * 1500
+    pages = [(k, "u", common) for k in range(300)] + [(k, None, other) for k in range(300, 303)] + [(400, "u", ""), (401, "u", None), (402, "u", "short"), (403, "u", "short"), (None, "u", common), (404, "u", "x" * 1000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    run = lambda: sorted(((r.id, r.length, r.refers_to, r.payload is None) for r in warc.decide(frame).collect()), key=repr)
+    by_broadcast = run()
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", -1)
+    for share in (0.001, 0.1, 2.0):
+        monkeypatch.setattr(warc, "HOT_SHARE", share)
+        assert run() == by_broadcast
+    assert len(by_broadcast) == len(pages) and [r for r in by_broadcast if r[0] == 5] == [(5, 2000, 299, True)] and [r for r in by_broadcast if r[0] == 403] == [(403, 5, None, False)]
