@@ -27,8 +27,25 @@ def parse_number(c: Column) -> Column:
     return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
 
 
+#: How dates are written, as patterns and as formats; the first two are ISO 8601.
+DATE_FORMS = {
+    "date": (r"^\d{4}-\d{2}-\d{2}$", None),
+    "timestamp": (r"^\d{4}-\d{2}-\d{2}[T ].+$", None),
+    "month/day/year": (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    "month-day-year": (r"^\d{2}-\d{2}-\d{4}$", "MM-dd-yyyy"),
+}
+
+
+def parse_date_as(c: Column, form: str) -> Column:
+    """The timestamp of a cell that is written in that form and is a day of the calendar, else null."""
+    pattern, written = DATE_FORMS[form]
+    t = F.trim(c.cast("string"))
+    return F.when(t.rlike(pattern), t.try_cast("timestamp") if written is None else F.try_to_timestamp(t, F.lit(written)))
+
+
 def parse_date(c: Column) -> Column:
-    return c.cast("string").try_cast("timestamp")
+    """The timestamp of a cell in any of the forms, or as a cast reads it."""
+    return F.coalesce(*(parse_date_as(c, form) for form, (_, written) in DATE_FORMS.items() if written), c.cast("string").try_cast("timestamp"))
 
 
 def infer_type(c: Column) -> Column:
@@ -38,7 +55,7 @@ def infer_type(c: Column) -> Column:
         F.when(is_missing(c), F.lit(None).cast("string"))
         .when(F.lower(t).isin("true", "false"), "boolean")
         .when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "number")
-        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), "date")
+        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$|^\d{2}/\d{2}/\d{4}$|^\d{2}-\d{2}-\d{4}$"), "date")
         .otherwise("text")
     )
 

@@ -7,12 +7,13 @@ first of equals take the column that orders them.
 from __future__ import annotations
 
 import re
+import time
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.types import infer_type, is_missing, loose_type, parse_date, parse_number
+from ..functions.types import DATE_FORMS, infer_type, is_missing, loose_type, parse_date, parse_date_as, parse_number
 
 #: A passage's window and overlap in characters, and the least length that is kept.
 CHUNK_SIZE, CHUNK_OVERLAP, CHUNK_LEAST = 512, 128, 50
@@ -60,6 +61,18 @@ def duplicate_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return groups.agg(total.alias("n_rows"), F.coalesce(F.sum(F.when(F.col("empty"), F.col("n"))), F.lit(0)).cast("long").alias("n_empty"), F.count("*").alias("n_distinct"), (total - F.count("*")).alias("n_duplicates"))
 
 
+def write_prepared(docs: DataFrame, path: str, text: str = "text", order: str = "doc_id") -> dict[str, float]:
+    """Writes the documents that are neither empty nor duplicates; the counts are observed in the pass that writes.
+
+    Gives n_rows, n_empty, n_duplicates, n_kept and seconds.
+    """
+    seen, kept, began = Observation("seen"), Observation("kept"), time.monotonic()
+    rows = docs.observe(seen, F.count("*").alias("n_rows"), F.count_if(is_missing(F.col(text))).alias("n_empty"))
+    dedupe_exact(drop_empty(rows, text), text, order).observe(kept, F.count("*").alias("n_kept")).write.parquet(path)
+    out = seen.get | kept.get
+    return out | {"n_duplicates": out["n_rows"] - out["n_empty"] - out["n_kept"], "seconds": time.monotonic() - began}
+
+
 def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_LEAST) -> DataFrame:
     """Rows (parent_id, chunk_id, position, total_chunks, chunk_position, text, chunk_chars), then nothing else.
 
@@ -152,6 +165,30 @@ def upload_schema(df: DataFrame, columns: list[str], order: str, looked_at: int
     return seen.select("name", kind.alias("type"), "n_sampled")
 
 
+def date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column: the form in which all of its filled cells are dates (null if none), filled cells, and the first and last day.
+
+    Where two forms of ISO 8601 are mixed, the form is "timestamp". All columns are counted in one pass.
+    """
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))
+    filled = df.select(F.explode(cells).alias("c")).select("c.*").filter(~is_missing(F.col("value")))
+    names = list(DATE_FORMS)
+    each = filled.select("name", *(parse_date_as(F.col("value"), form).alias(f"d{k}") for k, form in enumerate(names)))
+    counts = each.groupBy("name").agg(F.count("*").alias("n_filled"), *(F.count(f"d{k}").alias(f"n{k}") for k in range(len(names))), *(F.min(f"d{k}").alias(f"a{k}") for k in range(len(names))), *(F.max(f"d{k}").alias(f"b{k}") for k in range(len(names))))
+    form = F.lit(None).cast("string")
+    for k in range(len(names) - 1, -1, -1):
+        form = F.when(F.col(f"n{k}") == F.col("n_filled"), names[k]).otherwise(form)
+    form = F.when((F.col("n0") + F.col("n1") == F.col("n_filled")) & (F.col("n1") > 0), "timestamp").otherwise(form)
+    day = lambda f, c: F.when(F.col("form").isNotNull(), f(*(F.col(f"{c}{k}") for k in range(len(names)))).cast("date"))
+    return counts.withColumn("form", form).select("name", "form", "n_filled", day(F.least, "a").alias("first_day"), day(F.greatest, "b").alias("last_day"))
+
+
+def with_dates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each of the columns whose cells agree on a form of date cast to a timestamp by that form; the others stay."""
+    forms = {r["name"]: r["form"] for r in date_formats(df, columns).collect()}  # a row per column
+    return df.withColumns({c: parse_date_as(F.col(f"`{c}`"), forms[c]) for c in columns if forms.get(c)})
+
+
 def searchable_text(df: DataFrame, text: str, reserved: tuple[str, ...] = ("id", "doc_id", "embedding"), longest: int = 500) -> Column:
     """The text and the other text columns of fewer than longest characters, joined by a space."""
     others = [f.name for f in df.schema if f.dataType.typeName() == "string" and f.name != text and f.name not in reserved]

@@ -270,7 +270,7 @@ def hdbscan(spark, sf_dir):
 
 @query("layout_2d")
 def layout_2d(spark, sf_dir):
-    out = layout.layout(_table(spark, sf_dir, "embeddings"), steps=2)
+    out = layout.layout(_table(spark, sf_dir, "embeddings"))
     return out.select("vec_id", F.round(F.col("coords")[0], 6).alias("x"), F.round(F.col("coords")[1], 6).alias("y"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.types import infer_type
-from ..operators import clusters, filters, lexical, prepare, rag, similarity, spatial
+from ..operators import clusters, filters, lexical, neighbours, prepare, rag, similarity, spatial
+from ..operators._tables import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +34,7 @@ _POINTS = "p AS (SELECT vec_id AS doc_id, embedding[1]::DOUBLE AS x, embedding[2
 _CLUSTERED = "p AS (SELECT doc_id, text, label - 1 AS cluster FROM documents JOIN embeddings ON vec_id = doc_id)"
 
 _TYPE = """CASE WHEN {0} IS NULL OR lower(trim({0})) IN ('', 'nan') THEN NULL WHEN lower(trim({0})) IN ('true', 'false') THEN 'boolean'
-  WHEN regexp_full_match(trim({0}), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN 'number' WHEN regexp_full_match(trim({0}), '\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?') THEN 'date' ELSE 'text' END"""
+  WHEN regexp_full_match(trim({0}), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN 'number' WHEN regexp_full_match(trim({0}), '\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?|\\d{{2}}[/]\\d{{2}}[/]\\d{{4}}|\\d{{2}}-\\d{{2}}-\\d{{4}}') THEN 'date' ELSE 'text' END"""
 
 
 def _bm25_sql(source: str, key: str, k: int, where: str = "true", columns: str = "") -> str:
@@ -194,6 +195,14 @@ def dedupe_count(spark, sf_dir):
     return prepare.duplicate_counts(_docs(spark, sf_dir))
 
 
+@query("ingest_metrics", f"SELECT count(*) AS n_rows, count(*) FILTER (lower(t) IN ('', 'nan')) AS n_empty, count(*) FILTER (lower(t) NOT IN ('', 'nan')) - count(DISTINCT t) FILTER (lower(t) NOT IN ('', 'nan')) AS n_duplicates, count(DISTINCT t) FILTER (lower(t) NOT IN ('', 'nan')) AS n_kept FROM (SELECT {_TRIM.format("coalesce(text, '')")} AS t FROM documents)")
+def ingest_metrics(spark, sf_dir):
+    """Counts that come with the pass that writes the documents, beside a count of what was written."""
+    path = scratch(spark)
+    seen = prepare.write_prepared(_docs(spark, sf_dir), path)
+    return spark.read.parquet(path).agg(*(F.lit(int(seen[c])).cast("long").alias(c) for c in ("n_rows", "n_empty", "n_duplicates")), F.count("*").alias("n_kept"))
+
+
 @query("drop_empty", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND lower(trim(text)) NOT IN ('', 'nan')")
 def drop_empty(spark, sf_dir):
     return prepare.drop_empty(_docs(spark, sf_dir)).select("doc_id")
@@ -262,6 +271,34 @@ for _name, _table_name, _key, _spec, _test in (
     query(_name, f"SELECT {_key} FROM {_table_name} WHERE {_test}")(_filtered)
 
 
+# dates in several forms
+
+
+def _written(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp")
+    forms = {"iso": "yyyy-MM-dd", "slashed": "MM/dd/yyyy", "dashed": "MM-dd-yyyy", "timed": "yyyy-MM-dd'T'HH:mm:ss"}
+    out = _table(spark, sf_dir, "events").select("event_id", *(F.date_format(ts, f).alias(n) for n, f in forms.items()))
+    odd = F.when(F.col("event_id") % 2 == 0, F.col("iso")).otherwise(F.col("slashed"))
+    return out.withColumns({"mixed": odd, "gaps": F.when(F.col("event_id") % 3 > 0, F.col("dashed")).otherwise(" ")})
+
+
+_DAYS = "min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day"
+
+
+@query("date_formats", " UNION ALL ".join(f"SELECT '{n}' AS name, {f} AS form, count(*) AS n_filled, {d} FROM events{w}" for n, f, d, w in (
+    ("iso", "'date'", _DAYS, ""), ("slashed", "'month/day/year'", _DAYS, ""), ("dashed", "'month-day-year'", _DAYS, ""), ("timed", "'timestamp'", _DAYS, ""),
+    ("mixed", "NULL", "NULL::VARCHAR AS first_day, NULL::VARCHAR AS last_day", ""), ("gaps", "'month-day-year'", _DAYS, " WHERE event_id % 3 > 0"),
+)))
+def date_formats(spark, sf_dir):
+    out = prepare.date_formats(_written(spark, sf_dir), ["iso", "slashed", "dashed", "timed", "mixed", "gaps"])
+    return out.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+
+
+@query("filter_written_date", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'")
+def filter_written_date(spark, sf_dir):
+    return filters.apply_filters(_written(spark, sf_dir), {"slashed": {"type": "date", "value": {"min": "2024-01-05", "max": "2024-01-12"}}}).select("event_id")
+
+
 # vectors
 
 _COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))"
@@ -289,6 +326,12 @@ def knn_graph(spark, sf_dir):
     return similarity.knn(vectors, vectors.filter("vec_id % 50 = 0"), 5).withColumn("score", F.round("score", 5))
 
 
+@query("knn_descent")
+def knn_descent(spark, sf_dir):
+    """Approximate lists of all points; the tests measure their recall."""
+    return neighbours.knn_descent(_table(spark, sf_dir, "embeddings"), 10).withColumn("score", F.round("score", 6))
+
+
 @query("vector_scalars", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) + 1 - 2 * embedding[1]::DOUBLE), 5) AS distance FROM embeddings")
 def vector_scalars(spark, sf_dir):
     axis = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), 63))

@@ -27,6 +27,13 @@ def src_jsonl(spark, sf_dir):
     return readers.load_table(spark, path).select("doc_id", "text", "lang")
 
 
+@query("src_excel", "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, replace(text, chr(13), '') AS text FROM conversations")
+def src_excel(spark, sf_dir):
+    """Workbooks of the conversations, each with a row of names, and back."""
+    books = readers.to_workbooks(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), 2000)
+    return readers.from_workbooks(books).select("conv_id", "turn", "role", F.replace("text", F.lit("\r"), F.lit("")).alias("text"))
+
+
 @query("src_json", "SELECT conv_id, turn, role, text FROM conversations")
 def src_json(spark, sf_dir):
     """Files of one array of objects each: the turns are dealt out, and a file holds so many at most."""

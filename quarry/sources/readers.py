@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import datetime
 import io
+import itertools
 import re
+import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Characters that XML can't hold.
+_PLAIN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -68,45 +75,110 @@ def _column(reference: str) -> int:
     return at - 1
 
 
-def _sheet(content: bytes) -> list[list[str]]:
-    """Cells of a workbook's first sheet as strings; missing ones are empty."""
+#: Number formats of the standard that show a date or a time, and the day from which serial numbers count.
+DATE_STYLES = frozenset((*range(14, 23), *range(45, 48)))
+_DAY_ZERO = datetime.datetime(1899, 12, 30)
+
+
+def _date_cells(parse, names: list[str]) -> list[bool]:
+    """For each style of a workbook's cells, whether it shows a date."""
+    if "xl/styles.xml" not in names:
+        return []
+    styles = parse("xl/styles.xml")
+    own = {int(x.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", x.get("formatCode", "")) for x in styles.iter(f"{_MAIN}numFmt")}
+    shows = lambda k: k in DATE_STYLES or bool(re.search("[ymdhs]", own.get(k, "").lower()))
+    cells = styles.find(f"{_MAIN}cellXfs")
+    return [shows(int(x.get("numFmtId", 0))) for x in cells] if cells is not None else []
+
+
+def _as_date(value: str) -> str:
+    """A serial number as ISO 8601: a day, or with a time if it has one."""
+    at = _DAY_ZERO + datetime.timedelta(seconds=round(float(value) * 86400))
+    return at.date().isoformat() if at.time() == datetime.time() else at.isoformat(sep=" ")
+
+
+def _sheet(content: bytes) -> Iterator[list[str]]:
+    """Rows of a workbook's first sheet, one at a time, cells as strings; missing ones are empty, dates are ISO 8601."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         parse = lambda name: ElementTree.fromstring(z.read(name))
         text = lambda x: "".join(t.text or "" for t in x.iter(f"{_MAIN}t"))
         shared = [text(x) for x in parse("xl/sharedStrings.xml").iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        dates = _date_cells(parse, z.namelist())
         first = next(parse("xl/workbook.xml").iter(f"{_MAIN}sheet")).get(_REL)
         target = next(x.get("Target") for x in parse("xl/_rels/workbook.xml.rels") if x.get("Id") == first)
-        rows = []
-        for row in parse(target.lstrip("/") if target.startswith("/") else f"xl/{target}").iter(f"{_MAIN}row"):
-            cells: list[str] = []
-            for cell in row.iter(f"{_MAIN}c"):
-                at = _column(cell.get("r")) if cell.get("r") else len(cells)
-                cells += [""] * (at + 1 - len(cells))
-                value, kind = cell.findtext(f"{_MAIN}v") or "", cell.get("t")
-                cells[at] = shared[int(value)] if kind == "s" and value else text(cell) if kind == "inlineStr" else {"1": "true", "0": "false"}.get(value, value) if kind == "b" else value
-            rows.append(cells)
-    return rows
+        with z.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as stream:
+            for _, row in ElementTree.iterparse(stream):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                cells: list[str] = []
+                for cell in row.iter(f"{_MAIN}c"):
+                    at = _column(cell.get("r")) if cell.get("r") else len(cells)
+                    cells += [""] * (at + 1 - len(cells))
+                    value, kind, style = cell.findtext(f"{_MAIN}v") or "", cell.get("t", "n"), int(cell.get("s", 0))
+                    if kind == "s":
+                        value = shared[int(value)] if value else ""
+                    elif kind == "inlineStr":
+                        value = text(cell)
+                    elif kind == "b":
+                        value = {"1": "true", "0": "false"}.get(value, value)
+                    elif kind == "n" and value and style < len(dates) and dates[style]:
+                        value = _as_date(value)
+                    cells[at] = value
+                row.clear()
+                yield cells
 
 
 def _sheets(batches):
+    """Rows (path, names, row, cells): a file's own first row names its cells."""
+    kinds = [("path", pa.string()), ("names", pa.list_(pa.string())), ("row", pa.int32()), ("cells", pa.list_(pa.string()))]
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows = _sheet(content.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["path", "row", "cells"])
+            names = [n or f"column_{i + 1}" for i, n in enumerate(next(rows, []))]
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([names], kinds[1][1]), pa.array([0], pa.int32()), pa.array([[]], kinds[3][1])], schema=pa.schema(kinds))
+            at = 0
+            while some := [(cells + [""] * len(names))[: len(names)] for cells in itertools.islice(rows, 4096)]:
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array([names] * len(some), kinds[1][1]), pa.array(range(at + 1, at + 1 + len(some)), pa.int32()), pa.array(some, kinds[3][1])], schema=pa.schema(kinds))
+                at += len(some)
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of each .xlsx file, all columns strings, missing cells empty; the first file's first row names the columns.
+def from_workbooks(files: DataFrame) -> DataFrame:
+    """The first sheet of each workbook of rows (path, content), all columns strings; columns are those of all files' first rows.
 
-    A file is one task; the format holds at most 1,048,576 rows. Dates stay serial numbers.
+    A cell that its file lacks is empty. A file is one task and is parsed row by row.
     """
+    cells = files.select("path", "content").mapInArrow(_sheets, "path string, names array<string>, row int, cells array<string>")
+    heads = cells.filter("row = 0").select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()  # a row per column
+    place = lambda n: F.array_position("names", n)
+    return cells.filter("row > 0").select(*(F.when(place(h["name"]) > 0, F.get("cells", place(h["name"]).cast("int") - 1)).otherwise("").alias(h["name"]) for h in heads))
+
+
+def read_excel(spark: SparkSession, path: str) -> DataFrame:
+    """from_workbooks() of the .xlsx files at a path; the format holds at most 1,048,576 rows a file."""
     if path.lower().endswith(".xls"):
         raise ValueError("binary .xls workbooks can't be read; save them as .xlsx")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    cells = files.mapInArrow(_sheets, "path string, row int, cells array<string>")
-    head = cells.filter("row = 0").orderBy("path").first()
-    names = [n or f"column_{i + 1}" for i, n in enumerate(head["cells"])] if head else []
-    return cells.filter("row > 0").select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
+    return from_workbooks(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def to_workbooks(df: DataFrame, at_most: int = 10_000) -> DataFrame:
+    """Rows (path, content): .xlsx workbooks of at most so many rows each, with a row of names, all cells text."""
+    names = df.columns
+    cell = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_PLAIN.sub("", v))}</t></is></c>'
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_most):
+                part = batch.slice(at, at_most)
+                rows = [names, *zip(*(("" if v is None else v for v in c.to_pylist()) for c in part.columns), strict=True)]
+                sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-3]}"><sheets><sheet name="1" sheetId="1" r:id="rId1"/></sheets></workbook>')
+                    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+                    z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{sheet}</sheetData></worksheet>')
+                yield pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.xlsx"]), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
+
+    return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in names)).mapInArrow(run, "path string, content binary")
 
 
 #: Readers by file extension.

@@ -61,3 +61,17 @@ def test_order_of_arrival_changes_nothing(spark, tmp_path, order):
     assert rows(ingest.postings(spark, root.as_uri()).filter("term = 'only'")) == [(6, "only", 1), (7, "only", 2), (8, "only", 1)]
     stats = ingest.statistics(spark, root.as_uri()).first()
     assert (stats["n_docs"], stats["n_tokens"], round(stats["avg_tokens"], 6)) == (7, 16, round(16 / 7, 6))
+
+
+def test_descent_finds_most_neighbours_without_all_pairs(spark):
+    from quarry.operators import neighbours, similarity
+
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    exact = similarity.knn(vectors, None, 10).select("query_id", "neighbour_id", F.round("score", 9).alias("score"))
+    found = neighbours.knn_descent(vectors, 10, block=64, trees=2)
+    assert found.count() == exact.count() and found.join(exact, ["query_id", "neighbour_id"]).count() >= 0.95 * exact.count()
+    assert found.join(exact, ["query_id", "neighbour_id"]).filter(F.abs(found["score"] - exact["score"]) > 1e-8).isEmpty()
+    rows = [(k, [float(k % 3), 1.0]) for k in range(40)] + [(None, [1.0, 1.0]), (99, None)]
+    few = neighbours.knn_descent(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, "euclidean", block=8).collect()
+    assert len(few) == 200 and all(r["score"] == 0 for r in few)
+    assert neighbours.knn_descent(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), 5).collect() == []

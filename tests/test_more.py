@@ -204,7 +204,7 @@ def test_layout_keeps_neighbourhoods_and_is_the_same_twice(spark):
     x, truth = blobs(25)
     x = x[:75]
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    run = lambda: {r["vec_id"]: r["coords"] for r in layout.layout(df, neighbours=6, steps=2, metric="euclidean").collect()}
+    run = lambda: {r["vec_id"]: r["coords"] for r in layout.layout(df, neighbours=6, epochs=5, metric="euclidean").collect()}
     first = run()
     y = np.array([first[k] for k in range(75)])
     assert np.isfinite(y).all() and y.shape == (75, 2)
@@ -212,6 +212,25 @@ def test_layout_keeps_neighbourhoods_and_is_the_same_twice(spark):
     assert (truth[near] == truth[:75, None]).mean() > 0.95
     again = run()
     assert all(np.allclose(first[k], again[k]) for k in first)
+    with pytest.raises(ValueError, match="of one length"):
+        layout.components(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<double>"), 2)
     mean, axes = layout.components(df, 2)
     u, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     assert np.allclose(mean, x.mean(axis=0)) and np.allclose(np.abs(axes.T @ v[:2].T), np.eye(2), atol=1e-6)
+
+
+def test_layout_keeps_more_neighbours_than_principal_components(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], dtype=np.float64)
+
+    def near(y, k=15):
+        d = ((y[:, None] - y[None]) ** 2).sum(-1)
+        np.fill_diagonal(d, np.inf)
+        return np.argsort(d, axis=1)[:, :k]
+
+    def kept(frame):
+        y = np.array([r["coords"] for r in frame.orderBy("vec_id").collect()])
+        return np.mean([len(set(a) & set(b)) for a, b in zip(near(x), near(y), strict=True)]) / 15
+
+    assert kept(layout.layout(df, epochs=12)) > 1.3 * kept(layout.project(df))
+    assert np.allclose(layout.curve(0.1), (1.577, 0.895), atol=0.01) and np.allclose(layout.curve(0.0), (1.933, 0.790), atol=0.01)

@@ -147,5 +147,7 @@ def test_prompt_and_think(spark):
 
 
 def test_types(spark):
-    kinds = [one(spark, types.infer_type, v) for v in ("true", "-1.5e3", "2024-01-02", "abc", " ", "NaN")]
-    assert kinds == ["boolean", "number", "date", "text", None, None]
+    kinds = [one(spark, types.infer_type, v) for v in ("true", "-1.5e3", "2024-01-02", "abc", " ", "NaN", "01/31/2024", "12-31-2024", "1/2/2024")]
+    assert kinds == ["boolean", "number", "date", "text", None, None, "date", "date", "text"]
+    days = [one(spark, lambda c: types.parse_date(c).cast("string"), v) for v in ("2024-01-31", "01/31/2024", "12-31-2024", "13/31/2024", "x")]
+    assert days == ["2024-01-31 00:00:00", "2024-01-31 00:00:00", "2024-12-31 00:00:00", None, None]

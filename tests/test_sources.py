@@ -69,3 +69,23 @@ def test_conversation_csv(spark, tmp_path):
     datasets.write_conversation(log, f"{tmp_path}/log")
     got = readers.read_csv(spark, f"{tmp_path}/log").orderBy("timestamp").collect()
     assert [(r["query"], r["num_sources"], r["source_ids"]) for r in got] == [('say "hi"', 2, "1|2"), ("q", 0, None)]
+
+
+def test_workbooks_with_their_own_headers_and_dates(spark, tmp_path):
+    def book(name, header, rows):
+        main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+        cells = lambda row: "".join(f'<c s="{s}"><v>{v}</v></c>' if isinstance(v, float) else f'<c t="inlineStr"><is><t>{v}</t></is></c>' for v, s in row)
+        sheet = "".join(f"<row>{cells(r)}</row>" for r in ([(h, 0) for h in header], *rows))
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="1" sheetId="1" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy hh:mm"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+
+    book("a.xlsx", ["when", "n"], [[(45292.0, 1), (45292.0, 0)], [(45292.75, 2), (2.5, 3)]])
+    book("b.xlsx", ["n", "extra", ""], [[("x", 0), ("y", 0), ("z", 0)], [("only", 0)]])
+    book("c.xlsx", [], [])
+    got = readers.read_excel(spark, f"{tmp_path}/*.xlsx")
+    assert set(got.columns) == {"when", "n", "extra", "column_3"}
+    rows = sorted(tuple(r[c] for c in ("when", "n", "extra", "column_3")) for r in got.collect())
+    assert rows == [("", "only", "", ""), ("", "x", "y", "z"), ("2024-01-01", "45292.0", "", ""), ("2024-01-01 18:00:00", "2.5", "", "")]
