@@ -223,3 +223,49 @@ def test_revisits_by_broadcast_and_by_shuffle(spark, monkeypatch):
         monkeypatch.setattr(warc, "HOT_SHARE", share)
         assert run() == by_broadcast
     assert len(by_broadcast) == len(pages) and [r for r in by_broadcast if r[0] == 5] == [(5, 2000, 299, True)] and [r for r in by_broadcast if r[0] == 403] == [(403, 5, None, False)]
+
+
+# decontamination: the whole query
+
+
+def plain_tiling(text, item, least=5):
+    """Lengths of the tiles: of all runs that start at a shared run of `least` words, the longest of unmarked words, again and again."""
+    least = min(least, len(item))
+    if not least:
+        return []
+    at = collections.defaultdict(list)
+    for j in range(len(item) - least + 1):
+        at[tuple(item[j : j + least])].append(j)
+    seeds = [(i, j) for i in range(len(text) - least + 1) for j in at.get(tuple(text[i : i + least]), ())]
+    used_t, used_i, tiles = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i, j in seeds:
+            n = 0
+            while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n] and i + n not in used_t and j + n not in used_i:
+                n += 1
+            if n > best[0]:
+                best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return tiles
+        tiles.append(n)
+        used_t |= set(range(i, i + n))
+        used_i |= set(range(j, j + n))
+
+
+def test_contamination_query(spark):
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    words = lambda t: [w.lower() for w in word.findall((t or "").encode())]
+    docs = [(r.doc_id, words(r.text)) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    want = []
+    for d, text in docs:
+        grams = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
+        for k, item in items:
+            if len(item) < 5 or any(tuple(item[j : j + 5]) in grams for j in range(len(item) - 4)):
+                tiles = plain_tiling(text, item)
+                if tiles and sum(tiles) >= 0.6 * len(item):
+                    want.append((d, k, len(item), sum(tiles), len(tiles), round(sum(tiles) / len(item), 9)))
+    got = Q.op10_contamination(spark, DATA).collect()
+    assert want and sorted((r.doc_id, r.item_id, r.item_words, r.tiled_words, r.tiles, round(r.coverage, 9)) for r in got) == sorted(want)
