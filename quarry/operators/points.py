@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ._tables import cut, join_unique
 from .clusters import NOISE
 
 #: Fixed value: how far apart two places may be to count as the same.
@@ -118,13 +119,54 @@ def _named(rule: int):
     return lambda name: F.struct(F.lit(rule).alias("rule"), name.alias("name"))
 
 
+def _long_words(t: Column) -> Column:
+    """Words of more than three characters, in order."""
+    return F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 3)
+
+
+def _alike_texts(left: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    """Rows (key, index) that rules 7 and 8 may hold for; left has key and _a.
+
+    Words are ranked by how many points have them. A text that holds a part holds each whole word of
+    it, so the part's rarest word finds it. Two lists of words with a share over WORDS_SHARE miss
+    less than the rest of the shorter one, so one of so many of its rarest words, and one more, is in
+    the other. So no common word is a join key, but for hits that repeat words, whose share may come of
+    one word alone. A part of fewer than three words is found only where its words are whole. Null texts match nothing.
+    """
+    c = F.col
+    whole = points.filter(c("text").isNotNull()).select("index", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).filter("w <> ''")
+    rarity = cut(whole.groupBy("w").agg(F.count("*").alias("df")))
+    tokens = lambda df, of, t: df.select(of, F.posexplode(_long_words(F.substring(t, 1, WORDS_PART))).alias("at", "w"))
+
+    def ranked(rows: DataFrame, of: str) -> DataFrame:
+        """Rows (of, w, n, k): words with their list's length and their place among its rarest."""
+        known = join_unique(cut(rows), rarity, ["w"], "left").select(of, "at", "w", F.coalesce("df", F.lit(0)).alias("df"))
+        own = Window.partitionBy(of)  # at most WORDS_PART / 5 rows
+        return cut(known.select(of, "w", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("df", "w", "at")).alias("k")))
+
+    mine, theirs = ranked(tokens(left, key, c("_a")), key), ranked(tokens(points.filter(c("text").isNotNull()).select("index", F.lower("text").alias("_b")), "index", c("_b")), "index")
+    rare = c("k") <= F.floor((1 - WORDS_SHARE) * c("n")) + 1
+    repeats = mine.groupBy(key).agg((F.count_distinct("w") < F.count("*")).alias("repeats")).filter("repeats").select(key)
+    pairs = mine.filter(rare).select(key, "w").join(theirs.select("index", "w"), "w")
+    pairs = pairs.unionByName(mine.select(key, "w").join(theirs.filter(rare).select("index", "w"), "w"))
+    pairs = pairs.unionByName(mine.join(repeats, key, "left_semi").select(key, "w").join(theirs.select("index", "w"), "w"))
+
+    cut_words = F.split(F.substring("_a", 1, PART), r"\s+")
+    inner = F.filter(F.slice(cut_words, F.lit(2), F.greatest(F.lit(0), F.size(cut_words) - 2)), lambda w: w != "")
+    inside = left.filter(F.length("_a") > PART_LEAST).select(key, F.explode(F.when(F.size(inner) > 0, inner).otherwise(_long_words(F.substring("_a", 1, PART)))).alias("w"), (F.size(inner) > 0).alias("sure"))
+    inside = join_unique(cut(inside), rarity, ["w"])
+    best = inside.groupBy(key).agg(F.min(F.when(c("sure"), F.struct("df", "w"))).alias("m"), F.collect_set(F.when(~c("sure"), c("w"))).alias("all"))
+    words = best.select(key, F.explode(F.when(c("m").isNotNull(), F.array("m.w")).otherwise(c("all"))).alias("w"))
+    return pairs.select(key, "index").unionByName(words.join(whole, "w").select(key, "index")).distinct()
+
+
 def resolve_points(hits: DataFrame, points: DataFrame, key: str = "hit_id") -> DataFrame:
     """Rows (key, index, rule): the point of each hit, by the first rule that finds one; of several, the first in index.
 
     Rules: 0 index, 1 place, 2 chunk_id, 3 parent_id as a point's doc_id, 4 doc_id, 5 source_id, 6 equal
     text, 7 a point's text that contains the hit's first PART characters, 8 the greatest share of
     common words over WORDS_SHARE. Rules 0 to 6 are one equi-join of (rule, name); 7 and 8 are tried
-    for hits that are left, among points that share a word of more than three characters. hits and
+    for hits that are left, among points that share one of their rarest words. hits and
     points have columns index, x, y, chunk_id, doc_id, source_id, text, and hits parent_id; any may be null.
     """
     text = lambda c: T.trimmed(F.lower(c))
@@ -140,9 +182,9 @@ def resolve_points(hits: DataFrame, points: DataFrame, key: str = "hit_id") -> D
     near = (F.col("rule") != 1) | ((F.abs(c("_px") - c("_x")) < SAME_PLACE) & (F.abs(c("_py") - c("_y")) < SAME_PLACE))
     found = asked.join(named, ["rule", "name"]).filter(near).groupBy(key).agg(F.min(F.struct("rule", "index")).alias("m")).select(key, "m.index", "m.rule")
 
-    left = hits.join(found, key, "left_anti").select(key, text(c("text")).alias("_a")).filter(F.length("_a") > WORDS_LEAST)
-    words = lambda t: F.explode(F.array_distinct(F.filter(T.spaced(t), lambda w: F.length(w) > 3)))
-    pairs = left.select(key, "_a", words(F.substring("_a", 1, WORDS_PART)).alias("_w")).join(points.select("index", F.lower("text").alias("_b"), words(F.lower("text")).alias("_w")), "_w").select(key, "index", "_a", "_b").distinct()
+    left = cut(hits.join(found, key, "left_anti").select(key, text(c("text")).alias("_a")).filter(F.length("_a") > WORDS_LEAST))
+    candidates = _alike_texts(left, points, key)
+    pairs = candidates.join(left, key).join(points.select("index", F.lower("text").alias("_b")), "index")
     part = (F.length("_a") > PART_LEAST) & F.contains("_b", F.substring("_a", 1, PART))
     share = T.similarity(F.substring("_a", 1, WORDS_PART), F.substring("_b", 1, WORDS_PART))
     scored = pairs.select(key, "index", part.alias("part"), share.alias("share")).filter(F.col("part") | (F.col("share") > WORDS_SHARE))

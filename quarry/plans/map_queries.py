@@ -108,7 +108,7 @@ t AS (SELECT min(doc_id) AS "index", lower({_TRIM.format("text")}) AS t FROM m J
 @query("resolve_point", f"""WITH {_MAP}, {_HITS} SELECT hit_id, coalesce(h."index", CASE WHEN h.x IS NOT NULL THEN hit_id END, parent_id, d, t."index") AS "index",
 CASE WHEN h."index" IS NOT NULL THEN 0 WHEN h.x IS NOT NULL THEN 1 WHEN parent_id IS NOT NULL THEN 3 WHEN d IS NOT NULL THEN 4 ELSE 6 END AS rule FROM h LEFT JOIN t ON lower({_TRIM.format("h.text")}) = t.t""")
 def resolve_point(spark, sf_dir):
-    """Hits that are known by one field each, in turn; rules 7 and 8 are in the tests."""
+    """Hits that are known by one field each, in turn; resolve_point_text has those that are known by a part or by words."""
     none = F.lit(None).cast("string")
     placed = points.join_points(_docs(spark, sf_dir), _projection(spark, sf_dir), _assigned(spark, sf_dir))
     all_ = placed.select(F.col("doc_id").alias("index"), "x", "y", none.alias("chunk_id"), "doc_id", none.alias("source_id"), "text")
@@ -117,6 +117,28 @@ def resolve_point(spark, sf_dir):
     return points.resolve_points(hits, all_)
 
 
+_WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: length(w) > 3)"
+
+
+@query("resolve_point_text", f"""WITH {_MAP}, p AS (SELECT doc_id, lower(text) AS b, lower({_TRIM.format("text")}) AS t, {_WORDS.format("substring(lower(text), 1, 150)")} AS y, text FROM m JOIN documents USING (doc_id)),
+h AS (SELECT doc_id AS hit_id, lower({_TRIM.format("CASE WHEN doc_id % 2 = 0 THEN substring(text, 11, 160) ELSE array_to_string(list_reverse(" + _SPACED.format("text") + "[1:12]), ' ') END")}) AS a FROM p),
+k AS (SELECT hit_id, a, {_WORDS.format("substring(a, 1, 150)")} AS x FROM h),
+c AS (SELECT hit_id, doc_id, t = a AND a <> '' AS same, length(a) > 30 AND contains(b, substring(a, 1, 120)) AS part,
+  CASE WHEN length(a) > 20 AND least(len(x), len(y)) > 0 THEN len(list_filter(x, lambda w: list_contains(y, w))) / least(len(x), len(y)) ELSE 0 END AS share FROM k, p),
+r AS (SELECT hit_id, min(doc_id) FILTER (same) AS r6, min(doc_id) FILTER (part) AS r7, max(struct_pack(s := share, i := -doc_id)) FILTER (share > 0.78) AS r8 FROM c GROUP BY hit_id)
+SELECT hit_id, coalesce(r6, r7, -r8.i) AS "index", CASE WHEN r6 IS NOT NULL THEN 6 WHEN r7 IS NOT NULL THEN 7 ELSE 8 END AS rule FROM r WHERE coalesce(r6, r7, -r8.i) IS NOT NULL""")
+def resolve_point_text(spark, sf_dir):
+    """Hits that are known by a part of a text, or by some of its words in another order."""
+    none = F.lit(None).cast("string")
+    placed = points.join_points(_docs(spark, sf_dir), _projection(spark, sf_dir), _assigned(spark, sf_dir))
+    all_ = placed.select(F.col("doc_id").alias("index"), "x", "y", none.alias("chunk_id"), "doc_id", none.alias("source_id"), "text")
+    few = F.array_join(F.reverse(F.slice(T.spaced(F.col("text")), 1, 12)), " ")
+    known = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 11, 160)).otherwise(few)
+    lone = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    hits = placed.select(F.col("doc_id").alias("hit_id"), lone("index", "long"), lone("x", "double"), lone("y", "double"), none.alias("chunk_id"), lone("parent_id", "long"), lone("doc_id", "long"), none.alias("source_id"), known.alias("text"))
+    return points.resolve_points(hits, all_)
+
+
 @query("result_metadata", "SELECT doc_id, left(coalesce(text, ''), 20) || chr(10) || '[Metadata: lang: ' || lang || ' | n_chars: ' || n_chars || ']' AS text FROM documents")
 def result_metadata(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("text", F.substring("text", 1, 20)).withColumn("my_color", F.lit("red"))
