@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_BYTES, mix, releasing, stash, stashed_bytes, tidied, text_chunks, window_hashes, word_bounds, word_hashes
+from ._shared import BROADCAST_BYTES, attach, mix, releasing, stash, stashed_bytes, tidied, text_chunks, window_hashes, word_bounds, word_hashes
 from .components import components, merged
 from .vectors import groups
 
@@ -380,5 +380,5 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose key is the smallest of its component; all its columns. A null key stays."""
-    gone = similar(docs, key, text).filter("component <> id").select(F.col("id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    gone = stash(similar(docs, key, text).filter("component <> id").select(F.col("id").alias(key)).distinct())
+    return attach(docs, gone, (key,), "left_anti").select(*docs.columns)
