@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a table; all but the last give the columns of
 documents. Rows of null or empty text have no language and end at the first stage. Extra columns
-pass through all stages but the last, which gives doc_id, ids, n_tokens and whether decoding the
-ids gives back the tokens' text. Empty tables stay empty.
+pass through all stages but the last, which gives doc_id, ids, n_tokens and the SHA-256 of the text that the
+ids decode to. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, contamination, language, near_text, suffixes
-from quarry.llm._shared import stash
+from quarry.llm._shared import BROADCAST_BYTES, stash, stashed_bytes
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Passages of over 50 words that occur elsewhere are cut; so many words, and a space between each, have at least PASSAGE_BYTES.
@@ -45,7 +45,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold most of a benchmark item go; they are known by their texts, as ids may be null or repeated."""
     texts = docs.select(F.xxhash64("text").alias("row"), "text")
     found = stash(contamination.contaminated(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row").select(F.col("doc_id").alias("found")).distinct())
-    return docs.join(found, F.xxhash64(docs["text"]) == found["found"], "left_anti").select(*docs.columns)
+    few = F.broadcast(found) if stashed_bytes(found) <= BROADCAST_BYTES else found
+    return docs.join(few, F.xxhash64(docs["text"]) == few["found"], "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
