@@ -22,6 +22,8 @@ _WIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p
 _LETTERS, _DIGITS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _NARROW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
 
+#: Characters past those blocks in which no table differs (tested); few texts have many.
+_BEYOND = re.compile("[^\x00-\u024f]")
 #: Marks of unlike combining classes, which show how another one is ordered.
 _MARKS = "\u0301\u0323\u0345\u0334\u05b0\u094d\u0651\u0f72"
 
@@ -88,5 +90,6 @@ def _plain(text: str, path: str) -> list[str]:
     try:
         plain.encode("latin-1")
     except UnicodeEncodeError:
-        return library_split(path)(text) if unlike(path).search(text) else _WIDE.findall(plain)
+        rare = "".join(set(_BEYOND.findall(text)))
+        return library_split(path)(text) if unlike(path).search(rare) else _WIDE.findall(plain)
     return _NARROW.findall(plain)
