@@ -24,23 +24,29 @@ from ._tables import cut
 
 #: Documents of a part, on the average.
 PART_ROWS = 1024
-#: Parts that are scored before the bound is known; files of each table.
-FIRST_PARTS, FILES = 4, 32
+#: Parts that are scored before the bound is known; the least files of each table, and the parts that a file of postings holds beyond those.
+FIRST_PARTS, FILES, FILE_PARTS = 4, 32, 8
 
 
 def save_postings(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", part_rows: int = PART_ROWS) -> None:
     """Writes root/stats (one row), root/postings (term, part, key, tf, n) and root/maxima (term, part, df, impact)."""
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
     stats = lexical.corpus_stats(docs, text)
     stats.write.mode("overwrite").parquet(f"{root}/stats")
     known = docs.sparkSession.read.parquet(f"{root}/stats").first()
     parts = max(1, math.ceil(known["n_docs"] / part_rows))
-    words = docs.select(F.col(key).alias("key"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), T.token_count(lowered).alias("n"), F.explode(T.tokens(F.col(text))).alias("term"))
-    rows = words.groupBy("term", "part", "key", "n").agg(F.count("*").alias("tf"))
-    rows.repartitionByRange(FILES, "term", "part").sortWithinPartitions("term", "part").write.mode("overwrite").parquet(f"{root}/postings")
+    files = max(FILES, parts // FILE_PARTS)
+    rows = _words(docs, key, text, parts).groupBy("term", "part", "key", "n").agg(F.count("*").alias("tf"))
+    rows.repartitionByRange(files, "term", "part").sortWithinPartitions("term", "part").write.mode("overwrite").parquet(f"{root}/postings")
     saved = docs.sparkSession.read.parquet(f"{root}/postings")
     maxima = saved.groupBy("term", "part").agg(F.count("*").alias("df"), F.max(_impact(F.col("tf"), F.col("n"), known["avg_tokens"])).alias("impact"))
-    maxima.repartitionByRange(max(1, FILES // 8), "term", "part").sortWithinPartitions("term", "part").write.mode("overwrite").parquet(f"{root}/maxima")
+    maxima.repartitionByRange(max(1, files // 8), "term", "part").sortWithinPartitions("term", "part").write.mode("overwrite").parquet(f"{root}/maxima")
+
+
+def _words(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
+    """Rows (key, part, n, term), one for each token; what stands beside explode() is made anew for each row, so n is made before it."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+    cut_up = docs.select(F.col(key).alias("key"), part, T.tokens(F.col(text)).alias("terms")).select("key", "part", F.size("terms").alias("n"), "terms")
+    return cut_up.select("key", "part", "n", F.explode("terms").alias("term"))
 
 
 def _impact(tf: Column, n: Column, mean: float) -> Column:

@@ -39,6 +39,14 @@ def test_postings_of_odd_texts(spark, tmp_path):
     assert index.search(spark, (tmp_path / "none").as_uri(), "only").collect() == []
 
 
+def test_postings_count_the_tokens_of_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "b a b", "x"), (2, None, "y")], "doc_id long, text string, lang string")
+    words = index._words(docs, "doc_id", "text", 1)
+    assert rows(words) == [(1, 0, 3, "a"), (1, 0, 3, "b"), (1, 0, 3, "b")]
+    above, below = words._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)
+    assert "regexp" not in above and "regexp" in below  # above it, a text is walked again for each of its tokens
+
+
 def test_word_index_equals_a_scan(spark, tmp_path):
     docs, root = spark.read.parquet(f"{DATA}/documents.parquet"), (tmp_path / "words").as_uri()
     index.save_words(docs, root)
