@@ -127,10 +127,10 @@ def export_v3(spark, sf_dir):
 
 @query("export_selection", f"WITH {_MAP} SELECT doc_id::VARCHAR AS id, cluster, round(y, 9) AS y, len(embedding) AS dim FROM m JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id WHERE x > 0.2")
 def export_selection(spark, sf_dir):
-    """A lasso's selection as one nested document, and back."""
+    """A lasso's selection as nested documents of a bounded size, and back."""
     path = _scratch(spark)
     placed, vectors, chunks = _export_tables(spark, sf_dir)
-    exports.as_document(placed.filter("x > 0.2"), vectors, chunks).write.text(path)
+    exports.write_documents(placed.filter("x > 0.2"), vectors, chunks, path)
     back = exports.import_v3(spark, path)
     return back["documents"].join(back["parents"].withColumnRenamed("doc_id", "id"), "id").select("id", "cluster", F.round("y", 9).alias("y"), F.size("vector").cast("long").alias("dim"))
 

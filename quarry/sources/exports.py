@@ -2,8 +2,8 @@
 
 A 3.0 export is a folder: manifest.json is written last and makes it complete, and documents,
 parents, chunks and chunk_map are JSON lines beside it, written and read in parallel. as_document()
-gives the same as one nested row for selections of a stated size, as other tools exchange it;
-import_v3 reads either.
+gives the same as one nested row for selections of a stated size, as other tools exchange it, and
+write_documents() deals a selection of any size into files of such rows; import_v3 reads each of them.
 """
 
 from __future__ import annotations
@@ -82,15 +82,37 @@ def export_v3(points: DataFrame, parents: DataFrame, chunks: DataFrame, path: st
 
 
 def as_document(points: DataFrame, parents: DataFrame, chunks: DataFrame, kind: str = "lasso", query: str | None = None, rows: int = DOCUMENT_ROWS) -> DataFrame:
-    """One row, value: a selection as one JSON document. A selection of over `rows` documents or passages is refused: export_v3 is for those."""
+    """One row, value: a selection as one JSON document. A selection of over `rows` documents or passages is refused: export_v3 and write_documents are for those."""
     docs = _documents(points)
     mine, theirs = selected_vectors(docs.select("id"), parents, chunks)
     if (n := docs.count()) > rows or theirs.count() > rows:
         raise ValueError(f"{n} documents or their passages are more than {rows}; use export_v3")
-    each = docs.select(F.struct("id", "text", "cluster", "cluster_probability", F.struct("x", "y").alias("umap_coords"), "metadata").alias("d"))
-    nested = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-    listed = each.agg(F.array_sort(F.collect_list("d"), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("documents"))
-    one = listed.join(nested(mine, "p")).join(nested(theirs, "c"))  # one row each
+    return _nested(docs, mine, theirs, kind, query).select("value")
+
+
+def write_documents(points: DataFrame, parents: DataFrame, chunks: DataFrame, path: str, kind: str = "lasso", query: str | None = None, rows: int = DOCUMENT_ROWS) -> None:
+    """A selection of any size as files of one nested document each, which import_v3() reads as one.
+
+    Documents are dealt by their ids, with their vectors and passages; a file holds half of `rows` of them on the average.
+    """
+    docs = _documents(points)
+    mine, theirs = selected_vectors(docs.select("id"), parents, chunks)
+    files = max(1, -(-2 * max(docs.count(), theirs.count()) // rows))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(files)).alias("_part")
+    dealt = docs.select(part(F.coalesce("id", "text")), "*"), mine.select(part(F.col("doc_id")), "*"), theirs.select(part(F.col("doc_id")), "*")
+    _nested(*dealt, kind, query, "_part").select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def _nested(docs: DataFrame, mine: DataFrame, theirs: DataFrame, kind: str, query: str | None, *by: str) -> DataFrame:
+    """Rows (by, value): the documents, their vectors and their passages of each group as one JSON document."""
+    own = lambda df: [c for c in df.columns if c not in by]
+    nested = lambda df, name: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*own(df)))).alias(name))
+    each = docs.select(*by, F.struct("id", "text", "cluster", "cluster_probability", F.struct("x", "y").alias("umap_coords"), "metadata").alias("d"))
+    listed = each.groupBy(*by).agg(F.array_sort(F.collect_list("d"), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("documents"))
+    one = listed
+    for df, name in ((mine, "p"), (theirs, "c")):
+        lists = nested(df, name)
+        one = one.join(lists, list(by), "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType))) if by else one.join(lists)  # without groups one row each
     payload = F.struct(
         F.lit(VERSION).alias("version"),
         F.lit(_checked(kind)).alias("export_type"),
@@ -99,7 +121,7 @@ def as_document(points: DataFrame, parents: DataFrame, chunks: DataFrame, kind:
         "documents",
         F.struct(F.struct(F.col("p").alias("vectors"), F.lit("query").alias("mode")).alias("parent"), F.struct(F.col("c").alias("vectors"), F.lit("passage").alias("mode")).alias("chunks")).alias("embeddings"),
     )
-    return one.select(F.to_json(payload).alias("value"))
+    return one.select(*by, F.to_json(payload).alias("value"))
 
 
 def import_v3(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -69,6 +69,20 @@ def test_bm25_counts_a_texts_tokens_once_for_statistics_and_once_for_hits(spark)
     assert plan.count(" [A-Za-z0-9_]+, 0)") == 2 and "regexp_replace" not in plan and "split(" not in plan
 
 
+def test_selections_of_any_size_are_nested_documents(spark, tmp_path):
+    docs = spark.range(300).selectExpr("cast(id AS string) AS doc_id", "concat('t', id) AS text", "1 AS cluster", "0.5D AS cluster_probability", "0.0D AS x", "1.0D AS y")
+    docs = docs.union(docs.limit(1).selectExpr("cast(NULL AS string)", "'none'", "cluster", "cluster_probability", "x", "y"))
+    vectors = spark.range(0, 300, 2).selectExpr("cast(id AS string) AS doc_id", "array(cast(id AS float)) AS vector")
+    chunks = vectors.selectExpr("concat(doc_id, '_chunk_0') AS chunk_id", "doc_id AS parent_id", "0 AS position", "'c' AS text", "vector")
+    for name, some, rows in (("many", docs, 40), ("none", docs.limit(0), 40)):
+        exports.write_documents(some, vectors, chunks, f"{tmp_path}/{name}", rows=rows)
+        back = exports.import_v3(spark, f"{tmp_path}/{name}")
+        held = some.count()
+        assert sorted(tuple(r) for r in back["documents"].fillna("null").select("id", "text").collect()) == sorted(tuple(r) for r in some.fillna("null").select("doc_id", "text").collect())
+        assert back["parents"].count() == back["chunks"].distinct().count() == back["chunks"].count() == held // 2
+    assert 15 <= len(list((tmp_path / "many").glob("part-*.txt"))) <= 17
+
+
 def test_exports_refuse_what_they_cannot_hold(spark, tmp_path):
     docs = spark.createDataFrame([("a", "t", 1, 0.5, 0.0, 1.0)], "doc_id string, text string, cluster int, cluster_probability double, x double, y double")
     vectors = spark.createDataFrame([("a", [1.0])], "doc_id string, vector array<float>")
