@@ -50,14 +50,13 @@ def src_txt(spark, sf_dir):
     return readers.load_table(spark, path).groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query("line_numbers", "WITH l AS (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents) SELECT count(*) AS n_lines, 1::BIGINT AS first, true AS all_numbered FROM l WHERE regexp_matches(line, '\\S')")
+@query("line_numbers", "WITH l AS (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents), n AS (SELECT count(*) AS n FROM l WHERE regexp_matches(line, '\\S')) SELECT n AS n_lines, 1::BIGINT AS first, n AS last, n AS n_numbers FROM n")
 def line_numbers(spark, sf_dir):
-    """The lines of each file are numbered from 1, without a gap."""
+    """All lines are numbered from 1 without a gap, through the files that tasks wrote."""
     path = _scratch(spark) + ".txt"
     _docs(spark, sf_dir).select(F.regexp_replace("text", "\r", "").alias("value")).write.text(path)
-    n = F.col("line_number")
-    files = readers.read_text(spark, path, file=True).groupBy("file").agg(F.count("*").alias("n"), F.min(n).alias("first"), F.max(n).alias("last"), F.count_distinct(n).alias("distinct"))
-    return files.agg(F.sum("n").alias("n_lines"), F.max("first").alias("first"), F.min((F.col("last") == F.col("n")) & (F.col("distinct") == F.col("n"))).alias("all_numbered"))
+    lines = readers.read_text(spark, path, through=True)
+    return lines.agg(F.count("*").alias("n_lines"), F.min("line_number").alias("first"), F.max("line_number").alias("last"), F.count_distinct("line_number").alias("n_numbers"))
 
 
 @query("src_preview", "SELECT 'doc_id,text,lang,source,n_chars' AS columns, count(*) AS n_rows, 5::BIGINT AS n_shown FROM documents")

@@ -47,9 +47,11 @@ def write_json_arrays(rows: DataFrame, path: str, at_most: int) -> None:
     rows.select("value").mapInArrow(arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
-def read_text(spark: SparkSession, path: str, file: bool = False) -> DataFrame:
+def read_text(spark: SparkSession, path: str, file: bool = False, through: bool = False) -> DataFrame:
     """Rows (text, line_number), and file if asked for: the lines that aren't blank, numbered from 1 in each file.
 
+    through: numbers go on from file to file, in order of their paths, so that a folder is numbered as one text.
+
     Lines are counted per block of a file, and a block's lines take the count of the blocks before
     it, so that no file is sorted or read by one task.
     """
@@ -57,15 +59,16 @@ def read_text(spark: SparkSession, path: str, file: bool = False) -> DataFrame:
     lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("text"), *place).filter(F.trim("text").rlike(r"\S"))
     lines = lines.withColumn("_id", F.monotonically_increasing_id())
     blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(_by_file()) - F.col("_n")
+    before = F.sum("_n").over(_by_file(through)) - F.col("_n")
     offsets = blocks.select("_file", "_block", (before - F.col("_first") + 1).alias("_shift"))
     return lines.join(offsets, ["_file", "_block"]).select("text", (F.col("_id") + F.col("_shift")).alias("line_number"), *([F.col("_file").alias("file")] if file else []))
 
 
-def _by_file():
+def _by_file(through: bool):
     from pyspark.sql import Window
 
-    return Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    window = Window.orderBy("_file", "_block") if through else Window.partitionBy("_file").orderBy("_block")  # a row per block
+    return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _column(reference: str) -> int:

@@ -46,6 +46,18 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
     assert [tuple(r) for r in got] == [(t, n + 1) for n, t in enumerate(t for t in lines if t.strip())]
 
 
+def test_lines_are_numbered_through_the_files_of_a_folder(spark, tmp_path):
+    for name, count in (("b", 700), ("a", 900), ("c", 1)):
+        (tmp_path / f"{name}.txt").write_text("\n".join(f"{name} {i:04}" for i in range(count)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = readers.read_text(spark, str(tmp_path), through=True).orderBy("line_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in got] == [(t, n + 1) for n, t in enumerate([f"a {i:04}" for i in range(900)] + [f"b {i:04}" for i in range(700)] + ["c 0000"])]
+    assert {(r["text"][0], r["line_number"]) for r in readers.read_text(spark, str(tmp_path), file=True).filter("line_number in (1, 700)").collect()} == {("a", 1), ("b", 1), ("c", 1), ("a", 700), ("b", 700)}
+
+
 def test_datasets(spark, tmp_path):
     root = f"{tmp_path}/store"
     docs, vectors = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, [0.5])], "doc_id long, embedding array<double>")
