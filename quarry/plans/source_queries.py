@@ -208,11 +208,17 @@ def stream_windows(spark, sf_dir):
 _ONE = f"SELECT min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang, count(*) > 1 AS repeated, any_value(text) AS text FROM documents GROUP BY {_TRIM.format('text')}"
 
 
-def _streamed(spark, sf_dir):
-    """The index after documents came as a stream, in several batches, in no order."""
+#: Batches of a stream of all documents, and the bytes of texts in one of its files, on the average.
+BATCHES, FILE_BYTES = 3, 64 << 20
+
+
+def _streamed(spark, sf_dir, file_bytes: int = FILE_BYTES):
+    """The index after documents came as a stream, in several batches, in no order; a batch has as many files as its texts need."""
     docs, path = _docs(spark, sf_dir), _scratch(spark)
-    docs.repartition(3).write.parquet(f"{path}/arriving")
-    ingest.ingest_documents(ingest.files(spark, f"{path}/arriving", docs.schema, "*.parquet", at_once=1), path, f"{path}/checkpoint")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    at_once = -(-size // (BATCHES * file_bytes)) or 1
+    docs.repartition(BATCHES * at_once).write.parquet(f"{path}/arriving")
+    ingest.ingest_documents(ingest.files(spark, f"{path}/arriving", docs.schema, "*.parquet", at_once=at_once), path, f"{path}/checkpoint")
     return path
 
 

@@ -71,6 +71,20 @@ def test_order_of_arrival_changes_nothing(spark, tmp_path, order):
     assert (stats["n_docs"], stats["n_tokens"], round(stats["avg_tokens"], 6)) == (7, 16, round(16 / 7, 6))
 
 
+def test_files_of_a_stream_are_bounded_and_batches_few(spark, monkeypatch):
+    from quarry.plans import source_queries
+
+    made = []
+    monkeypatch.setattr(source_queries.ingest, "files", lambda spark, folder, schema, pattern, at_once: made.append((folder, at_once)))
+    monkeypatch.setattr(source_queries.ingest, "ingest_documents", lambda *_: None)
+    size = spark.read.parquet(f"{DATA}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    for file_bytes, at_once in ((1 << 30, 1), (size // 30, 11), (size // 3 + 1, 1)):
+        source_queries._streamed(spark, DATA, file_bytes)
+        assert made[-1][1] == at_once
+        back = spark.read.parquet(made[-1][0])
+        assert back.count() == 200 and back.select(F.input_file_name()).distinct().count() == 3 * at_once
+
+
 def test_descent_finds_most_neighbours_without_all_pairs(spark):
     from quarry.operators import neighbours, similarity
 
