@@ -12,10 +12,14 @@ from .map_queries import _MAP, _assigned, _projection
 from .queries import _CHUNKS, _TOKENS, _TRIM, _docs, _table, query
 
 
+#: Rows of a CSV file: one with quoted line ends can't be split, so that a task reads whole files.
+CSV_ROWS = 10_000
+
+
 @query("src_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def src_csv(spark, sf_dir):
     path = _scratch(spark) + ".csv"
-    _docs(spark, sf_dir).write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
+    _docs(spark, sf_dir).write.option("maxRecordsPerFile", CSV_ROWS).csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
     back = readers.load_table(spark, path)
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
 

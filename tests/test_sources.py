@@ -58,6 +58,17 @@ def test_lines_are_numbered_through_the_files_of_a_folder(spark, tmp_path):
     assert {(r["text"][0], r["line_number"]) for r in readers.read_text(spark, str(tmp_path), file=True).filter("line_number in (1, 700)").collect()} == {("a", 1), ("b", 1), ("c", 1), ("a", 700), ("b", 700)}
 
 
+def test_csv_files_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from quarry.plans import source_queries
+
+    paths, load = [], readers.load_table
+    monkeypatch.setattr(source_queries, "CSV_ROWS", 30)
+    monkeypatch.setattr(source_queries.readers, "load_table", lambda spark, path: (paths.append(path), load(spark, path))[1])
+    assert source_queries.src_csv(spark, "/root/testdata/sf0.001").count() == 200
+    per_file = spark.read.csv(paths[0], header=True, multiLine=True, escape='"').groupBy("_metadata.file_path").count().agg({"count": "max"}).first()[0]
+    assert per_file <= 30
+
+
 def test_datasets(spark, tmp_path):
     root = f"{tmp_path}/store"
     docs, vectors = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, [0.5])], "doc_id long, embedding array<double>")
