@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import clusters, density, filters, layout, points, prepare, spatial
+from ..operators._tables import cut
 from .queries import _CELLS, _CLUSTERED, _SPACED, _TRIM, _clustered, _docs, _table, query
 
 _MAP = """m AS (SELECT vec_id AS doc_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label - 1 AS cluster, 0.5::DOUBLE + embedding[3]::DOUBLE AS p FROM embeddings)"""
@@ -110,7 +111,7 @@ CASE WHEN h."index" IS NOT NULL THEN 0 WHEN h.x IS NOT NULL THEN 1 WHEN parent_i
 def resolve_point(spark, sf_dir):
     """Hits that are known by one field each, in turn; resolve_point_text has those that are known by a part or by words."""
     none = F.lit(None).cast("string")
-    placed = points.join_points(_docs(spark, sf_dir), _projection(spark, sf_dir), _assigned(spark, sf_dir))
+    placed = cut(_joined(spark, sf_dir))  # hits and points both, so that texts are joined once
     all_ = placed.select(F.col("doc_id").alias("index"), "x", "y", none.alias("chunk_id"), "doc_id", none.alias("source_id"), "text")
     only = lambda k, c: F.when(F.col("doc_id") % 5 == k, F.col(c))
     hits = placed.select(F.col("doc_id").alias("hit_id"), only(0, "doc_id").alias("index"), only(1, "x").alias("x"), only(1, "y").alias("y"), none.alias("chunk_id"), only(2, "doc_id").alias("parent_id"), only(3, "doc_id").alias("doc_id"), none.alias("source_id"), only(4, "text").alias("text"))
@@ -130,7 +131,7 @@ SELECT hit_id, coalesce(r6, r7, -r8.i) AS "index", CASE WHEN r6 IS NOT NULL THEN
 def resolve_point_text(spark, sf_dir):
     """Hits that are known by a part of a text, or by some of its words in another order."""
     none = F.lit(None).cast("string")
-    placed = points.join_points(_docs(spark, sf_dir), _projection(spark, sf_dir), _assigned(spark, sf_dir))
+    placed = cut(_joined(spark, sf_dir))  # hits and points both, so that texts are joined once
     all_ = placed.select(F.col("doc_id").alias("index"), "x", "y", none.alias("chunk_id"), "doc_id", none.alias("source_id"), "text")
     few = F.array_join(F.reverse(F.slice(T.spaced(F.col("text")), 1, 12)), " ")
     known = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 11, 160)).otherwise(few)

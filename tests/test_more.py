@@ -69,6 +69,18 @@ def test_bm25_counts_a_texts_tokens_once_for_statistics_and_once_for_hits(spark)
     assert plan.count(" [A-Za-z0-9_]+, 0)") == 2 and "regexp_replace" not in plan and "split(" not in plan
 
 
+def test_points_are_found_without_a_count_of_words_if_no_hit_is_left(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("no hit asks for words")
+
+    monkeypatch.setattr(points, "_alike_texts", never)
+    from quarry.plans import map_queries
+
+    found = map_queries.resolve_point(spark, "/root/testdata/sf0.001")
+    assert found.filter("rule <= 6").count() == found.count() == 200
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("documents.parquet") == 0  # texts are joined once, in a table of their own
+
+
 def test_selections_of_any_size_are_nested_documents(spark, tmp_path):
     docs = spark.range(300).selectExpr("cast(id AS string) AS doc_id", "concat('t', id) AS text", "1 AS cluster", "0.5D AS cluster_probability", "0.0D AS x", "1.0D AS y")
     docs = docs.union(docs.limit(1).selectExpr("cast(NULL AS string)", "'none'", "cluster", "cluster_probability", "x", "y"))
