@@ -75,7 +75,8 @@ def export_v3(points: DataFrame, parents: DataFrame, chunks: DataFrame, path: st
     docs.write.json(f"{path}/documents", ignoreNullFields=False)
     mine.write.json(f"{path}/parents")
     theirs.write.json(f"{path}/chunks")
-    theirs.select("chunk_id", "doc_id").write.json(f"{path}/chunk_map")
+    written = spark.read.schema("chunk_id string, doc_id string").json(f"{path}/chunks")  # so that passages are made and joined once
+    written.write.json(f"{path}/chunk_map")
     count = spark.read.schema(_DOCUMENT).json(f"{path}/documents").count()
     head = spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(_checked(kind)).alias("export_type"), F.current_timestamp().cast("string").alias("exported_at"), F.lit(count).alias("document_count"), F.lit(original_size).cast("long").alias("original_dataset_size"), F.lit(query).cast("string").alias("query"))
     head.coalesce(1).write.json(f"{path}/manifest.json", ignoreNullFields=False)

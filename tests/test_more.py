@@ -88,6 +88,22 @@ def test_a_word_that_is_late_in_a_texts_order_brings_no_candidates(spark):
     assert sorted(r["index"] for r in got.collect()) == list(range(30, 70))
 
 
+def test_an_exports_chunk_map_names_the_passages_that_were_written(spark, tmp_path):
+    import uuid
+
+    import pyarrow as pa
+
+    def named(batches):  # other ids each time that passages are made
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex for _ in range(b.num_rows)]), b.column(0)], names=["chunk_id", "parent_id"])
+
+    docs = spark.range(5).selectExpr("cast(id AS string) AS doc_id", "'t' AS text", "1 AS cluster", "0.5D AS cluster_probability", "0.0D AS x", "1.0D AS y")
+    chunks = docs.select("doc_id").mapInArrow(named, "chunk_id string, parent_id string").selectExpr("*", "0 AS position", "'c' AS text", "array(1.0F) AS vector")
+    exports.export_v3(docs, docs.selectExpr("doc_id", "array(1.0F) AS vector"), chunks, f"{tmp_path}/out")
+    ids = lambda name: sorted((r["chunk_id"], r["doc_id"]) for r in spark.read.schema("chunk_id string, doc_id string").json(f"{tmp_path}/out/{name}").collect())
+    assert len(ids("chunks")) == 5 and ids("chunk_map") == ids("chunks")
+
+
 def test_selections_of_any_size_are_nested_documents(spark, tmp_path):
     docs = spark.range(300).selectExpr("cast(id AS string) AS doc_id", "concat('t', id) AS text", "1 AS cluster", "0.5D AS cluster_probability", "0.0D AS x", "1.0D AS y")
     docs = docs.union(docs.limit(1).selectExpr("cast(NULL AS string)", "'none'", "cluster", "cluster_probability", "x", "y"))
