@@ -12,9 +12,12 @@ import sys
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import regex
 
+from ._shared import kept
+
 #: The tokenizer file's special tokens and split pattern, in its order.
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 _WIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -35,7 +38,7 @@ def normalise(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
-@lru_cache(maxsize=2)
+@kept
 def _model(path: str):
     from tokenizers import Tokenizer
 
@@ -45,25 +48,25 @@ def _model(path: str):
 @lru_cache(maxsize=2)
 def unlike(path: str) -> re.Pattern:
     """Finds characters that Python's Unicode version doesn't know, and marks and composed characters that the library orders or composes otherwise."""
-    by_library, found = _model(path).normalizer.normalize_str, set()
-    for k in range(sys.maxunicode + 1):
+    by_library, found = _model(path).normalizer.normalize_str, bytearray(sys.maxunicode + 3)  # a byte for each code point, from place 1 on
+    found[0x40001:0xE0001] = b"\1" * 0xA0000  # planes that hold no character as yet
+    for k in chain(range(0x40000), range(0xE0000, sys.maxunicode + 1)):
         c = chr(k)
         if unicodedata.category(c) == "Cn":
-            found.add(k)
+            found[k + 1] = 1
         elif unicodedata.combining(c):
             if any(by_library(t) != normalise(t) for mark in _MARKS for t in (f"x{c}{mark}", f"x{mark}{c}")):
-                found.add(k)
+                found[k + 1] = 1
         elif not 0xAC00 <= k < 0xD7A4 and unicodedata.decomposition(c)[:1] not in ("", "<"):
             parts = unicodedata.normalize("NFD", c)
             if by_library(parts) != normalise(parts) or by_library(c) != normalise(c):
-                found |= {k, ord(parts[-1])}
-    order = sorted(found)
-    first = [c for c in order if c - 1 not in found]
-    last = [c for c in order if c + 1 not in found]
+                found[k + 1] = found[ord(parts[-1]) + 1] = 1
+    first = [m.start() - 1 for m in re.finditer(rb"(?<=\x00)\x01", found)]
+    last = [m.start() - 2 for m in re.finditer(rb"(?<=\x01)\x00", found)]
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True)) + "]")
 
 
-@lru_cache(maxsize=2)
+@kept
 def library_split(path: str) -> Callable[[str], list[str]]:
     """Normalising and splitting by the library, for texts that hold no special token."""
     model = _model(path)

@@ -17,7 +17,6 @@ proportion to their length. Extra columns pass through; an existing result colum
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._pieces import split_pieces
-from ._shared import releasing, text_chunks
+from ._shared import kept, releasing, text_chunks
 
 #: Of these many entries, of up to about 300 and 120 bytes, caches stay under 30 MB and 12 MB in each worker.
 CACHED_PIECES = 100_000
@@ -149,12 +148,12 @@ class PieceCache(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
+@kept
 def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
-@lru_cache(maxsize=2)
+@kept
 def _cache(path: str) -> PieceCache:
     return PieceCache(encoder(path).piece)
 
@@ -208,12 +207,12 @@ def _decoding(tokenizer: str, ids: str, into: str, at_once: int):
 
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Adds the token ids of each text. tokenizer: path of the file, which every machine must have."""
-    return df.mapInArrow(releasing(_encoding(tokenizer, text, into)), _schema(df, into, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(releasing(_encoding(tokenizer, text, into), keeps=True), _schema(df, into, T.ArrayType(T.IntegerType())))
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded", at_once: int = 1 << 20) -> DataFrame:
     """Adds the text of each list of ids: the tokens' strings joined by a space, as a tokenizer without a decoder does."""
-    return df.mapInArrow(releasing(_decoding(tokenizer, ids, into, at_once)), _schema(df, into, T.StringType()))
+    return df.mapInArrow(releasing(_decoding(tokenizer, ids, into, at_once), keeps=True), _schema(df, into, T.StringType()))
 
 
 def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", at_once: int = 1 << 20) -> DataFrame:
@@ -221,4 +220,4 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str =
     encode, decode = _encoding(tokenizer, text, ids), _decoding(tokenizer, ids, decoded, at_once)
     kind = T.StructType([*_schema(df, ids, T.ArrayType(T.IntegerType()))])
     kind = T.StructType([*(f for f in kind if f.name.lower() != decoded.lower()), T.StructField(decoded, T.StringType())])
-    return df.mapInArrow(releasing(lambda batches: decode(encode(batches))), kind)
+    return df.mapInArrow(releasing(lambda batches: decode(encode(batches)), keeps=True), kind)

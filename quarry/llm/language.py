@@ -33,6 +33,8 @@ SAMPLE_ROWS = 3000
 DIMENSIONS = 4096
 UNDETERMINED = "und"
 AMBIGUOUS_MARGIN = 0.02
+#: Texts whose counts are made at once; the arrays of a step are a few times 4,096 numbers a text.
+BATCH_ROWS = 128
 
 #: ASCII that is not a letter counts as one separator, so that layout does not look like a language.
 _FOLD = LOWER.copy()
@@ -134,7 +136,7 @@ def learn(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "tex
     @releasing
     def run(batches):
         for batch in batches:
-            for at, end, data, offs in text_chunks(batch, rows=512):
+            for at, end, data, offs in text_chunks(batch, rows=BATCH_ROWS):
                 counts = ngram_counts(data, offs)
                 places = [np.flatnonzero(c).astype(np.int32) for c in counts]
                 yield pa.RecordBatch.from_pylist(
@@ -163,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", margin:
         for batch in batches:
             keep = [k for k, f in enumerate(batch.schema) if f.name.lower() not in names]
             texts = batch.column(batch.schema.get_field_index(text))
-            for at, end, data, offs in text_chunks(batch, text, rows=512):
+            for at, end, data, offs in text_chunks(batch, text, rows=BATCH_ROWS):
                 n = end - at
                 letters = np.diff(np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[offs]) > 0
                 for k in np.flatnonzero(~letters):
