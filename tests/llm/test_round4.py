@@ -47,3 +47,35 @@ def test_languages_are_counted_few_texts_at_once(monkeypatch):
 
     found = language.identify(Docs(), model)
     assert len(found) == 1000 and {r["lang_pred"] for r in found} == {"a"} and max(rows) <= 128
+
+
+def test_a_full_cache_keeps_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_PIECES", 8)
+    monkeypatch.setattr(token_files, "LONGEST_PIECE", 12)
+    pieces = token_files.LibraryPieces(TOKENIZER)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["one two three four five six seven", None, "", "one <|endoftext|> " + "x" * 40, "Ünder one's 12 été"] * 2
+    for some in (texts[:4], texts[4:], texts):
+        ids, ends = pieces.encode_all(some)
+        got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+        assert got == [[*plain.encode(t or "", add_special_tokens=False).ids, token_files.END_ID] for t in some]
+        assert {None, "<|endoftext|>", "one"} <= set(pieces) and not any(len(p or "") > 15 for p in pieces)
+
+
+def test_ids_are_read_without_a_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k} of some words") for k in range(200)], "doc_id long, text string")
+    token_files.write_tokens(docs, f"{tmp_path}/tokens", TOKENIZER)
+    read = token_files.read_tokens(spark, f"{tmp_path}/tokens")
+    rows = sorted((r["key"], r["start"], r["n_tokens"]) for r in read.collect())
+    assert [s for _, s, _ in rows] == [sum(n for _, _, n in rows[:k]) for k in range(200)]
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1"}  # a size that the planner can't see is no reason to shuffle
+    for name, value in off.items():
+        spark.conf.set(name, value)
+    try:
+        plan = token_files.read_tokens(spark, f"{tmp_path}/tokens")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in off:
+            spark.conf.unset(name)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
