@@ -3,11 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and gives a table; all but the last give the columns of
 documents. Rows of null or empty text have no language and end at the first stage. Extra columns
 pass through all stages but the last, which gives doc_id, ids, n_tokens and the SHA-256 of the text that the
-ids decode to. Empty tables stay empty.
+ids decode to. Empty tables stay empty. A stage bounds the session's Arrow batches, which stay so, as its table is made later.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +22,20 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Passages of over 50 words that occur elsewhere are cut; so many words, and a space between each, have at least PASSAGE_BYTES.
 PASSAGE_WORDS = 51
 PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
+#: Rows go to Python workers in batches of about so many bytes, of which each task holds some beside the heap; 10,000 texts are many times that.
+BATCH_BYTES = 2 << 20
+
+
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and those whose two best languages can't be told apart, go."""
     model = language.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
@@ -30,17 +45,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return sure.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
     return near_text.keep_one(docs)
 
 
+@in_small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words, and strings of 400 bytes, that occur elsewhere go; characters cut apart go as a whole."""
     cut = suffixes.cut_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@in_small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold most of a benchmark item go; they are known by their texts, as ids may be null or repeated."""
     texts = docs.select(F.xxhash64("text").alias("row"), "text")
@@ -49,6 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(few, F.xxhash64(docs["text"]) == few["found"], "left_anti").select(*docs.columns)
 
 
+@in_small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text that they decode to."""
     return bpe.bpe_round_trip(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
