@@ -160,7 +160,7 @@ def word_score(lowered: Column, word: str) -> Column:
     whole = F.regexp_count(lowered, F.lit(f"(?<![{WORD}]){w}(?![{WORD}])"))
     start = F.regexp_count(lowered, F.lit(f"(?<![{WORD}]){w}(?=[{WORD}])"))
     early = F.greatest(F.lit(0), F.lit(25) - F.floor((F.instr(lowered, word) - 1) / 20))
-    return F.when(F.contains(lowered, F.lit(word)), 30 * whole + 20 * start + 15 * (total - whole - start) + early).otherwise(0)
+    return F.when(F.contains(lowered, F.lit(word)), 15 * whole + 5 * start + 15 * total + early).otherwise(0)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -134,23 +134,28 @@ def query_fast_words(query: str) -> list[str]:
 
 
 def fast_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, score, match_count) of texts whose score is positive, by all of the query's words as they stand in the text."""
+    """Rows (key, score, match_count) of texts whose score is positive, by all of the query's words as they stand in the text.
+
+    What is made of a text comes out of inline(), so that neither a filter nor a sum makes it anew.
+    """
     words, phrase = list(dict.fromkeys(query_fast_words(query))), query.strip().lower()
-    rows = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    rows = rows.select("*", *(T.word_score(F.col("_t"), w).alias(f"_s{k}") for k, w in enumerate(words)))
+    made = lambda *c: F.inline(F.array(F.struct(*c)))
+    rows = docs.select(key, made(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t")))
+    rows = rows.select("*", made(F.lit(0).alias("_s"), *(T.word_score(F.col("_t"), w).alias(f"_s{k}") for k, w in enumerate(words))))
     each = [F.col(f"_s{k}") for k in range(len(words))]
     if not each:
         return rows.filter(F.lit(False)).select(key, F.lit(0).cast("long").alias("score"), F.lit(0).alias("match_count"))
     total = sum(each[1:], each[0])
     count = sum(((s > 0).cast("int") for s in each[1:]), (each[0] > 0).cast("int"))
-    spaced = T.spaced(F.col("_t"))
+    rows = rows.filter(sum(each[1:], each[0]) > 0).select("*", made(T.spaced(F.col("_t")).alias("_w")))
+    spaced = F.col("_w")
     if len(words) > 1:
         total = total + F.when(count > 1, 10 * count).otherwise(0)
     if len(phrase) > 3:
         total = total + F.when(F.contains("_t", F.lit(phrase)), 50).otherwise(0)
     total = total + F.when(F.exists(F.slice(spaced, 1, 5), lambda w: w.contains(words[0])), 30).otherwise(0)
     total = F.when(F.size(spaced) > 100, total * F.lit(0.9)).otherwise(total * F.lit(1.0))
-    return rows.filter(sum(each[1:], each[0]) > 0).select(key, F.floor(total + 0.5).alias("score"), count.alias("match_count")).filter("score > 0")
+    return rows.select(key, made(F.floor(total + 0.5).alias("score"), count.alias("match_count"))).filter("score > 0")
 
 
 def _has_match(text: Column, lowered: Column, words: list[str], fuzzy: bool) -> Column:
