@@ -81,9 +81,14 @@ def is_small(df: DataFrame) -> bool:
     return sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths) <= BROADCAST_BYTES
 
 
-def attach(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+def light(other: DataFrame) -> DataFrame:
+    """other, a cut table, to be broadcast if it is small."""
+    return F.broadcast(other) if is_small(other) else other
+
+
+def attach(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """join_unique(), by broadcast if other is small: rows stay where they are."""
-    return rows.join(F.broadcast(other), keys) if is_small(other) else join_unique(rows, other, keys)
+    return rows.join(F.broadcast(other), keys, how) if is_small(other) else join_unique(rows, other, keys, how)
 
 
 def join_unique(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -4,8 +4,9 @@ The distance of two points counts as no less than either's core distance, that t
 neighbour, itself included. Three steps, each as rows and joins:
 
 1. spanning_tree(): Boruvka's rounds. Each component takes its least outgoing edge; the neighbour
-   lists settle most, and only points whose lists can't are compared, in blocks, with all rows. The
-   largest component need not be searched.
+   lists settle most, and only points whose lists can't are compared, in blocks, with all rows; products
+   in single precision rule out, by bounds of their rounding, what can't be under the least edge that is
+   known. The largest component need not be searched.
 2. chains(): the tree is contracted again by the least edge of each vertex, at most log2(n) times.
    What merges with one vertex of a level, in order of distance, is a chain: each of its rows adds
    the whole of a lower chain. So a component's size at any distance is a running sum along a chain,
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ._tables import cut, join_unique, running, tidied
+from ._tables import attach, cut, is_small, light, running, tidied
 from .clusters import NOISE
-from .similarity import QUERY_BLOCK, ROW_BLOCK, knn, matrix, squared_distances
+from .similarity import QUERY_BLOCK, ROW_BLOCK, TILE, candidates, halves, knn, pieces, slack, squared_distances
 
 NEIGHBOURS = 15
 LEAST_DISTANCE = 1e-12
@@ -49,63 +50,79 @@ def cores(near: DataFrame, points: DataFrame, min_samples: int) -> DataFrame:
     return points.join(listed.withColumnRenamed("u", "p"), "p", "left").select("p", "v", F.coalesce("core", F.lit(0.0)).alias("core"), F.when(F.col("n").isNull() | few, float("inf")).otherwise(F.greatest("core", "far")).alias("known"))
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part: its rows come first, then blocks of queries, each of which gets its least edge to a row of another component."""
-    part, held, x = None, [], None
-    names = ("ids", "component", "core")
-
-    def opened(row):
-        got = [np.frombuffer(row[n], dtype="<i8" if n != "core" else "<f8") for n in names]
-        return (*got, np.frombuffer(row["matrix"], dtype="<f8").reshape(len(got[0]), -1))
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != part:
-                part, held, x = row["part"], [], None
-            if not row["asks"]:
-                held.append(opened(row))
-                continue
-            if not held:
-                continue
-            if x is None:
-                x = [np.concatenate(c) for c in zip(*held, strict=True)]
-            q = opened(row)
-            far = np.maximum(np.maximum(np.sqrt(squared_distances(q[3], x[3])), q[2][:, None]), x[2][None, :])
-            far[q[1][:, None] == x[1][None, :]] = np.inf
-            least = far.min(axis=1)
-            i, j = np.nonzero(far <= (least + 1e-6 * (1 + least))[:, None])
-            fine = np.isfinite(least[i])
-            i, j = i[fine], j[fine]
-            if not len(i):
-                continue
-            exact = np.maximum(np.maximum(np.sqrt(((q[3][i] - x[3][j]) ** 2).sum(axis=1)), q[2][i]), x[2][j])
-            a, b = np.minimum(q[0][i], x[0][j]), np.maximum(q[0][i], x[0][j])
-            order = np.lexsort((b, a, exact, i))
-            first = order[np.concatenate([[True], np.diff(i[order]) > 0])]
-            yield pa.RecordBatch.from_arrays([pa.array(q[1][i[first]]), pa.array(exact[first]), pa.array(a[first]), pa.array(b[first])], names=["c", "w", "a", "b"])
-
-
-def _packed(block: int):
-    """Rows of (ids, component, core, matrix) of at most block points (p, c, core, v)."""
-
-    def run(batches):
+#: Columns of points in blocks, beside their ids and vectors: component, core distance and, of those that ask, the least edge that their component has so far.
+BESIDE = (("c", "<i8"), ("core", "<f8"), ("best", "<f8"))
+
+
+def _least(q: list[np.ndarray], x: list[np.ndarray], single: np.ndarray) -> pa.RecordBatch | None:
+    """Of blocks (ids, c, core, best, vectors) that ask and of rows, the least edge of each component that asks to a row of another, if it is none above best."""
+    asks, length, far = halves(q[4], True), np.sqrt((q[4] * q[4]).sum(axis=1)), np.sqrt((x[4] * x[4]).sum(axis=1))
+    best, found = q[3].copy(), []
+    for at in range(0, len(x[0]), TILE[1]):
+        rows = [c[at : at + TILE[1]] for c in x]
+        off, some = slack(length, far[at : at + TILE[1]], q[4].shape[1]), None
+        if off is not None and np.isfinite(best).all():
+            some = candidates(asks, single[at : at + TILE[1]], (length**2 - best**2) / 2 - off)
+        if some is None:
+            near = np.maximum(np.maximum(np.sqrt(squared_distances(q[4], rows[4])), q[2][:, None]), rows[2][None, :])
+            near[q[1][:, None] == rows[1][None, :]] = np.inf
+            least = np.minimum(near.min(axis=1), best)
+            some = np.nonzero((near <= (least + 1e-6 * (1 + least))[:, None]) & np.isfinite(near))
+        i, j = some
+        other = q[1][i] != rows[1][j]
+        i, j = i[other], j[other]
+        for a in range(0, len(i), 65536):
+            u, v = i[a : a + 65536], j[a : a + 65536]
+            exact = np.maximum(np.maximum(np.sqrt(((q[4][u] - rows[4][v]) ** 2).sum(axis=1)), q[2][u]), rows[2][v])
+            keep = exact <= best[u]
+            u, v, exact = u[keep], v[keep], exact[keep]
+            if len(u):
+                found.append((q[1][u], exact, np.minimum(q[0][u], rows[0][v]), np.maximum(q[0][u], rows[0][v])))
+                np.minimum.at(best, u, exact)
+    if not found:
+        return None
+    c, w, a, b = (np.concatenate(f) for f in zip(*found, strict=True))
+    order = np.lexsort((b, a, w, c))
+    first = order[np.concatenate([[True], np.diff(c[order]) > 0])]
+    return pa.RecordBatch.from_arrays([pa.array(f[first]) for f in (c, w, a, b)], names=["c", "w", "a", "b"])
+
+
+def _search(kind: str):
+    """Per part: its rows come first and are held, then blocks of points that ask; a row for each block and component leaves it."""
+
+    def opened(batch: pa.RecordBatch, p: int) -> list[np.ndarray]:
+        got = [np.frombuffer(batch.column(n)[p].as_buffer(), dtype=t) for n, t in (("ids", "<i8"), *BESIDE)]
+        return [*got, np.frombuffer(batch.column("matrix")[p].as_buffer(), dtype=kind).reshape(len(got[0]), -1).astype(np.float64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, x, single = [], None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                raw = [pa.array([part.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in (("p", "<i8"), ("c", "<i8"), ("core", "<f8"))]
-                yield pa.RecordBatch.from_arrays([*raw, pa.array([matrix(part.column("v")).tobytes()], pa.binary())], names=["ids", "component", "core", "matrix"])
+            for p, asks in enumerate(batch.column("asks").to_pylist()):
+                if not asks:
+                    held.append(opened(batch, p))
+                    continue
+                if not held:
+                    continue
+                if x is None:
+                    x = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    single = halves(x[-1], False)
+                least = _least(opened(batch, p), x, single)
+                if least is not None:
+                    yield least
 
     return run
 
 
 def outside(asked: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """Rows (c, w, a, b): of each asked point (p, c, core, v) the least edge to a row of another component, exact; a row per part."""
-    parts = max(1, -(-n // ROW_BLOCK))
-    names = ["ids", "component", "core", "matrix"]
-    schema = "ids binary, component binary, core binary, matrix binary"
-    held = rows.mapInArrow(_packed(ROW_BLOCK // 8), schema).select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), *names)
-    asks = asked.mapInArrow(_packed(QUERY_BLOCK), schema).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), *names)
-    return held.unionByName(asks).repartition(parts, "part").sortWithinPartitions("part", "asks").mapInArrow(_search, "c long, w double, a long, b long")
+    """Rows (c, w, a, b): the least edge to a row of another component of asked points (p, c, core, best, v), exact, if it isn't above best (null: none is known)."""
+    spark, kind = rows.sparkSession, "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
+    parts = max(1, -(-n // ROW_BLOCK), min(spark.sparkContext.defaultParallelism, n // (4 * QUERY_BLOCK)))
+    names = ["ids", *(c for c, _ in BESIDE), "matrix"]
+    schema = ", ".join(f"{c} binary" for c in names)
+    packed = lambda df: df.select(F.col("p").alias("id"), "c", "core", F.coalesce("best", F.lit(float("inf"))).alias("best"), "v").mapInArrow(pieces(kind, QUERY_BLOCK, BESIDE), schema)
+    held = packed(rows.withColumn("best", F.lit(0.0))).repartition(parts).select(F.spark_partition_id().alias("part"), F.lit(False).alias("asks"), *names)
+    asks = packed(asked).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), *names)
+    return held.unionByName(asks).repartitionById(parts, "part").sortWithinPartitions("asks").mapInArrow(_search(kind), "c long, w double, a long, b long")
 
 
 def roots(points: DataFrame) -> DataFrame:
@@ -113,7 +130,7 @@ def roots(points: DataFrame) -> DataFrame:
     at = cut(points.select("x", F.col("to").alias("root")))
     while True:
         step = at.select(F.col("x").alias("root"), F.col("root").alias("beyond"))
-        once = join_unique(at, step, ["root"]).select("x", F.col("root").alias("old"), F.col("beyond").alias("root"))
+        once = attach(at, step, ["root"]).select("x", F.col("root").alias("old"), F.col("beyond").alias("root"))
         after = cut(once)
         at = after.select("x", "root")
         if after.filter("root <> old").isEmpty():
@@ -123,41 +140,46 @@ def roots(points: DataFrame) -> DataFrame:
 def _pointers(picks: DataFrame) -> DataFrame:
     """Pointers (x, to) of picks (x, w, e, other); of two that pick each other the smaller is a root."""
     back = picks.select(F.col("x").alias("other"), F.col("other").alias("of"))
-    mutual = join_unique(picks, cut(back), ["other"])
+    mutual = attach(picks, back, ["other"])
     return mutual.select("x", F.when((F.col("of") == F.col("x")) & (F.col("x") < F.col("other")), F.col("x")).otherwise(F.col("other")).alias("to"))
 
 
 def spanning_tree(points: DataFrame, near: DataFrame) -> DataFrame:
     """Edges (a, b, w) of the minimum spanning tree, by (w, a, b), of points (p, v, core, known) with lists near (u, v, d)."""
-    n = points.count()
-    of = points.select("p", "core")
-    lists = join_unique(near.select("u", "v", "d"), of.toDF("v", "cv"), ["v"]).join(of.toDF("u", "core"), "u")
+    facts = cut(points.select("p", "core", "known"))
+    n, of = facts.count(), facts.select("p", "core")
+    lists = attach(near.select("u", "v", "d"), of.toDF("v", "cv"), ["v"]).join(light(of.toDF("u", "core")), "u")
     lists = cut(lists.select("u", "v", F.greatest("d", "core", "cv").alias("w")))
     at, found = cut(points.select("p", F.col("p").alias("c"))), []
     edge = F.struct("w", "a", "b")
     while True:
-        here = cut(points.join(at, "p"))
-        sizes = here.groupBy("c").agg(F.count("*").alias("n"))
-        largest = sizes.orderBy(F.desc("n"), "c").first()
+        largest = at.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").first()
         if largest is None or largest["n"] == n:
             break
-        ends = join_unique(cut(lists.join(at.select(F.col("p").alias("u"), "c"), "u")), at.select(F.col("p").alias("v"), F.col("c").alias("cv")), ["v"]).filter("c <> cv")
+        from_ = lists.join(light(at.select(F.col("p").alias("u"), "c")), "u")
+        from_ = from_ if is_small(at) else cut(from_)
+        ends = cut(attach(from_, at.select(F.col("p").alias("v"), F.col("c").alias("cv")), ["v"]).filter("c <> cv"))
+        lists = ends.select("u", "v", "w")  # what lies within a component is of no more use
         listed = ends.select("c", "w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         listed = cut(listed.groupBy("c").agg(F.min(edge).alias("m")).select("c", "m.*"))
-        open_ = here.join(listed.select("c", F.col("w").alias("best")), "c", "left").filter(F.col("known") < F.coalesce("best", F.lit(float("inf"))))
-        asked = cut(open_.filter(F.col("c") != largest["c"]).select("p", "c", "core", "v"))
+        here = facts.join(light(at), "p").join(light(listed.select("c", F.col("w").alias("best"))), "c", "left")
+        open_ = cut(here.filter(F.col("known") < F.coalesce("best", F.lit(float("inf")))).select("p", "c", "core", "best"))
+        asks = open_.filter(F.col("c") != largest["c"])
         late = not open_.filter(F.col("c") == largest["c"]).isEmpty()
         known = listed.filter(F.col("c") != largest["c"]) if late else listed
-        best = known if asked.isEmpty() else known.unionByName(outside(asked, here, n))
+        best = known
+        if not asks.isEmpty():
+            vectors = points.select("p", "v")
+            best = known.unionByName(outside(vectors.join(light(asks), "p"), points.select("p", "core", "v").join(light(at), "p"), n))
         picks = cut(best.groupBy("c").agg(F.min(edge).alias("m")).select("c", "m.*"))
         edges = cut(picks.select("a", "b", "w").distinct())
         found.append(edges)
-        ends = edges.join(at.select(F.col("p").alias("a"), F.col("c").alias("ca")), "a").join(at.select(F.col("p").alias("b"), F.col("c").alias("cb")), "b")
+        ends = edges.join(light(at.select(F.col("p").alias("a"), F.col("c").alias("ca"))), "a").join(light(at.select(F.col("p").alias("b"), F.col("c").alias("cb"))), "b")
         both = cut(picks.join(ends, ["a", "b", "w"]).select(F.col("c").alias("x"), F.when(F.col("c") == F.col("ca"), F.col("cb")).otherwise(F.col("ca")).alias("other")))
-        over = at.select(F.col("c").alias("x")).distinct().join(both.select("x"), "x", "left_anti").withColumn("other", F.col("x"))  # the largest may have picked none
+        over = at.select(F.col("c").alias("x")).distinct().join(light(both.select("x")), "x", "left_anti").withColumn("other", F.col("x"))  # the largest may have picked none
         points_to = cut(both.unionByName(over))
         merged = roots(_pointers(points_to)).select(F.col("x").alias("c"), "root")
-        at = cut(join_unique(at, cut(merged), ["c"]).select("p", F.col("root").alias("c")))
+        at = cut(attach(at, merged, ["c"]).select("p", F.col("root").alias("c")))
     if not found:
         return points.select(F.col("p").alias("a"), F.col("p").alias("b"), F.lit(0.0).alias("w")).filter(F.lit(False))
     return _together(found)
@@ -187,7 +209,7 @@ def chains(points: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
         last = light.isEmpty()
         own = light.select("x", F.col("w").alias("lw"), F.col("e").alias("le"))
         if waiting is not None:  # what is nearer than the vertex's least edge belongs to its chain, the rest goes on
-            seen = cut(waiting.withColumns({"lw": F.lit(None).cast("double"), "le": F.lit(None).cast("long")}) if last else join_unique(waiting, own, ["x"], "left"))
+            seen = cut(waiting.withColumns({"lw": F.lit(None).cast("double"), "le": F.lit(None).cast("long")}) if last else attach(waiting, own, ["x"], "left"))
             stays = F.col("lw").isNull() | (F.struct("w", "e") < F.struct("lw", "le"))
             rows.append(seen.filter(stays).select(F.lit(level).alias("level"), *names))
             totals = cut(seen.filter(stays).groupBy("x").agg(F.sum("z").alias("total")))
@@ -198,10 +220,10 @@ def chains(points: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
         to = roots(_pointers(light))
         fresh = light.join(totals, "x").select("x", "w", "e", F.lit(level).alias("child_level"), F.col("x").alias("child"), F.col("total").alias("z"))
         moving = cut(fresh if waiting is None else fresh.unionByName(waiting))
-        waiting = cut(join_unique(moving, to, ["x"]).select(F.col("root").alias("x"), *names[1:]))
+        waiting = cut(attach(moving, to, ["x"]).select(F.col("root").alias("x"), *names[1:]))
         rest = cut(left.join(light.select("e").distinct(), "e", "left_anti"))
-        moved = cut(join_unique(rest, to, ["x"]).select("w", "e", F.col("root").alias("x"), "y"))
-        left = cut(join_unique(moved, to.select(F.col("x").alias("y"), F.col("root").alias("to")), ["y"]).select("w", "e", "x", F.col("to").alias("y")))
+        moved = cut(attach(rest, to, ["x"]).select("w", "e", F.col("root").alias("x"), "y"))
+        left = cut(attach(moved, to.select(F.col("x").alias("y"), F.col("root").alias("to")), ["y"]).select("w", "e", "x", F.col("to").alias("y")))
         level += 1
     if not rows:
         return points.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("x")).limit(0), _together(ends)
@@ -245,7 +267,7 @@ def condensed(points: DataFrame, tree: DataFrame, min_size: int) -> tuple[DataFr
 
     def with_cluster(df: DataFrame, level: str, x: str, known: str, into: str) -> DataFrame:
         keyed = cut(df.withColumns({"t_level": F.when(F.col(known).isNull(), F.col(level)), "t_x": F.when(F.col(known).isNull(), F.col(x))}))
-        return join_unique(keyed, named, ["t_level", "t_x"], "left").withColumn(into, F.coalesce(known, "t_cluster")).drop("t_level", "t_x", "t_cluster")
+        return attach(keyed, named, ["t_level", "t_x"], "left").withColumn(into, F.coalesce(known, "t_cluster")).drop("t_level", "t_x", "t_cluster")
 
     flat = rows.select("*", F.col("was.cluster").alias("wc"), F.col("was.level").alias("wl"), F.col("was.x").alias("wx"), F.lit(None).cast("long").alias("none"))
     before = with_cluster(flat, "wl", "wx", "wc", "here")  # the cluster that a row's chain is in before it
@@ -260,7 +282,7 @@ def condensed(points: DataFrame, tree: DataFrame, min_size: int) -> tuple[DataFr
     # where a chain first has min_size points: all before leave there, for the cluster that begins or that is met
     starts = both.filter(~active & (F.col("before") + F.col("z") >= min_size)).select("level", "x", F.col("w").alias("sw"), F.when(big, F.col("there")).otherwise(F.col("e")).alias("sc"))
     few = cut(both.filter(small))
-    met = join_unique(few, cut(starts), ["level", "x"], "left")
+    met = attach(few, cut(starts), ["level", "x"], "left")
     fates = cut(met.select(F.col("child_level").alias("level"), F.col("child").alias("x"), F.when(active, F.col("here")).otherwise(F.col("sc")).alias("cluster"), F.when(active, F.col("w")).otherwise(F.col("sw")).alias("w"), F.col("level").alias("to_level"), F.col("x").alias("to_x")))
     while not fates.filter("cluster is null").isEmpty():  # chains that stay small leave as the chain that they are part of does
         up = fates.select(F.col("level").alias("to_level"), F.col("x").alias("to_x"), F.col("cluster").alias("uc"), F.col("w").alias("uw"), F.col("to_level").alias("ul"), F.col("to_x").alias("ux"))
@@ -303,7 +325,7 @@ def _best_in_rounds(clusters: DataFrame) -> DataFrame:
     at = cut(best.select("cluster", F.when(F.col("wins"), F.col("cluster")).alias("chosen"), "parent"))
     while not at.filter("parent is not null").isEmpty():
         up = at.select(F.col("cluster").alias("parent"), F.col("chosen").alias("above"), F.col("parent").alias("beyond"))
-        at = cut(join_unique(at, up, ["parent"], "left").select("cluster", F.coalesce("above", "chosen").alias("chosen"), F.col("beyond").alias("parent")))
+        at = cut(attach(at, up, ["parent"], "left").select("cluster", F.coalesce("above", "chosen").alias("chosen"), F.col("beyond").alias("parent")))
     return at.select("cluster", "chosen")
 
 
@@ -313,7 +335,8 @@ def hdbscan(vectors: DataFrame, min_cluster_size: int = 5, min_samples: int = 5,
 
     A table of fewer points than min_cluster_size is noise.
     """
-    rows = vectors.filter(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("p"), V.finite(F.col(embedding)).alias("v"))
+    kind = "float" if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("p"), V.finite(F.col(embedding)).cast(f"array<{kind}>").alias("v"))
     rows = cut(rows.groupBy("p").agg(F.min("v").alias("v")))
     near = cut(knn(rows, None, max(neighbours, min_samples), "euclidean", "p", "v").select(F.col("query_id").alias("u"), F.col("neighbour_id").alias("v"), (-F.col("score")).alias("d"), "rank"))
     points = cut(cores(near, rows, min_samples))
@@ -323,20 +346,21 @@ def hdbscan(vectors: DataFrame, min_cluster_size: int = 5, min_samples: int = 5,
         return points.select(F.col("p").alias(key), F.lit(NOISE).alias("cluster"), F.lit(0.0).alias("cluster_probability"), empty("outlier_score", "double"))
     leaves, clusters = found
     density = lambda w: 1 / F.greatest(w, F.lit(LEAST_DISTANCE))
-    left = leaves.groupBy("cluster").agg(F.sum(density(F.col("w"))).alias("left"))
-    whole = F.coalesce("left", F.lit(0.0)) + F.when(F.col("splits"), F.col("at_end") * density(F.col("w"))).otherwise(0.0)
     born = F.when(F.col("born").isNull(), 0.0).otherwise(density(F.col("born")))
-    stable = cut(clusters.join(left, "cluster", "left").select("cluster", "parent", "w", (whole - born * F.col("size")).alias("stability")))
+    # differences first, so that a cluster which ends where it begins has a stability of 0, not of what sums are off by
+    left = attach(leaves, clusters.select("cluster", "born"), ["cluster"]).groupBy("cluster").agg(F.sum(density(F.col("w")) - born).alias("left"))
+    whole = F.coalesce("left", F.lit(0.0)) + F.when(F.col("splits"), F.col("at_end") * (density(F.col("w")) - born)).otherwise(0.0)
+    stable = cut(clusters.join(left, "cluster", "left").select("cluster", "parent", "w", whole.alias("stability")))
     if stable.count() <= clusters_at_once:
         chosen = cut(stable.repartition(1).mapInArrow(_best_of, "cluster long, chosen long"))
     else:
         chosen = cut(_best_in_rounds(stable))
     ended = chosen.filter("chosen is not null").join(stable.select(F.col("cluster").alias("chosen"), F.col("w").alias("end")), "chosen")
-    member = cut(join_unique(leaves, cut(ended), ["cluster"]).select("p", "chosen", F.least(F.lit(1.0), F.greatest("end", F.lit(LEAST_DISTANCE)) / F.greatest("w", F.lit(LEAST_DISTANCE))).alias("probability")))
+    member = cut(attach(leaves, cut(ended), ["cluster"]).select("p", "chosen", F.least(F.lit(1.0), F.greatest("end", F.lit(LEAST_DISTANCE)) / F.greatest("w", F.lit(LEAST_DISTANCE))).alias("probability")))
     sizes = member.groupBy("chosen").agg(F.count("*").alias("n"), F.min("p").alias("first"))
     from pyspark.sql import Window
 
     numbered = cut(sizes.select("chosen", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("cluster")))  # a row per cluster
-    labelled = join_unique(member, numbered, ["chosen"])
+    labelled = attach(member, numbered, ["chosen"])
     out = points.select("p").join(labelled, "p", "left")
     return out.select(F.col("p").alias(key), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"), F.coalesce("probability", F.lit(0.0)).alias("cluster_probability"), empty("outlier_score", "double"))

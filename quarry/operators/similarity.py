@@ -16,6 +16,10 @@ from ..functions import vectors as V
 RRF_OFFSET, VECTOR_WEIGHT = 60, 0.6
 #: Rows of queries and of candidates that meet in one unit of work.
 QUERY_BLOCK, ROW_BLOCK = 256, 8192
+#: Where all rows are queries: bytes of those that a task holds, the fewest of them, and queries and rows of one product.
+HELD_BYTES, LEAST_HELD, TILE = 16 << 20, 512, (512, 2048)
+#: Products that hold more than this share of pairs to look at are made again in double precision.
+DENSE = 1 / 16
 
 
 def vector_scores(vectors: DataFrame, query: list[float], key: str = "vec_id", embedding: str = "embedding", keep: Column | None = None, min_score: float | None = None) -> DataFrame:
@@ -47,6 +51,12 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nearest(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's id, row's id, score) of the k best other rows of each query; equals in order of id. Distances are exact."""
+    i, j, score = _nearest(ids, x, asked, queries, k, metric)
+    return asked[i], ids[j], score
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nearest(), by places in asked and ids."""
     near = queries @ x.T if metric == "cosine" else -squared_distances(queries, x)
     near[asked[:, None] == ids[None, :]] = -np.inf
     if near.shape[1] > k:
@@ -55,11 +65,121 @@ def nearest(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, queries: np.ndarr
     else:
         least = np.full(len(near), -np.finfo(np.float64).max)
     i, j = np.nonzero((near >= least[:, None]) & np.isfinite(near))
-    score = near[i, j] if metric == "cosine" else -np.sqrt(((queries[i] - x[j]) ** 2).sum(axis=1))
+    score = _scores(queries, x, i, j, metric)
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return asked[i[keep]], ids[j[keep]], score[keep]
+    return i[keep], j[keep], score[keep]
+
+
+def halves(x: np.ndarray, asks: bool) -> np.ndarray:
+    """x in single precision with one more column: products of queries and rows are (|q|² - distance²) / 2."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        more = np.full(len(x), -1.0) if asks else (x * x).sum(axis=1) / 2
+        return np.concatenate([x, more[:, None]], axis=1).astype(np.float32)
+
+
+def slack(q: np.ndarray, x: np.ndarray, dimensions: int) -> np.ndarray | None:
+    """By how much such products of queries of lengths q and rows of lengths x may be off, four times over; None if they may overflow."""
+    most = x.max(initial=0.0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = q * most + most * most
+    return scale * (dimensions + 8) * 2.0**-22 + 1e-36 if scale.max(initial=0.0) < 1e36 and q.max(initial=0.0) < 1e36 else None
+
+
+def candidates(q: np.ndarray, x: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places (i, j) of the products of single precision that are not under least, one for each query; None if they are many."""
+    hit = np.flatnonzero(q @ x.T >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+    return None if len(hit) > DENSE * len(q) * len(x) else (hit // len(x), hit % len(x))
+
+
+def _scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """In double precision, of pairs of places."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 65536):
+        a, b = q[i[at : at + 65536]], x[j[at : at + 65536]]
+        out[at : at + 65536] = (a * b).sum(axis=1) if metric == "cosine" else -np.sqrt(((a - b) ** 2).sum(axis=1))
+    return out
+
+
+class _Lists:
+    """The k best rows of each of some queries, of rows that pass by in blocks."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, metric: str):
+        self.ids, self.x, self.k, self.metric = ids, x, k, metric
+        self.single = x.astype(np.float32) if metric == "cosine" else halves(x, True)
+        self.length = np.sqrt((x * x).sum(axis=1))
+        self.best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.worst, self.new, self.waiting = np.full(len(ids), -np.inf), [], 0
+
+    def settle(self) -> None:
+        i, j, score = (np.concatenate(c) for c in zip(self.best, *self.new, strict=True))
+        order = np.lexsort((j, -score, i))
+        i, j, score = i[order], j[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        self.worst[i[rank == self.k - 1]] = score[rank == self.k - 1]
+        self.best, self.new, self.waiting = (i[rank < self.k], j[rank < self.k], score[rank < self.k]), [], 0
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        length = np.sqrt((x * x).sum(axis=1))
+        single = x.astype(np.float32) if self.metric == "cosine" else halves(x, False)
+        for at in range(0, len(self.ids), TILE[0]):
+            part = slice(at, at + TILE[0])
+            worst, off, found = self.worst[part], slack(self.length[part], length, x.shape[1]), None
+            if off is not None and np.isfinite(worst).all():
+                least = worst if self.metric == "cosine" else (self.length[part] ** 2 - worst**2) / 2
+                found = candidates(self.single[part], single, least - off)
+            if found is None:
+                found = _nearest(ids, x, self.ids[part], self.x[part], self.k, self.metric)
+            else:
+                i, j = found
+                other = self.ids[part][i] != ids[j]
+                i, j = i[other], j[other]
+                found = i, j, _scores(self.x[part], x, i, j, self.metric)
+            i, j, score = found
+            keep = np.isfinite(score) & (score >= worst[i])
+            if keep.any():
+                self.new.append((i[keep] + at, ids[j[keep]], score[keep]))
+                self.waiting += int(keep.sum())
+        if self.waiting > len(self.ids) * self.k // 2:
+            self.settle()
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), V.LEAST_NORM)
+
+
+def _all_nearest(k: int, metric: str, kind: str):
+    """Per part: its queries come first and are held, then all rows pass by; k rows a query leave it."""
+
+    def opened(batch: pa.RecordBatch, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate([np.frombuffer(batch.column("ids")[p].as_buffer(), dtype="<i8") for p in places])
+        x = np.concatenate([np.frombuffer(batch.column("matrix")[p].as_buffer(), dtype=kind) for p in places])
+        x = x.reshape(len(ids), -1).astype(np.float64)
+        return ids, _unit(x) if metric == "cosine" else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lists, step = [], None, TILE[1] // QUERY_BLOCK
+        for batch in batches:
+            asks = batch.column("asks").to_pylist()
+            first = [p for p, a in enumerate(asks) if a]
+            rows = [p for p, a in enumerate(asks) if not a]
+            held += [opened(batch, first)] if first else []
+            if not rows or not held:
+                continue
+            if lists is None:
+                lists = _Lists(*(np.concatenate(c) for c in zip(*held, strict=True)), k, metric)
+            for at in range(0, len(rows), step):
+                lists.meet(*opened(batch, rows[at : at + step]))
+        if lists is None:
+            return
+        lists.settle() if lists.new else None
+        i, j, score = lists.best
+        for at in range(0, len(i), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(lists.ids[i[part]]), pa.array(j[part]), pa.array(score[part])], names=["query_id", "neighbour_id", "score"])
+
+    return run
 
 
 def _best(k: int, metric: str):
@@ -86,6 +206,20 @@ def _best(k: int, metric: str):
     return run
 
 
+def pieces(kind: str, block: int, more: tuple[tuple[str, str], ...] = ()):
+    """Rows of (ids, more columns, matrix) of at most block rows (id, ..., v), as they are given; kind: of the vectors' numbers."""
+    kinds = (("id", "<i8"), *more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                raw = [part.column(c).to_numpy(zero_copy_only=False).astype(t).tobytes() for c, t in kinds] + [matrix(part.column("v")).astype(kind).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in raw], names=["ids", *(c for c, _ in more), "matrix"])
+
+    return run
+
+
 def _packed(metric: str, block: int):
     """Rows of (ids, matrix) of at most block vectors; cosine: of unit length."""
 
@@ -108,9 +242,13 @@ def knn(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, metri
     every block of queries, as one matrix product, and k rows per query leave it. So rows travel
     once, whatever the number of queries, and a task holds one part. Vectors are not null and of
     one length. score: cosine, or the negative distance. Counting the rows is the one action.
+
+    Without queries, all_nearest() does the work.
     """
+    if queries is None:
+        return all_nearest(vectors, k, metric, key, embedding)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v")).filter("id is not null and v is not null")
-    asked = rows if queries is None else queries.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v")).filter("id is not null and v is not null")
+    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v")).filter("id is not null and v is not null")
     parts = max(1, -(-rows.count() // ROW_BLOCK))
     packed = rows.mapInArrow(_packed(metric, max(1, ROW_BLOCK // 8)), "ids binary, matrix binary")
     held = packed.select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "ids", "matrix")
@@ -121,6 +259,29 @@ def knn(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, metri
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def all_nearest(vectors: DataFrame, k: int, metric: str, key: str, embedding: str) -> DataFrame:
+    """knn() of all rows among themselves.
+
+    Each part holds its share of the queries, at most HELD_BYTES of them, and all rows pass by: products in
+    single precision tell, by bounds of their rounding, which pairs can be among the k best found so
+    far, and only these are compared in double precision. So k rows a query leave a part, and rows travel
+    once to each part.
+    """
+    kind = "<f4" if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else "<f8"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v")).filter("id is not null and v is not null")
+    n, size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    lanes = rows.sparkSession.sparkContext.defaultParallelism
+    least = -(-n * 8 * (size or 1) // HELD_BYTES)
+    parts = max(1, min(-(-least // lanes) * lanes or lanes, max(least, n // LEAST_HELD)))
+    packed = rows.mapInArrow(pieces(kind, QUERY_BLOCK), "ids binary, matrix binary")
+    asks = packed.repartition(parts).select(F.spark_partition_id().alias("part"), F.lit(True).alias("asks"), "ids", "matrix")
+    held = packed.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("asks"), "ids", "matrix")
+    work = asks.unionByName(held).repartitionById(parts, "part").sortWithinPartitions(F.desc("asks"))
+    found = work.mapInArrow(_all_nearest(k, metric, kind), "query_id long, neighbour_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def rrf_fuse(vector_hits: DataFrame, lexical_hits: DataFrame, k: int = 60, weight: float = VECTOR_WEIGHT, key: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion of two top-k frames (key, score): weight / (61 + rank from 0), a missing side adds nothing."""
 
