@@ -19,9 +19,10 @@ CSV_ROWS = 10_000
 @query("src_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def src_csv(spark, sf_dir):
     path = _scratch(spark) + ".csv"
-    _docs(spark, sf_dir).write.option("maxRecordsPerFile", CSV_ROWS).csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
+    docs = _docs(spark, sf_dir)
+    readers.write_csv(docs, path, CSV_ROWS)
     back = readers.load_table(spark, path)
-    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    return back.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
 
 
 @query("src_jsonl", "SELECT doc_id, text, lang FROM documents")

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import write_csv
+
 #: Tables that every dataset has.
 REQUIRED = ("documents", "embeddings")
 
@@ -66,7 +68,7 @@ def conversation_rows(log: DataFrame) -> DataFrame:
 
 
 def write_conversation(log: DataFrame, path: str) -> None:
-    conversation_rows(log).write.csv(path, header=True, quoteAll=True, escape='"')
+    write_csv(conversation_rows(log).withColumn("source_ids", F.nullif("source_ids", F.lit(""))), path, 10_000)  # no sources are an empty cell
 
 
 def write_conversation_json(log: DataFrame, path: str) -> None:

@@ -22,9 +22,22 @@ _PLAIN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
+#: A quote is escaped by a quote, and nothing else escapes; without the second entry the parser drops NUL characters near quotes.
+_QUOTES = {"escape": '"', "charToEscapeQuoteEscaping": '"'}
+
+
 def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Header row, inferred types, bad rows kept with nulls. Without multiline, quoted line ends split rows and files can be split between tasks."""
-    return spark.read.csv(path, header=True, inferSchema=True, multiLine=multiline, escape='"', mode="PERMISSIVE")
+    """Header row, inferred types, bad rows kept with nulls. Without multiline, quoted line ends split rows and files can be split between tasks.
+
+    An empty cell is null, and one of two quotes is the empty text.
+    """
+    nothing = uuid.uuid4().hex  # what the parser puts for empty cells: no text is spelled so
+    return spark.read.csv(path, header=True, inferSchema=True, multiLine=multiline, nullValue=nothing, emptyValue="", mode="PERMISSIVE", **_QUOTES)
+
+
+def write_csv(df: DataFrame, path: str, at_most: int) -> None:
+    """Files of at most so many rows, which read_csv() reads as they were: nulls are empty cells, empty texts two quotes."""
+    df.write.option("maxRecordsPerFile", at_most).csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n", **_QUOTES)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
