@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
+from .functions import text as T
 from .operators import filters, lexical, points, prepare, rag, similarity
 from .sources import datasets, readers
 
@@ -26,10 +27,14 @@ class Engine:
         """Of an uploaded table: columns, first rows, count."""
         return readers.preview(readers.load_table(self.spark, path))
 
-    def process(self, table: DataFrame, text: str, ordinal: str) -> DataFrame:
-        """Documents of a table: filled, each text once; and their passages."""
-        docs = prepare.drop_empty(prepare.extract_documents(table, text, ordinal)).drop("has_empty_text")
-        docs = prepare.dedupe_exact(docs, order="original_index").drop("doc_id").withColumnRenamed("id", "doc_id")
+    def process(self, table: DataFrame, text: str, ordinal: str, as_given: bool = False) -> DataFrame:
+        """Documents of a table: filled, each text once; and their passages.
+
+        as_given: only null texts are left out, and texts are the same if they differ by space separators around them alone.
+        """
+        docs = prepare.extract_documents(table, text, ordinal, as_given).drop("has_empty_text")
+        docs = docs.filter(F.col("text").isNotNull()) if as_given else prepare.drop_empty(docs)
+        docs = prepare.dedupe_exact(docs, order="original_index", spaces=T.SEPARATORS if as_given else T.SPACES).drop("doc_id").withColumnRenamed("id", "doc_id")
         c = self.config.values["chunking"]
         whole = c["chunk_size"] if c["enabled"] else 1 << 30
         self.tables |= {"documents": docs, "chunks": prepare.chunk(docs, size=whole, overlap=c["chunk_overlap"] if c["enabled"] else 0, least=c["min_chunk_size"])}
@@ -83,6 +88,6 @@ class Engine:
             self.config.set(path, value)
         return self.config.values
 
-    def metadata_schema(self) -> DataFrame:
+    def metadata_schema(self, nulls: bool = True) -> DataFrame:
         docs = self.tables["documents"]
-        return prepare.metadata_schema_api(docs, [c for c in docs.columns if c not in ("doc_id", "text", "original_index")], "original_index")
+        return prepare.metadata_schema_api(docs, [c for c in docs.columns if c not in ("doc_id", "text", "original_index")], "original_index", nulls=nulls)

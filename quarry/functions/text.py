@@ -7,6 +7,7 @@ and the underscore, stated as classes since the JVM's word boundary also knows a
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ WORD = "A-Za-z0-9_"
 KEYWORD = r"[\p{L}\p{N}_]{2,}"
 #: The spaces that trimming removes, beyond the plain one.
 SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Those of them that are space separators of Unicode: neither tabs nor line ends.
+SEPARATORS = "".join(c for c in SPACES if unicodedata.category(c) == "Zs")
 #: The prefixes and the names that mean a query.
 PREFIXES = {"query": "query: ", "passage": "passage: "}
 QUERY_MODES = ("query", "question", "user", "clustering")

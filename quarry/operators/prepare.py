@@ -25,14 +25,14 @@ def metadata_columns(df: DataFrame, text: str) -> list[str]:
     return [c for c in df.columns if c != text and not _INDEX_NAME.fullmatch(c)]
 
 
-def extract_documents(df: DataFrame, text: str, ordinal: str | Column) -> DataFrame:
+def extract_documents(df: DataFrame, text: str, ordinal: str | Column, as_given: bool = False) -> DataFrame:
     """id ("doc_" and the ordinal), text, has_empty_text and original_index, then the metadata columns.
 
-    Numbers become text. Null, blank and "nan" cells are empty texts.
+    Numbers become text. Null, blank and "nan" cells are empty texts; as_given: cells stay as they are.
     """
     at = F.col(ordinal) if isinstance(ordinal, str) else ordinal
     raw = T.trimmed(F.col(f"`{text}`").cast("string"))
-    cell = F.when(is_missing(raw), "").otherwise(raw)
+    cell = F.col(f"`{text}`").cast("string") if as_given else F.when(is_missing(raw), "").otherwise(raw)
     own = {"id", "text", "original_index", "has_empty_text"}
     meta = [F.col(f"`{c}`") for c in metadata_columns(df, text) if c not in own]
     return df.select(F.concat(F.lit("doc_"), at.cast("string")).alias("id"), cell.alias("text"), (cell == "").alias("has_empty_text"), at.alias("original_index"), *meta)
@@ -42,13 +42,13 @@ def drop_empty(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.filter(~is_missing(F.col(text)))
 
 
-def dedupe_exact(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """The first of each group of equal trimmed texts, with all its columns; null orders come last.
+def dedupe_exact(docs: DataFrame, text: str = "text", order: str = "doc_id", spaces: str = T.SPACES) -> DataFrame:
+    """The first of each group of texts that are equal without the spaces around them, with all its columns; null orders come last.
 
     Tasks keep the first of each text before the shuffle, so a text in a third of all rows is a row
     a task. Of rows that repeat both text and order one stays.
     """
-    trimmed = T.trimmed(F.coalesce(F.col(text), F.lit("")))
+    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(spaces))
     first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.col(order).isNull(), F.col(order)))
     return docs.groupBy(F.xxhash64(trimmed).alias("_a"), F.xxhash64(F.lit(1), trimmed).alias("_b")).agg(first.alias("_row")).select("_row.*")
 
@@ -137,14 +137,15 @@ def metadata_schema(df: DataFrame, columns: list[str], order: str, sample: int =
     return fields.select("name", "type", "n_values", "n_filled", number_only("lo").alias("min_value"), number_only("hi").alias("max_value")).join(listed, "name")
 
 
-def metadata_schema_api(df: DataFrame, columns: list[str], order: str, sample: int = 10) -> DataFrame:
-    """Per field: type by the looser rule (first filled cell), distinct values with null as "null", the first in the order, and rows."""
-    values = _cells(df, columns, order).select("name", "at", F.coalesce("value", F.lit("null")).alias("value"), F.col("value").isNotNull().alias("known"))
+def metadata_schema_api(df: DataFrame, columns: list[str], order: str, sample: int = 10, nulls: bool = True) -> DataFrame:
+    """Per field: type by the looser rule (first filled cell), distinct values with null as "null" (without nulls: left out), the first in the order, and rows."""
+    value = F.coalesce("value", F.lit("null")) if nulls else F.col("value")
+    values = _cells(df, columns, order).select("name", "at", value.alias("value"), F.col("value").isNotNull().alias("known"))
     distinct = values.groupBy("name", "value").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.max("known").alias("known"))
-    fields = distinct.groupBy("name").agg(F.min_by(loose_type(F.col("value")), F.when(F.col("known") & (F.col("value") != ""), F.col("at"))).alias("type"), F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
-    firsts = distinct.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("at", "value"))).filter(F.col("k") <= sample)
+    fields = distinct.groupBy("name").agg(F.min_by(loose_type(F.col("value")), F.when(F.col("known") & (F.col("value") != ""), F.col("at"))).alias("type"), F.count("value").alias("n_values"), F.sum("n").alias("n_rows"))
+    firsts = distinct.filter("value is not null").withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("at", "value"))).filter(F.col("k") <= sample)
     listed = firsts.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("f"))
-    return fields.join(listed, "name").select("name", "type", "n_values", "n_rows", F.transform("f", lambda x: x["value"]).alias("unique_values"))
+    return fields.join(listed, "name", "left").select("name", "type", "n_values", "n_rows", F.transform("f", lambda x: x["value"]).alias("unique_values"))
 
 
 def upload_schema(df: DataFrame, columns: list[str], order: str, looked_at: int = 10) -> DataFrame:

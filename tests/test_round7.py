@@ -28,3 +28,12 @@ def test_csv_keeps_empty_texts_nulls_and_every_character(spark, tmp_path):
     odd = ["", None, " ", " a ", '"', '""', '\0"', '"\0', "\0\n", "\r", "\r\n", "\n", "\\", '\\"', ",", "#", "\ufeff", "\u2028", "\uffff", "nan", "null", "a"]
     rows = [(k * len(odd) + j, a, b, odd[(j + k) % 3], None if k == j else k) for k, a in enumerate(odd) for j, b in enumerate(odd)]
     assert differences(spark, tmp_path, "src_csv", documents=spark.createDataFrame([(None, None, None, None, None), *rows], DOCS)) == []
+
+
+def test_schema_of_the_engine_counts_as_its_sql(spark, tmp_path):
+    texts = ["", "  ", "nan", "a", " a", "a\u3000", "a\n", "\ta", "a\ufeff", None, "\u200b", "null", "a "]
+    rows = [(k, t, ["en", None, "null", ""][k % 4], None, 100 + k) for k, t in enumerate(texts)]
+    assert differences(spark, tmp_path / "a", "engine_schema", documents=spark.createDataFrame(rows, DOCS)) == []
+    assert differences(spark, tmp_path / "b", "engine_schema", documents=spark.createDataFrame([], DOCS)) == []
+    long = "only rely antion " * 9
+    assert differences(spark, tmp_path / "c", "engine_search", documents=spark.createDataFrame([*((k + 20, t, "en", "s", 1) for k, t in enumerate(texts)), (1, long, "en", "s", 1), (2, long + "\n", "en", "s", 1)], DOCS)) == []
