@@ -131,7 +131,8 @@ SELECT hit_id, coalesce(r6, r7, -r8.i) AS "index", CASE WHEN r6 IS NOT NULL THEN
 def resolve_point_text(spark, sf_dir):
     """Hits that are known by a part of a text, or by some of its words in another order."""
     none = F.lit(None).cast("string")
-    placed = cut(_joined(spark, sf_dir))  # hits and points both, so that texts are joined once
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # texts with a place may lie in few files, and each is searched
+    placed = cut(_joined(spark, sf_dir).repartition(parts))  # hits and points both, so that texts are joined once
     all_ = placed.select(F.col("doc_id").alias("index"), "x", "y", none.alias("chunk_id"), "doc_id", none.alias("source_id"), "text")
     few = F.array_join(F.reverse(F.slice(T.spaced(F.col("text")), 1, 12)), " ")
     known = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 11, 160)).otherwise(few)

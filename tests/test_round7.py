@@ -1,8 +1,12 @@
 """Odd rows and small limits, held against the queries' SQL."""
 
+import random
+
 import duckdb
+import pytest
 
 import __spark_entry__ as driver
+from quarry.operators import _tables
 
 
 def differences(spark, folder, name, **tables):
@@ -37,3 +41,16 @@ def test_schema_of_the_engine_counts_as_its_sql(spark, tmp_path):
     assert differences(spark, tmp_path / "b", "engine_schema", documents=spark.createDataFrame([], DOCS)) == []
     long = "only rely antion " * 9
     assert differences(spark, tmp_path / "c", "engine_search", documents=spark.createDataFrame([*((k + 20, t, "en", "s", 1) for k, t in enumerate(texts)), (1, long, "en", "s", 1), (2, long + "\n", "en", "s", 1)], DOCS)) == []
+
+
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_points_by_parts_and_words_equal_the_sql(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(_tables, "BROADCAST_BYTES", limit)
+    rng = random.Random(limit)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.choice([1, 4, 5, 6]))) for _ in range(40)]
+    texts = ["", None, "x" * 400, "word " * 40, "ab" * 90 + " " + "cd" * 90, "a" + " " * 45 + "b" + " " * 45 + "c" * 50, "".join(chr(0x4E00 + k % 97) for k in range(300))]
+    texts += [" ".join(rng.choices(words, k=rng.choice([3, 8, 15, 40]))) for _ in range(150)]
+    texts += [f"{rng.choice(words)} {t} {rng.choice(words)}" for t in texts[2:80]] + [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts[7:80]]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    vectors = spark.createDataFrame([(k, [0.1, 0.2, 0.3], 1) for k in range(len(texts))], "vec_id long, embedding array<float>, label int")
+    assert differences(spark, tmp_path, "resolve_point_text", documents=docs, embeddings=vectors) == []
