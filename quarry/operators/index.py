@@ -35,13 +35,18 @@ def save_postings(docs: DataFrame, root: str, key: str = "doc_id", text: str = "
     known = docs.sparkSession.read.parquet(f"{root}/stats").first()
     parts = max(1, math.ceil(known["n_docs"] / part_rows))
     files = max(FILES, parts // FILE_PARTS)
-    rows = _words(docs, key, text, parts).groupBy("term", "part", "key", "n").agg(F.count("*").alias("tf"))
-    rows.repartitionByRange(files, "term", "part").sortWithinPartitions("term", "part").write.mode("overwrite").parquet(f"{root}/postings")
+    _dealt(docs, key, text, parts, files).write.mode("overwrite").parquet(f"{root}/postings")
     saved = docs.sparkSession.read.parquet(f"{root}/postings")
     maxima = saved.groupBy("term", "part").agg(F.count("*").alias("df"), F.max(_impact(F.col("tf"), F.col("n"), known["avg_tokens"])).alias("impact"))
     maxima.repartitionByRange(max(1, files // 8), "term", "part").sortWithinPartitions("term", "part").write.mode("overwrite").parquet(f"{root}/maxima")
 
 
+def _dealt(docs: DataFrame, key: str, text: str, parts: int, files: int) -> DataFrame:
+    """Rows (term, part, key, n, tf) in the files' order. Words are shuffled once: a range holds all of a term and part, so they are counted there."""
+    words = _words(docs, key, text, parts).repartitionByRange(files, "term", "part")
+    return words.groupBy("term", "part", "key", "n").agg(F.count("*").alias("tf")).sortWithinPartitions("term", "part")
+
+
 def _words(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     """Rows (key, part, n, term), one for each token; what stands beside explode() is made anew for each row, so n is made before it."""
     part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from quarry.operators import _tables
+from quarry.operators import _tables, index
 
 
 def differences(spark, folder, name, **tables):
@@ -54,3 +54,13 @@ def test_points_by_parts_and_words_equal_the_sql(spark, tmp_path, monkeypatch, l
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
     vectors = spark.createDataFrame([(k, [0.1, 0.2, 0.3], 1) for k in range(len(texts))], "vec_id long, embedding array<float>, label int")
     assert differences(spark, tmp_path, "resolve_point_text", documents=docs, embeddings=vectors) == []
+
+
+def test_postings_are_shuffled_once(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"one two two w{k % 7} w{k % 11}") for k in range(300)], "doc_id long, text string")
+    index.save_postings(docs, str(tmp_path), part_rows=16)
+    got = spark.read.parquet(f"{tmp_path}/postings")
+    assert {(r["term"], r["key"], r["tf"], r["n"]) for r in got.filter("key < 2").collect()} == {("one", 0, 1, 5), ("two", 0, 2, 5), ("w0", 0, 2, 5), ("one", 1, 1, 5), ("two", 1, 2, 5), ("w1", 1, 2, 5)}
+    assert got.groupBy("term", "part", "key").count().filter("count > 1").isEmpty()
+    plan = index._dealt(docs, "doc_id", "text", 19, 32)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
